@@ -1 +1 @@
-"""Part of the engine; see README.md."""
+"""Registered queries of the core, by module."""
