@@ -30,9 +30,9 @@ CLOSENESS = 0.87
 #: Share of the expected nearness that two samples of one group must reach.
 LENIENCE = 0.95
 #: Leaf centres of this cosine are joined whatever their sizes.
-JOINED = 0.75
-#: Cells a leaf or group centre visits.
-VISITS = 12
+JOINED = 0.70
+#: Cells a leaf or group centre visits, and a leaf of a single row.
+VISITS, VISITS_ALONE = 12, 3
 
 
 def sample_nearness(n: np.ndarray, closeness: float = CLOSENESS) -> np.ndarray:
@@ -98,11 +98,11 @@ def bisect_block(x: np.ndarray, closeness: float = CLOSENESS, lenience: float =
 
 _LEAF = "leaf bigint, id bigint, n bigint, v binary"
 _EDGE = "a bigint, b bigint"
-_MEMBER = "id bigint, grp bigint, cosine double"
+_MEMBER = "id bigint, grp bigint, cosine double, n bigint, v binary"
 
 
 def _leaves(points: DataFrame, dim: int, closeness: float) -> DataFrame:
-    """``leaf, id, n, v``: a leaf is named by its smallest id; this row carries its size and the sum of its vectors."""
+    """``leaf, id, n, v``: a leaf is named by its smallest id; this row carries its size and its mean direction."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()
@@ -117,7 +117,7 @@ def _leaves(points: DataFrame, dim: int, closeness: float) -> DataFrame:
         head = np.zeros(len(by), dtype=bool)
         head[start] = True
         name = np.repeat(ids[by][start], size)
-        v = V.to_binary(sums).take(pa.array(np.where(head, np.cumsum(head) - 1, 0), mask=~head))
+        v = V.to_binary(V.unit(sums).astype(np.float16)).take(pa.array(np.where(head, np.cumsum(head) - 1, 0), mask=~head))
         return pa.table({"leaf": name, "id": ids[by], "n": np.where(head, np.repeat(size, size), 0), "v": v})
 
     return points.groupBy("cell", "block").applyInArrow(run, _LEAF)
@@ -155,57 +155,57 @@ def _fragment_edges(leaves: DataFrame, cells: V.Cells, closeness: float) -> Data
         lo, hi = np.minimum(p[m], q[m]), np.maximum(p[m], q[m])
         return pa.table({"a": lo, "b": hi})
 
-    return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS), work, _EDGE).distinct()
+    return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS, VISITS_ALONE), work, _EDGE).distinct()
 
 
 def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float) -> DataFrame:
-    """Each row's nearest group centre among those that visit its block, of cosine ``least`` or more; ties take the smaller group."""
+    """Each row's nearest group centre among those that visit its block, of cosine ``least`` or more; ties take the smaller group.
+
+    Besides a row for each member, every block gives its share of a group: the number of
+    members in ``n`` and their sum in ``v``, with a null id.
+    """
     dim = cells.dim
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        none = pa.table({"id": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        none = pa.table({"id": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64()), "n": pa.array([], pa.int64()), "v": pa.array([], pa.binary())})
         if not a.num_rows or not b.num_rows:
             return none
         names = b["id"].to_numpy()
         order = np.argsort(names)
         names, c = names[order], V.unit(V.from_binary(b["v"], dim))[order].T.copy()
         ids, x = a["id"].to_numpy(), V.from_binary(a["v"], dim)
-        out_i, out_g, out_c = [], [], []
+        best, val = np.empty(len(ids), np.int64), np.empty(len(ids))
         for i in range(0, len(ids), 1024):
             s = x[i : i + 1024] @ c
-            best = s.argmax(axis=1)
-            val = s[np.arange(len(s)), best]
-            m = val >= least
-            out_i.append(ids[i : i + 1024][m])
-            out_g.append(names[best[m]])
-            out_c.append(val[m].astype(np.float64))
-        return pa.table({"id": np.concatenate(out_i), "grp": np.concatenate(out_g), "cosine": np.concatenate(out_c)})
+            k = s.argmax(axis=1)
+            best[i : i + 1024], val[i : i + 1024] = k, s[np.arange(len(s)), k]
+        m = np.nonzero(val >= least)[0]
+        if not len(m):
+            return none
+        m = m[np.argsort(best[m], kind="stable")]
+        g = names[best[m]]
+        start = np.concatenate(([0], np.nonzero(np.diff(g))[0] + 1))
+        size = np.diff(np.append(start, len(g)))
+        rows = pa.table({"id": ids[m], "grp": g, "cosine": val[m], "n": pa.nulls(len(m), pa.int64()), "v": pa.nulls(len(m), pa.binary())})
+        share = V.to_binary(np.add.reduceat(x[m], start, axis=0))
+        return pa.concat_tables([rows, pa.table({"id": pa.nulls(len(start), pa.int64()), "grp": g[start], "cosine": pa.nulls(len(start), pa.float64()), "n": size.astype(np.int64), "v": share})])
 
-    got = V.meet(points, V.visit(groups, cells, blocks, VISITS), work, _MEMBER)
-    # parts of a crowded block each give a row its best
-    return got.groupBy("id").agg(F.max_by(F.struct("grp", "cosine"), F.struct("cosine", (-F.col("grp")).alias("g"))).alias("m")).select("id", "m.grp", "m.cosine")
+    return V.meet(points, V.visit(groups, cells, blocks, VISITS), work, _MEMBER)
 
 
-def _centres(points: DataFrame, members: DataFrame, dim: int, least_size: int) -> DataFrame:
-    """``id, n, v``: sum of the unit vectors of every group with ``least_size`` members or more."""
+def _members(assigned: DataFrame) -> DataFrame:
+    """``id, grp, cosine`` of the members; where parts of a crowded block each gave a row its best, the best of these."""
+    best = F.max_by(F.struct("grp", "cosine"), F.struct("cosine", (-F.col("grp")).alias("g")))
+    return assigned.where("id is not null").groupBy("id").agg(best.alias("m")).select("id", "m.grp", "m.cosine")
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            g, x = b.column(0).to_numpy(), V.from_binary(b.column(1), dim)
-            order = np.argsort(g, kind="stable")
-            g, x = g[order], x[order]
-            start = np.concatenate(([0], np.nonzero(np.diff(g))[0] + 1))
-            size = np.diff(np.append(start, len(g)))
-            yield pa.RecordBatch.from_arrays([pa.array(g[start]), pa.array(size.astype(np.int64)), V.to_binary(np.add.reduceat(x, start, axis=0))], names=["id", "n", "v"])
 
-    kind = "id bigint, n bigint, v binary"
-    once = members.join(points.select("id", "v"), "id").select("grp", "v").mapInArrow(partial, kind)
+def _centres(shares: DataFrame, dim: int, least_size: int) -> DataFrame:
+    """``id, n, v``: mean direction of every group with ``least_size`` members or more, from the shares ``id, n, v`` of sums."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of a group lie next to each other here; a run may span batches
+        # shares of a group lie next to each other here; a run may span batches
         held: tuple[int, int, np.ndarray] | None = None
+        out = lambda g, n, x: pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), V.to_binary(V.unit(x + 1e-12).astype(np.float16))], names=["id", "n", "v"])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -217,13 +217,15 @@ def _centres(points: DataFrame, members: DataFrame, dim: int, least_size: int) -
                     size[0] += held[1]
                     sums[0] += held[2]
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), V.to_binary(held[2][None])], names=["id", "n", "v"])
+                    yield out([held[0]], [held[1]], held[2][None])
             held = (int(names[-1]), int(size[-1]), sums[-1].copy())
-            yield pa.RecordBatch.from_arrays([pa.array(names[:-1]), pa.array(size[:-1]), V.to_binary(sums[:-1])], names=["id", "n", "v"])
+            if len(names) > 1:
+                yield out(names[:-1], size[:-1], sums[:-1])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), V.to_binary(held[2][None])], names=["id", "n", "v"])
+            yield out([held[0]], [held[1]], held[2][None])
 
-    return once.repartition("id").sortWithinPartitions("id").mapInArrow(merge, kind).where(F.col("n") >= least_size)
+    ready = shares.select("id", "n", "v").repartition("id").sortWithinPartitions("id")
+    return ready.mapInArrow(merge, "id bigint, n bigint, v binary").where(F.col("n") >= least_size)
 
 
 def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embedding", least_size: int = 5, least_cosine: float = 0.7, closeness: float = CLOSENESS, rounds: int = 2) -> DataFrame:
@@ -237,21 +239,29 @@ def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embe
     """
     dim = V.dimension(df, vector)
     if not dim:
-        return df.sparkSession.createDataFrame([], _MEMBER)
+        return df.sparkSession.createDataFrame([], "id bigint, grp bigint, cosine double")
     cells = V.fit_cells(df, key, vector, dim, df.count())
     points = cut(V.index_rows(df, key, vector, cells))
     blocks = V.block_counts(points, len(cells.centres))
     points = V.with_block(points, blocks)
     members = cut(_leaves(points, dim, closeness))
     leaves = members.where("n > 0").select("leaf", "n", "v")
-    comp = connected_components(_fragment_edges(leaves, cells, closeness))
-    groups = members.select("leaf", "id").join(comp.withColumnRenamed("node", "leaf"), "leaf", "left").select("id", F.coalesce("component", "leaf").alias("grp"))
-    centres = _centres(points, groups, dim, max(2, (least_size + 1) // 2))
+    comp = connected_components(_fragment_edges(leaves, cells, closeness)).withColumnRenamed("node", "leaf")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_numpy()
+            if len(n):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), V.to_binary(V.from_binary(b.column(2), dim) * n[:, None].astype(np.float32))], names=["id", "n", "v"])
+
+    shares = leaves.join(comp, "leaf", "left").select(F.coalesce("component", "leaf").alias("id"), "n", "v").mapInArrow(weigh, "id bigint, n bigint, v binary")
+    centres = cut(_centres(shares, dim, max(2, (least_size + 1) // 2)))
     for _ in range(rounds):
-        got = _assign(points, cut(centres).select("id", "v"), cells, blocks, least_cosine)
-        members = cut(got)
-        centres = _centres(points, members, dim, least_size)
-    return cut(_assign(points, cut(centres).select("id", "v"), cells, blocks, least_cosine).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grp")))).where(F.col("n") >= least_size).select("id", "grp", "cosine")
+        got = _assign(points, centres.select("id", "v"), cells, blocks, least_cosine)
+        centres = cut(_centres(got.where("id is null").select(F.col("grp").alias("id"), "n", "v"), dim, least_size))
+    final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine)))
+    large = final.groupBy("grp").count().where(F.col("count") >= least_size).select("grp")
+    return final.join(large, "grp", "left_semi").select("id", "grp", "cosine")
 
 
 def cluster_report(df: DataFrame, members: DataFrame, key: str = "gap_idx", text: str = "gap_sentence", top: int = 3) -> DataFrame:

@@ -54,10 +54,11 @@ def to_binary(x: np.ndarray) -> pa.Array:
 
 
 def from_binary(column: pa.Array, dim: int) -> np.ndarray:
-    """Inverse of ``to_binary`` for float32."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), dim)
+    """Inverse of ``to_binary`` for float32 and float16, told apart by the length; gives float32."""
+    rows = column.to_pylist()
+    raw = b"".join(rows)
+    kind = np.float16 if len(raw) == len(rows) * dim * 2 else np.float32
+    return np.frombuffer(raw, dtype=kind).reshape(len(rows), dim).astype(np.float32, copy=False)
 
 
 def dimension(df: DataFrame, vector: str) -> int:
@@ -145,14 +146,14 @@ def fit_cells(df: DataFrame, key: str, vector: str, dim: int, n_rows: int) -> Ce
 
 
 def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = False) -> DataFrame:
-    """``cell, id, v``: every usable row in its nearest cell, ``v`` its unit vector (``raw``: as it came)."""
+    """``cell, id, v``: every usable row in its nearest cell, ``v`` its unit vector in float16 (``raw``: the vector as it came, in float32)."""
     dim = cells.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = matrix(b.column(1), dim)
             u = unit(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.nearest(u)[:, 0]), b.column(0).cast(pa.int64()).take(pa.array(rows)), to_binary(x if raw else u)], names=["cell", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells.nearest(u)[:, 0]), b.column(0).cast(pa.int64()).take(pa.array(rows)), to_binary(x if raw else u.astype(np.float16))], names=["cell", "id", "v"])
 
     return df.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInArrow(run, "cell int, id bigint, v binary")
 
@@ -174,8 +175,11 @@ def with_block(indexed: DataFrame, blocks: np.ndarray) -> DataFrame:
     return indexed.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(m, F.col("cell")), F.lit(1))).cast("int"))
 
 
-def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int) -> DataFrame:
-    """Send ``id, v`` (bytes of float32, other columns follow) to every block of the ``m`` nearest cells: adds ``cell, block``."""
+def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: int | None = None) -> DataFrame:
+    """Send ``id, v`` and what else there is to every block of the ``m`` nearest cells: adds ``cell, block``.
+
+    With ``alone``, vectors that stand for a single row (``n`` is 1) visit only so many cells.
+    """
     dim = cells.dim
     names = vectors.columns
     at = names.index("v")
@@ -187,6 +191,11 @@ def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int) -> DataF
             near = cells.nearest(unit(from_binary(b.column(at), dim)), m)
             row = np.repeat(np.arange(len(near)), near.shape[1])
             cell = near.reshape(-1)
+            if alone is not None:
+                single = b.column(names.index("n")).to_numpy() == 1
+                far = np.tile(np.arange(near.shape[1]), len(near)) >= alone
+                going = ~(single[row] & far)
+                row, cell = row[going], cell[going]
             n = blocks[cell]
             first = np.repeat(np.cumsum(n) - n, n)
             block = np.arange(int(n.sum())) - first
