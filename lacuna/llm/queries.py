@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import clusters, consensus, nearest, tokens
+from lacuna.llm import abuse, clusters, consensus, mixing, nearest, neardup, tokens
 from lacuna.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_report(g, clusters.similarity_clusters(g.select("gap_idx", "embedding")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_texts(table(spark, d, "gaps").select("gap_idx", "gap_sentence", "paragraph_text"))
+    return neardup.near_pairs(links, members).select(F.col("gap_a").cast("int").alias("gap_a"), F.col("gap_b").cast("int").alias("gap_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    links, members = neardup.near_texts(table(spark, d, "gaps").select("gap_idx", "gap_sentence", "paragraph_text"))
+    return neardup.near_groups(links, members)
+
+
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, consensus.Panel | None]:
     labels = consensus.long_labels(table(spark, d, "panel_scores"))
     return labels, consensus.fit(labels)
@@ -55,7 +65,34 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_judges, p4_agreement, p6_found, p7_ids)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return abuse.score_documents(docs, abuse.fit_model(docs, table(spark, d, "doc_labels")), keep=("source",))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score > 0").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_groups, p4_found, p4_judges, p4_agreement, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
+}
 
 _VALID = r"CASE WHEN regexp_full_match({c}, '\s*[1-5](\.0*)?\s*(/\s*5(\.0*)?)?\s*') THEN CAST(regexp_extract({c}, '[1-5]') AS INTEGER) END"
 
