@@ -5,8 +5,8 @@ repetitions. A source then needs each of its documents ``m`` times; whole times
 given at once, the rest is a fractional inclusion probability. The cube method moves
 these probabilities through the null space of the balancing constraints (number of
 tokens, number of documents) until they are 0 or 1: first inside blocks of bounded size,
-then over what the blocks left open, until a landing problem of two documents a source
-remains, which is enumerated.
+then over what the blocks left open, until a landing problem of a dozen documents a
+source remains, which is enumerated.
 """
 
 from __future__ import annotations
@@ -26,17 +26,23 @@ from lacuna.session import cut
 
 #: Documents of a flight block, about.
 BLOCK = 4_096
+#: Documents of a source that are kept for the landing.
+RESERVE = 10
 #: Sources of a mixing plan, at most; the plan is a hand-written table.
 MAX_SOURCES = 10_000
 _EPS = 1e-9
 
 
-def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Move probabilities ``p`` to 0 or 1, keeping their sum and the sum of ``p * size``; two at most stay open."""
+def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, reserve: int = 0) -> np.ndarray:
+    """Move probabilities ``p`` to 0 or 1 in random order, keeping their sum and the sum of ``p * size``.
+
+    Two at most stay open, besides the last ``reserve`` ones, which are not touched.
+    """
     p = p.astype(float).copy()
     scale = max(float(size.max(initial=0.0)), 1.0)
     x = size / scale
-    waiting = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
+    waiting = [int(i) for i in rng.permutation(len(p)) if _EPS < p[i] < 1 - _EPS]
+    waiting = waiting[: max(0, len(waiting) - reserve)]
     draws = rng.random(len(waiting) + 3)
     held: list[int] = []
     k = 0
@@ -66,16 +72,14 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The 0/1 choice of the few open documents that errs least in tokens, then in documents; ties take fewer."""
+    """The 0/1 choice of the few open documents (``RESERVE`` + 2) that errs least in tokens, and a little in documents."""
     at = np.nonzero((p > 0) & (p < 1))[0]
-    best, chosen = None, 0
-    for mask in range(1 << len(at)):
-        s = np.array([(mask >> j) & 1 for j in range(len(at))])
-        err = (abs(float(((s - p[at]) * size[at]).sum())), abs(float((s - p[at]).sum())), mask)
-        if best is None or err < best:
-            best, chosen = err, mask
     out = p.copy()
-    out[at] = [(chosen >> j) & 1 for j in range(len(at))]
+    if len(at):
+        choice = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))[None, :]) & 1
+        tokens_off = np.abs(choice @ size[at] - p[at] @ size[at])
+        docs_off = np.abs(choice.sum(axis=1) - p[at].sum())
+        out[at] = choice[int(np.argmin(tokens_off + 0.05 * size[at].mean() * docs_off))]
     return out
 
 
@@ -136,7 +140,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
         t = t.take(pa.array(order))
         rng = np.random.default_rng([seed, xxhash.xxh32_intdigest(str(t["source"][0])), int(t["block"][0].as_py() or 0)])
         size = t["n_tokens"].to_numpy().astype(float)
-        q = flight(t["p"].to_numpy(), size, rng)
+        q = flight(t["p"].to_numpy(), size, rng, RESERVE if last or (t["block"][0].as_py() or 0) == 0 else 0)
         if last:
             q = landing(q, size)
         return t.set_column(t.schema.get_field_index("p"), "p", pa.array(q))
