@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import abuse, clusters, consensus, mixing, nearest, neardup, tokens
+from lacuna.llm import abuse, clusters, consensus, mixing, nearest, neardup, scans, tokens
 from lacuna.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,20 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_report(g, clusters.similarity_clusters(g.select("gap_idx", "embedding")))
 
 
+def _scan_rows(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "gaps").select(F.lit("gaps").alias("src"), F.col("gap_idx").cast("int").alias("rec"), F.col("paragraph_text").alias("text"))
+    return g.unionByName(table(spark, d, "bench_papers").select(F.lit("bench_papers").alias("src"), F.col("bench_idx").cast("int").alias("rec"), F.col("full_text").alias("text")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(scans.find_repairs(_scan_rows(spark, d)))
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scan_rows(spark, d)
+    return scans.repaired(rows, scans.find_repairs(rows))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     links, members = neardup.near_texts(table(spark, d, "gaps").select("gap_idx", "gap_sentence", "paragraph_text"))
     return neardup.near_pairs(links, members).select(F.col("gap_a").cast("int").alias("gap_a"), F.col("gap_b").cast("int").alias("gap_b"))
@@ -91,7 +105,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_groups, p4_found, p4_judges, p4_agreement, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_text, p3_found, p3_groups, p4_found, p4_judges, p4_agreement, p6_found, p7_ids, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)
 }
 
 _VALID = r"CASE WHEN regexp_full_match({c}, '\s*[1-5](\.0*)?\s*(/\s*5(\.0*)?)?\s*') THEN CAST(regexp_extract({c}, '[1-5]') AS INTEGER) END"
