@@ -48,7 +48,7 @@ def silhouette_euclidean(df: DataFrame, key: str, label: str, vector: str) -> fl
     d = d.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = d.withColumn("o", every).select(F.col("own").alias("p"), F.col("o").alias("q"), "id", "l", "v")
-    right = d.withColumn("o", every).select(F.col("o").alias("p"), F.col("own").alias("q"), "id", "l", "v")
+    right = d.withColumn("o", every).select(F.col("o").alias("p"), F.col("own").alias("q"), *[F.col(c).alias(c) for c in ("id", "l", "v")])
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = (np.array(t["v"].to_pylist(), dtype=float) for t in (a, b))

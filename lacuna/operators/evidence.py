@@ -80,9 +80,9 @@ def best_match(queries: DataFrame, keys: DataFrame, on: str, query_key: str, key
     """``query_key, max_similarity, mean_similarity, closest, n_hits`` against the rows of the same ``on``; without any 0, null, null and 0."""
     q = queries.select(query_key, on, F.col(vector).alias("qv"))
     k = keys.where(F.col(on).isNotNull() & F.col(vector).isNotNull()).select(on, F.col(key_key).alias("kk"), F.col(vector).alias("kv"))
-    d = q.join(k, on, "left").withColumn("s", F.when(F.col("kk").isNotNull() & F.col("qv").isNotNull(), F.round(cosine("qv", "kv"), 6)))
-    best = F.max_by(F.when(F.col("s").isNotNull(), F.col("kk")), F.struct("s", -F.col("kk")))
-    return d.groupBy(query_key).agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("max_similarity"), F.round(F.avg("s"), 6).alias("mean_similarity"), best.alias("closest"), F.count("s").alias("n_hits"))
+    d = q.join(k, on, "left").withColumn("s", F.when(F.col("kk").isNotNull() & F.col("qv").isNotNull(), cosine("qv", "kv")))
+    best = F.max_by(F.when(F.col("s").isNotNull(), F.col("kk")), F.struct(F.round("s", 6), -F.col("kk")))
+    return d.groupBy(query_key).agg(F.coalesce(F.round(F.max("s"), 6), F.lit(0.0)).alias("max_similarity"), F.round(F.avg("s"), 6).alias("mean_similarity"), best.alias("closest"), F.count("s").alias("n_hits"))
 
 
 def novelty(matches: DataFrame, failed: str | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def merge_relations(semantic: DataFrame, paper: DataFrame, section: DataFrame, w
     ]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     names = F.transform(F.array_sort(F.collect_set("t")), lambda x: F.substring(x, 2, 20))
-    return u.groupBy("src", "dst").agg(F.round(F.max("weight"), 6).alias("weight"), F.array_join(names, "+").alias("edge_type"), F.max("cosine").alias("cosine"))
+    return u.groupBy("src", "dst").agg(F.round(F.max("weight"), 8).alias("weight"), F.array_join(names, "+").alias("edge_type"), F.max("cosine").alias("cosine"))
 
 
 def _by_component(edges: DataFrame, most_edges: int) -> DataFrame:

@@ -17,7 +17,7 @@ FIGURE = r"(?i)(\d+(\.\d+)?\s*(%|percent|pp|points?|x\b|times)|[<>≤≥=]\s*\d|
 def panel_consensus(panel: DataFrame, item: str = "idea_id", judge: str = "judge") -> DataFrame:
     """Mean per axis, composite (mean of the means), number of judges and longest critique; of equally long ones the first judge's."""
     means = [F.round(F.avg(coerce(a, None)), 6).alias(a) for a in AXES]
-    first = F.min_by("overall_critique", F.struct(-F.length("overall_critique"), F.col(judge), F.col("overall_critique")))
+    first = F.min_by("overall_critique", F.when(F.col("overall_critique").isNotNull(), F.struct(-F.length("overall_critique"), F.col(judge), F.col("overall_critique"))))
     d = panel.groupBy(item).agg(*means, F.countDistinct(judge).alias("n_judges"), first.alias("critique"))
     return d.withColumn("composite", F.round(sum(F.coalesce(F.col(a), F.lit(0.0)) for a in AXES) / len(AXES), 6))
 

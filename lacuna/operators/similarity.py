@@ -137,7 +137,7 @@ def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding",
     d = d.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row stands in every pair of blocks that has its own
     left = d.withColumn("o", F.explode(F.expr("sequence(own, blocks - 1)"))).select("g", F.col("own").alias("p"), F.col("o").alias("q"), "id", "v")
-    right = d.withColumn("o", F.explode(F.expr("sequence(0, own)"))).select("g", F.col("o").alias("p"), F.col("own").alias("q"), "id", "v")
+    right = d.withColumn("o", F.explode(F.expr("sequence(0, own)"))).select(F.col("g").alias("g"), F.col("o").alias("p"), F.col("own").alias("q"), F.col("id").alias("id"), F.col("v").alias("v"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
