@@ -48,6 +48,12 @@ _END = re.compile(r"[.!?:;\"')\]]$")
 _HEADING = re.compile(r"(?:\d+(?:\.\d+)*\.? +)?[A-Z][^.!?,]{2,60}$")
 
 
+def broken_end(line: str) -> re.Match[str] | None:
+    """The first half of a word broken at the end of ``line``, and the sign."""
+    x = line.rstrip(" \t")
+    return _BREAK.search(x) if x and x[-1] in HYPHENS else None
+
+
 def is_scan(text: str) -> bool:
     """Signs of a scan: a line that ends in the middle of a word or sentence and goes on below."""
     if "\n" not in text:
@@ -55,7 +61,7 @@ def is_scan(text: str) -> bool:
     lines = [x.strip() for x in text.split("\n")]
     lines = [x for x in lines if x]
     for a, b in zip(lines, lines[1:]):
-        if _BREAK.search(a) and b[:1].isalnum():
+        if broken_end(a) and b[:1].isalnum():
             return True
         if len(a) > 24 and not _END.search(a) and not _HEADING.match(a) and not _NUMBER.match(b):
             return True
@@ -90,13 +96,13 @@ def line_features(lines: list[str], i: int, width: int, text: str | None = None,
         sum(c.isupper() for c in letters) / max(1, len(letters)),
         float(bool(_END.search(x))),
         float(bool(_END.search(before))),
-        float(bool(_BREAK.search(before))),
+        float(bool(broken_end(before))),
         float(after[:1].islower()),
         float(len(x) + 1 + len(first_after) <= width),
         sum(w[:1].isupper() for w in words) / max(1, len(words)),
         float(any(c.isdigit() for c in x)),
         float(x.endswith(",")),
-        float(bool(_BREAK.search(x))),
+        float(bool(broken_end(x))),
         float(not after),
         float(not before),
         float(len(words)),
@@ -143,30 +149,45 @@ def learn_lines(text: str, rng: np.random.Generator) -> list[tuple[list[float],
     return out
 
 
-def find_furniture(text: str, model: Boosted | None) -> Page:
-    """Mark page numbers, headers beside them and headers next to them."""
-    lines = text.split("\n")
-    alone, beside = _numbers(lines)
-    width = _width([x for i, x in enumerate(lines) if i not in beside])
-    marked = set(alone) | set(beside)
+def _neighbours(lines: list[str], alone: set[int], marked: set[int]) -> list[tuple[int, int]]:
+    """(number line, line next to it) that may be a header; at most one blank line lies between."""
+    out = []
     for i in sorted(alone):
-        best = None
         for step in (-1, 1):
             j = i + step
             while 0 <= j < len(lines) and not lines[j].strip():
                 j += step
-            if not 0 <= j < len(lines) or j in marked or abs(j - i) > 2:
-                continue
-            f = line_features(lines, j, width, None, _around(lines, j, marked))
-            if model is not None:
-                score = float(model.probability(np.array([f]))[0])
-            else:
-                score = float(f[1] > 0 and f[3] == 0 and (f[2] > 0.9 or f[4] == 0 or f[7] > 0) and not f[11])
-            if score >= 0.5 and (best is None or score > best[0]):
-                best = (score, j)
-        if best is not None:
-            marked.add(best[1])
-    return Page(lines, [i in marked for i in range(len(lines))])
+            if 0 <= j < len(lines) and j not in marked and abs(j - i) <= 2:
+                out.append((i, j))
+    return out
+
+
+def find_furniture(texts: list[str], model: Boosted | None) -> list[Page]:
+    """Mark page numbers, headers beside them and headers next to them in each text; the lines of all texts are judged at once."""
+    pages, cands, feats = [], [], []
+    for k, text in enumerate(texts):
+        lines = text.split("\n")
+        alone, beside = _numbers(lines)
+        width = _width([x for i, x in enumerate(lines) if i not in beside])
+        marked = alone | beside
+        pages.append(Page(lines, [i in marked for i in range(len(lines))]))
+        for i, j in _neighbours(lines, alone, marked):
+            cands.append((k, i, j))
+            feats.append(line_features(lines, j, width, None, _around(lines, j, marked)))
+    if not cands:
+        return pages
+    f = np.array(feats)
+    if model is not None:
+        score = model.probability(f)
+    else:
+        score = ((f[:, 1] > 0) & (f[:, 3] == 0) & ((f[:, 2] > 0.9) | (f[:, 4] == 0) | (f[:, 7] > 0)) & (f[:, 11] == 0)).astype(float)
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for (k, i, j), s in zip(cands, score.tolist()):
+        if s >= 0.5 and s > best.get((k, i), (0.0, 0))[0]:
+            best[k, i] = (s, j)
+    for (k, _), (_, j) in best.items():
+        pages[k].furniture[j] = True
+    return pages
 
 
 def read_page(page: Page) -> tuple[list[str], list[tuple[str, str, str]]]:
@@ -177,7 +198,7 @@ def read_page(page: Page) -> tuple[list[str], list[tuple[str, str, str]]]:
     carry = 0
     for k, line in enumerate(body):
         end = len(line)
-        m = _BREAK.search(line)
+        m = broken_end(line)
         t = None
         if m and k + 1 < len(body):
             t = _TOKEN.match(body[k + 1].lstrip())
@@ -243,13 +264,11 @@ def _events(rows: DataFrame, model: Boosted | None, common: frozenset[str]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for src, rec, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if not text or not is_scan(text):
-                    continue
-                page = find_furniture(text, model)
+            rows_ = [x for x in zip(*(batch.column(i).to_pylist() for i in range(3))) if x[2] and is_scan(x[2])]
+            for (src, rec, _), page in zip(rows_, find_furniture([x[2] for x in rows_], model)):
                 out.extend((src, rec, "line", x.strip(), None, None) for x, f in zip(page.lines, page.furniture) if f)
                 words, broken = read_page(page)
-                out.extend((src, rec, "word", w, None, None) for w in set(words) if any(c.isalpha() for c in w) and not _known(w, common))
+                out.extend((src, rec, "word", w, None, None) for w in set(words) if w not in common and any(c.isalpha() for c in w) and not _known(w, common))
                 out.extend((src, rec, "break", a, b, s) for a, b, s in set(broken))
             cols = list(zip(*out)) if out else [[] for _ in range(6)]
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
@@ -515,7 +534,7 @@ def _like(pattern: str, word: str) -> str:
 
 def rebuild(text: str, fix: dict[str, str], model: Boosted | None) -> str:
     """Running paragraphs of one scanned text. A blank line ends a paragraph, except where furniture made it."""
-    page = find_furniture(text, model)
+    page = find_furniture([text], model)[0]
     parts: list[list[str]] = [[]]
     pending_blank = after_furniture = False
     for line, furniture in zip(page.lines, page.furniture):
@@ -527,7 +546,7 @@ def rebuild(text: str, fix: dict[str, str], model: Boosted | None) -> str:
             continue
         x = line.strip()
         last = parts[-1][-1] if parts[-1] else ""
-        goes_on = last and (not _END.search(last)) and (x[:1].islower() or bool(_BREAK.search(last)))
+        goes_on = last and (not _END.search(last)) and (x[:1].islower() or bool(broken_end(last)))
         if pending_blank and last and not (after_furniture and goes_on):
             parts.append([])
         elif last and _HEADING.match(last) and len(parts[-1]) == 1 and not x[:1].islower() and len(last) < 40:
@@ -542,7 +561,7 @@ def rebuild(text: str, fix: dict[str, str], model: Boosted | None) -> str:
     for lines in parts:
         flow = ""
         for x in lines:
-            m = _BREAK.search(flow) if flow else None
+            m = broken_end(flow) if flow else None
             t = _TOKEN.match(x) if m else None
             if m and t:
                 form = fix.get(f"{m[1].lower()}\n{t[0].lower()}", m[1].lower() + t[0].lower())
