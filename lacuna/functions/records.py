@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def is_json(c: Column) -> Column:
+    """Whether the whole text is one JSON value; null is none. (The parser alone would accept what follows a value.)"""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return v.isNotNull() & F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+
+
 def tolerant_json(c: Column) -> Column:
     """The first readable JSON object of a text as JSON text, else null.
 
@@ -15,8 +21,8 @@ def tolerant_json(c: Column) -> Column:
     fence = F.regexp_extract(c, r"```(?:json|JSON)?\s*([\s\S]*?)```", 1)
     span = F.regexp_extract(c, r"\{[\s\S]*\}", 0)
     ends = F.filter(F.sequence(F.length(span), F.lit(2), F.lit(-1)), lambda i: F.substring(span, i, F.lit(1)) == "}")
-    shorter = F.get(F.filter(F.transform(ends, lambda i: F.substring(span, F.lit(1), i)), lambda s: F.try_parse_json(s).isNotNull()), F.lit(0))
-    ok = lambda x: F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{")
+    shorter = F.get(F.filter(F.transform(ends, lambda i: F.substring(span, F.lit(1), i)), is_json), F.lit(0))
+    ok = lambda x: is_json(x) & F.ltrim(x).startswith("{")
     return F.when(ok(c), c).when(ok(fence), fence).when(ok(span), span).when(F.length(span) > 1, shorter)
 
 

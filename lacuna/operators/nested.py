@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.records import is_json
+
 #: Names under which the records give the id of an evidence item's paper.
 PAPER_KEYS = ("paper_id", "paperId")
 
@@ -85,7 +87,7 @@ def read_ideas(df: DataFrame, record: str = "record") -> DataFrame:
     """
     raw = F.regexp_replace(F.col(record), r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "")
     top = "idea_id string, mode string, pair string, idea string, evidence_used string"
-    d = df.select(raw.alias("r")).where(F.try_parse_json("r").isNotNull() & F.ltrim("r").startswith("{"))
+    d = df.select(raw.alias("r")).where(is_json(F.col("r")) & F.ltrim("r").startswith("{"))
     d = d.select(F.from_json("r", top).alias("o"))
     d = d.select(
         F.expr("try_cast(try_cast(trim(o.idea_id) as double) as bigint)").alias("idea_id"),

@@ -28,7 +28,7 @@ def panel_agreement(panel: DataFrame, item: str = "idea_id") -> DataFrame:
     d = panel.groupBy(item).agg(*sd)
     given = F.filter(F.array(*AXES), lambda x: x.isNotNull())
     mean = F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(given), F.lit(0))
-    return d.select(item, F.round(F.coalesce(F.greatest(F.lit(0.0), 1 - mean / 4), F.lit(1.0)), 6).alias("agreement"))
+    return d.select(item, F.round(F.when(mean.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean / 4)), 6).alias("agreement"))
 
 
 def testable(prediction: Column, baseline: Column) -> Column:

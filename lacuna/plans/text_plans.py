@@ -161,9 +161,9 @@ SQL: dict[str, str] = {
     + ") / 4, 6) AS composite FROM m",
     "panel_agreement": "WITH s AS (SELECT idea_id, "
     + ", ".join(f"CASE WHEN count({_NUM.format(c=a)}) >= 2 THEN stddev_pop({_NUM.format(c=a)}) END AS {a}" for a in AXES)
-    + " FROM panel_scores GROUP BY 1) SELECT idea_id, round(coalesce(greatest(0, 1 - list_avg(list_filter(["
+    + " FROM panel_scores GROUP BY 1), a AS (SELECT idea_id, list_avg(list_filter(["
     + ", ".join(AXES)
-    + "], lambda x: x IS NOT NULL)) / 4), 1), 6) AS agreement FROM s",
+    + "], lambda x: x IS NOT NULL)) AS m FROM s) SELECT idea_id, round(CASE WHEN m IS NULL THEN 1 ELSE greatest(0, 1 - m / 4) END, 6) AS agreement FROM a",
     "judge_composite": "SELECT score_id, round((" + " + ".join(f"coalesce(round_even({_NUM.format(c=a)}, 0), 0)" for a in AXES) + ") / 4, 6) AS composite FROM panel_scores",
     "unpivoted_axes": " UNION ALL ".join(f"SELECT score_id, '{a}' AS axis, {a} AS raw FROM panel_scores" for a in AXES),
     "metric_mean_std": f"WITH {_MS} SELECT * FROM ms",
