@@ -32,6 +32,8 @@ from lacuna.llm.abuse_seeds import ABUSIVE, HARMLESS
 LABELLED_DOCUMENTS = 20_000
 TRAINING_SENTENCES = 9_000
 LANDMARKS = 400
+#: Harmless sentences that others are held against to find odd ones.
+ANCHORS = 400
 #: Gap patterns (offsets of the later characters) and the weight per spread character.
 WINDOW, DECAY = 5, 0.7
 PATTERNS = [o for n in (2, 3) for o in combinations(range(1, WINDOW), n)]
@@ -133,6 +135,18 @@ def _pick(s: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), np.cumsum(sizes) - sizes
 
 
+def encode_many(texts: list[str], at_once: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, start of each sentence, text of each sentence), a few texts at a time to bound memory."""
+    parts, starts, owners, size = [], [], [], 0
+    for i in range(0, len(texts), at_once):
+        s, st, own, _ = encode(texts[i : i + at_once])
+        parts.append(s)
+        starts.append(st + size)
+        owners.append(own + i)
+        size += len(s)
+    return np.concatenate(parts), np.concatenate(starts), np.concatenate(owners)
+
+
 def subsequences(s: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
     """Feature of the subsequence that starts at each symbol; 0 where it leaves the sentence."""
     n = len(s)
@@ -190,13 +204,20 @@ def dense(s: np.ndarray, starts: np.ndarray, rare: np.ndarray) -> np.ndarray:
     for o in PATTERNS:
         np.add.at(out, (row, subsequences(s, o)), np.float32(_weight(o)))
     out *= rare
-    return out / mass(s, starts, rare)[:, None].astype(np.float32)
+    out /= mass(s, starts, rare)[:, None].astype(np.float32)
+    return out
+
+
+def ready(vectors: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Feature vectors in rows as a lookup table for ``against``."""
+    table = np.ascontiguousarray(vectors.T)
+    table *= rare if table.ndim == 1 else rare[:, None]
+    return table
 
 
 def against(s: np.ndarray, starts: np.ndarray, rare: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Kernel of every sentence with the vectors in the columns of ``table``."""
+    """Kernel of every sentence with the vectors of a ``ready`` table."""
     n = len(s)
-    table = table * (rare if table.ndim == 1 else rare[:, None])
     if table.ndim == 1:
         per = np.zeros(n, dtype=np.float32)
         for o in PATTERNS:
@@ -237,14 +258,14 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, c: np.ndarray, l2: float) -> np
 
 @dataclass
 class AbuseModel:
-    """Weight and rarity of every subsequence, and the intercept."""
+    """Lookup table and rarity of every subsequence, and the intercept."""
 
-    weights: np.ndarray
+    table: np.ndarray
     rare: np.ndarray
     intercept: float
 
     def sentence_scores(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return against(s, starts, self.rare, self.weights) + self.intercept
+        return against(s, starts, self.rare, self.table) + self.intercept
 
     def document_scores(self, texts: list[str]) -> np.ndarray:
         """Greatest sentence score of each text; minus infinity without a sentence."""
@@ -267,7 +288,7 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
     rng = np.random.default_rng(seed)
     docs = [*texts, *ABUSIVE, *HARMLESS]
     doc_y = np.array([*labels, *[1] * len(ABUSIVE), *[0] * len(HARMLESS)])
-    s, starts, text, _ = encode(docs)
+    s, starts, text = encode_many(docs)
     bounds = np.append(starts, len(s))
     first: dict[tuple[bytes, int], int] = {}
     for i in range(len(starts)):  # one copy of each sentence and label
@@ -286,7 +307,7 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
     odd = np.zeros(len(suspect), dtype=bool)
     if len(base) and len(suspect):
         half = len(base) // 2 or 1
-        anchors = dense(*_pick(s, starts, base[:half][:800]), rare).T.copy()
+        anchors = ready(dense(*_pick(s, starts, base[:half][:ANCHORS]), rare), rare)
         near = against(*_pick(s, starts, suspect), rare, anchors).max(axis=1)
         usual = against(*_pick(s, starts, base[half:][:1500] if len(base) > 1 else base), rare, anchors).max(axis=1)
         known = np.array([(s[bounds[i] : bounds[i + 1]].tobytes(), 0) in first for i in suspect])
@@ -296,8 +317,8 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
     abusive_seeds, fixed = set(positive) & set(seeds), set(seeds)
     marks = np.unique(np.concatenate([rng.permutation(suspect[odd])[: LANDMARKS // 2], rng.permutation(base)[: LANDMARKS // 4], seeds]))
     d = dense(*_pick(s, starts, marks), rare)
-    dt = d.T.copy()
-    kmm = d.astype(np.float64) @ d.T.astype(np.float64)
+    kmm = (d @ d.T).astype(np.float64)
+    dt = ready(d, rare)
     val, vec = np.linalg.eigh(kmm)
     good = val > val.max() * 1e-6
     root = vec[:, good] / np.sqrt(val[good])
@@ -319,7 +340,7 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
         z, y = rows_of(rows), np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         c = np.where(y > 0, float(np.clip(0.6 * len(neg) / max(1, len(pos)), 1, 30)), 1.0)
         w = _squared_hinge(z, y, c, l2)
-        table, intercept = (dt @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+        table, intercept = ready((root @ w[:-1]).astype(np.float32) @ d, rare), float(w[-1])
         if r == rounds - 1:
             break
         f = against(*_pick(s, starts, suspect), rare, table) + intercept if len(suspect) else np.zeros(0)
