@@ -46,9 +46,10 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(a: Column | str) -> Column:
-    """At length one; lengths below 1e-9 count as that."""
-    n = F.greatest(F.lit(1e-9), norm(a))
-    return F.transform(F.col(a) if isinstance(a, str) else a, lambda x: x.cast("double") / n)
+    """At length one; lengths below 1e-9 count as that. The length is worked out once per vector."""
+    v = F.col(a) if isinstance(a, str) else a
+    n = F.greatest(F.lit(1e-9), norm(v))
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, y: x.cast("double") / y)
 
 
 def usable(a: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.numeric import dot, norm
+from lacuna.functions.numeric import dot, unit
 from lacuna.operators import similarity
 
 #: Rows that the quadratic clusterers take, at most.
@@ -27,7 +27,7 @@ def silhouette_cosine(df: DataFrame, label: str = "label", vector: str = "embedd
     The mean distance of a row to a cluster is 1 minus its product with the cluster's
     mean unit vector, so a row meets each cluster once and never another row.
     """
-    d = df.where(F.col(label) != -1).withColumn("u", F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))).withColumn("rid", F.monotonically_increasing_id()).select("rid", label, "u")
+    d = df.where(F.col(label) != -1).withColumn("u", unit(vector)).withColumn("rid", F.monotonically_increasing_id()).select("rid", label, "u")
     sums = similarity.centroids(d, label, "u").select(F.col(label).alias("other"), F.col("centroid").alias("c"), F.col("n").alias("m"))
     x = d.crossJoin(F.broadcast(sums)) if sums.limit(MOST_ROWS + 1).count() <= MOST_ROWS else d.join(sums)
     mean = dot("u", "c")

@@ -57,19 +57,37 @@ def block_join(queries: DataFrame, rows: DataFrame, work: Callable[[np.ndarray,
     return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(run, _PAIRS)
 
 
-def _tiles(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray, pick: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Products in tiles; ``pick(products, first query)`` gives the wanted positions."""
+#: Error of a product of unit vectors in float32, and of rounding to 6 decimals.
+SLACK = 3e-6
+
+
+def _tiles(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray, pick: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]], keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Products in float32 tiles; what ``pick(products, first query)`` lets through is worked out in double precision and kept by ``keep(cosines)``."""
     a, b, c = [], [], []
-    rt = np.ascontiguousarray(r.T)
+    rt, q32 = np.ascontiguousarray(r.T.astype(np.float32)), q.astype(np.float32)
     for i in range(0, len(q), 1024):
-        s = q[i : i + 1024] @ rt
-        x, y = pick(s, i)
+        x, y = pick(q32[i : i + 1024] @ rt, i)
+        exact = np.empty(len(x))
+        for k in range(0, len(x), 200_000):
+            exact[k : k + 200_000] = np.einsum("ij,ij->i", q[i + x[k : k + 200_000]], r[y[k : k + 200_000]])
+        exact = np.round(exact, 6)
+        if keep is not None:
+            m = keep(exact)
+            x, y, exact = x[m], y[m], exact[m]
         a.append(qi[i + x])
         b.append(ri[y])
-        c.append(np.round(s[x, y], 6))
+        c.append(exact)
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
+def first_per_query(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` greatest of each query, ties to the smaller id."""
+    o = np.lexsort((b, -c, a))
+    a, b, c = a[o], b[o], c[o]
+    m = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[m], b[m], c[m]
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding", least: float | None = None, not_self: bool = False) -> DataFrame:
     """``a, b, cosine, rank``: the ``k`` rows of greatest cosine (6 decimals) for every query, ties to the smaller id.
 
@@ -81,25 +99,20 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
         return rows.sparkSession.createDataFrame([], _PAIRS + ", rank int")
 
     def work(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(ri)
-        ri, r = ri[order], r[order]
+        extra = 1 if not_self else 0
 
         def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-            t = np.round(s, 6)
-            if not_self:
-                t[qi[i : i + len(s), None] == ri[None, :]] = -9
-            kk = min(k, t.shape[1])
-            bar = np.partition(t, t.shape[1] - kk, axis=1)[:, t.shape[1] - kk]
+            kk = min(k + extra, s.shape[1])
+            bar = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk] - SLACK
             if least is not None:
-                bar = np.maximum(bar, least)
-            x, y = np.nonzero((t >= bar[:, None]) & (t > -5))
-            # of ties at the bar, the smaller ids
-            o = np.lexsort((y, -t[x, y], x))
-            x, y = x[o], y[o]
-            n = np.arange(len(x)) - np.searchsorted(x, x)
-            return x[n < k], y[n < k]
+                bar = np.maximum(bar, least - SLACK)
+            x, y = np.nonzero(s >= bar[:, None])
+            if not_self:
+                m = qi[i + x] != ri[y]
+                x, y = x[m], y[m]
+            return x, y
 
-        return _tiles(qi, q, ri, r, pick)
+        return first_per_query(*_tiles(qi, q, ri, r, pick, None if least is None else lambda c: c >= least), k)
 
     d = block_join(_usable(queries, query_key, vector, dim), _usable(rows, row_key, vector, dim), work, dim)
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
@@ -114,10 +127,9 @@ def within(queries: DataFrame, rows: DataFrame, low: float, high: float, query_k
 
     def work(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
         def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-            t = np.round(s, 6)
-            return np.nonzero((t >= low) & (t <= high))
+            return np.nonzero((s >= low - SLACK) & (s <= high + SLACK))
 
-        return _tiles(qi, q, ri, r, pick)
+        return _tiles(qi, q, ri, r, pick, lambda c: (c >= low) & (c <= high))
 
     return block_join(_usable(queries, query_key, vector, dim), _usable(rows, row_key, vector, dim), work, dim)
 
@@ -149,10 +161,10 @@ def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding",
         def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
             ok = ia[i : i + len(s), None] < ib[None, :] if same else ia[i : i + len(s), None] != ib[None, :]
             if least is not None:
-                ok &= np.round(s, 6) >= least
+                ok &= s >= least - SLACK
             return np.nonzero(ok)
 
-        x, y, c = _tiles(ia, unit_matrix(a["v"], dim), ib, unit_matrix(b["v"], dim), pick)
+        x, y, c = _tiles(ia, unit_matrix(a["v"], dim), ib, unit_matrix(b["v"], dim), pick, None if least is None else lambda v: v >= least)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
 
     keys = ["g", "p", "q"]
