@@ -21,4 +21,14 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p5_found, p5_ideas, p5_evidence)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": r"""WITH r AS (SELECT regexp_replace(regexp_replace(record, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '') AS r FROM ideas_full), o AS (SELECT CAST(r AS JSON) AS j FROM r WHERE json_valid(r) AND ltrim(r) LIKE '{%'),
+    i AS (SELECT TRY_CAST(json_extract_string(j, '$.idea_id') AS BIGINT) AS idea_id, json_extract(j, '$.pair') AS p, CASE WHEN json_type(json_extract(j, '$.idea')) = 'VARCHAR' AND json_valid(json_extract_string(j, '$.idea')) THEN CAST(json_extract_string(j, '$.idea') AS JSON) ELSE json_extract(j, '$.idea') END AS i, json_extract(j, '$.evidence_used') AS t FROM o WHERE TRY_CAST(json_extract_string(j, '$.idea_id') AS BIGINT) IS NOT NULL),
+    e0 AS (SELECT idea_id, CASE WHEN json_extract(i, '$.evidence_used') IS NULL OR json_type(json_extract(i, '$.evidence_used')) = 'NULL' THEN t ELSE json_extract(i, '$.evidence_used') END AS e FROM i),
+    e1 AS (SELECT idea_id, CASE WHEN json_type(e) = 'VARCHAR' AND json_valid(json_extract_string(e, '$')) THEN CAST(json_extract_string(e, '$') AS JSON) ELSE e END AS e FROM e0 WHERE e IS NOT NULL),
+    e2 AS (SELECT row_number() OVER () AS row_id, idea_id, CASE json_type(e) WHEN 'ARRAY' THEN json_extract(e, '$[*]') WHEN 'OBJECT' THEN [e] ELSE [] END AS l FROM e1),
+    e3 AS (SELECT row_id, idea_id, unnest(l) AS x, unnest(range(len(l))) AS a FROM e2), e4 AS (SELECT row_id, idea_id, a, unnest(CASE WHEN json_type(x) = 'ARRAY' THEN json_extract(x, '$[*]') ELSE [x] END) AS x, unnest(range(CASE WHEN json_type(x) = 'ARRAY' THEN len(json_extract(x, '$[*]')) ELSE 1 END)) AS b FROM e3),
+    e5 AS (SELECT idea_id, row_number() OVER (PARTITION BY row_id ORDER BY a, b) - 1 AS n, trim(coalesce(json_extract_string(x, '$.paper_id'), json_extract_string(x, '$.paperId'), json_extract_string(x, '$.paper.id'), '')) AS ref FROM e4),
+    pr AS (SELECT idea_id, unnest(CASE WHEN json_type(p) = 'ARRAY' THEN [json_extract_string(p, '$[0]'), json_extract_string(p, '$[1]')] ELSE [coalesce(json_extract_string(p, '$.cluster_a'), json_extract_string(p, '$.a.cluster_id')), coalesce(json_extract_string(p, '$.cluster_b'), json_extract_string(p, '$.b.cluster_id'))] END) AS ref, unnest([0, 1]) AS n FROM i)
+    SELECT DISTINCT idea_id, 'pair' AS child, CAST(n AS INTEGER) AS child_no, trim(ref) AS ref FROM pr WHERE trim(ref) <> '' UNION SELECT idea_id, 'idea', 0, trim(json_extract_string(i, '$.title')) FROM i WHERE trim(json_extract_string(i, '$.title')) <> '' UNION SELECT idea_id, 'evidence', CAST(n AS INTEGER), ref FROM e5 WHERE ref <> ''""",
+}
