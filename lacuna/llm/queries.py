@@ -116,4 +116,11 @@ SQL: dict[str, str] = {
     + "), i AS (SELECT axis, idea_id, CAST(count(y) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s, CAST(sum(y * y) AS DOUBLE) AS q FROM l GROUP BY ALL HAVING count(y) >= 2),"
     " t AS (SELECT axis, count(*) AS n_items, sum(n) AS n, sum((n * q - s * s) * 2 / (n - 1)) AS w, sum(s) AS s, sum(q) AS q FROM i GROUP BY axis)"
     " SELECT axis, n_items, CAST(n AS BIGINT) AS n_labels, round(1 - w / ((n * q - s * s) * 2 / (n - 1)), 6) AS alpha FROM t",
+    "p3_found": """WITH w AS (SELECT gap_idx, list_distinct(regexp_extract_all(lower(gap_sentence), '[a-z0-9]+')) AS s, list_distinct(regexp_extract_all(lower(paragraph_text), '[a-z0-9]+')) AS p FROM gaps WHERE gap_sentence <> '' AND paragraph_text <> ''),
+    ok AS (SELECT * FROM w WHERE len(s) > 0 AND len(p) > 0),
+    t AS (SELECT gap_idx, unnest(s) AS x FROM ok), n AS (SELECT a.gap_idx AS gap_a, b.gap_idx AS gap_b, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.gap_idx < b.gap_idx GROUP BY 1, 2),
+    c AS (SELECT gap_a, gap_b, a.p AS pa, b.p AS pb FROM n JOIN ok a ON a.gap_idx = gap_a JOIN ok b ON b.gap_idx = gap_b WHERE c >= 0.6 * (len(a.s) + len(b.s) - c) - 1e-9)
+    SELECT gap_a, gap_b FROM c WHERE len(list_intersect(pa, pb)) >= 0.75 * (len(pa) + len(pb) - len(list_intersect(pa, pb))) - 1e-9""",
+    "p6_found": """WITH g AS (SELECT gap_idx, list_transform(e, lambda x: x / n) AS v FROM (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM (SELECT gap_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM gaps WHERE embedding IS NOT NULL)) WHERE n > 0), m AS (SELECT method_idx, list_transform(e, lambda x: x / n) AS v FROM (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM (SELECT method_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM methods WHERE embedding IS NOT NULL)) WHERE n > 0)
+    SELECT method_idx, gap_idx FROM (SELECT method_idx, gap_idx, row_number() OVER (PARTITION BY method_idx ORDER BY round(list_dot_product(m.v, g.v), 6) DESC, gap_idx) AS r FROM m CROSS JOIN g) WHERE r <= 5""",
 }
