@@ -67,3 +67,29 @@ def result_lines(c: Column) -> Column:
         )
 
     return F.transform(got, part)
+
+
+def merged_map(base: Column, over: Column) -> Column:
+    """Entries of both maps; where both have a key, that of ``over``."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def public_fields(m: Column) -> Column:
+    """A map without the keys that begin with an underscore."""
+    return F.map_filter(m, lambda k, _: ~k.startswith("_"))
+
+
+def revised(new: Column, old: Column, fields: list[str]) -> Column:
+    """Struct of ``fields`` from ``new``, from ``old`` where the new one lacks them."""
+    return F.struct(*[F.coalesce(new[f], old[f]).alias(f) for f in fields])
+
+
+def verdict(c: Column) -> Column:
+    """``accept``, ``revise`` or ``reject``; anything else asks for a revision."""
+    v = F.lower(F.trim(c))
+    return F.when(v.isin("accept", "revise", "reject"), v).otherwise(F.lit("revise"))
+
+
+def known_citations(related: Column, known: Column) -> Column:
+    """Related work without papers that are not known; unchanged if nothing is known."""
+    return F.when(F.size(known) > 0, F.filter(related, lambda x: F.array_contains(known, x["paper_id"]))).otherwise(related)
