@@ -1,6 +1,7 @@
 """The k most similar vectors of every query vector, by block matrix joins.
 
-Queries visit the blocks of their nearest cells. Inside a block, vectors are quantised
+Queries visit the blocks of their nearest cells; a row stands in its two nearest ones, so
+that neighbours on both sides of a border meet. Inside a block, vectors are quantised
 to int8 and multiplied tile by tile; the length of the quantisation error of each vector
 bounds the error of every product, so only pairs that may still be among the k best are
 recomputed in double precision. Partial lists of k are merged per query. Queries whose
@@ -19,6 +20,8 @@ from lacuna.session import cut
 
 #: Cells a query visits first.
 PROBES = 12
+#: Cells a row stands in.
+HOMES = 2
 #: A query whose k-th cosine is below this after its first visits is searched everywhere.
 SURE = 0.70
 #: Rows of a product tile.
@@ -80,7 +83,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
     if not dim:
         return spark.createDataFrame([], "qid bigint, id bigint, cosine double, rank int")
     cells = V.fit_cells(rows, row_id, vector, dim, rows.count())
-    home = cut(V.index_rows(rows, row_id, vector, cells, raw=True))
+    home = V.index_rows(rows, row_id, vector, cells, raw=True, homes=HOMES)
     blocks = V.block_counts(home, len(cells.centres))
     home = V.with_block(home, blocks)
     asked = cut(V.index_rows(queries, query_id, vector, cells, raw=True).select("id", "v"))
@@ -97,6 +100,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
     if len(cells.centres) > probes:
         settled = best.where((F.col("rank") == k) & (F.col("cosine") >= sure)).select(F.col("qid").alias("id"))
         open_ = asked.join(settled, "id", "left_anti")
-        rest = V.meet(home, V.visit(open_, cells, blocks, len(cells.centres)), work, _OUT)
+        rest = V.meet(home.where("nth = 0"), V.visit(open_, cells, blocks, len(cells.centres)), work, _OUT)
         best = _best(first.unionByName(rest).distinct(), k)
     return best

@@ -145,17 +145,23 @@ def fit_cells(df: DataFrame, key: str, vector: str, dim: int, n_rows: int) -> Ce
     return Cells(bisect_centres(unit(x), k) if len(x) else np.eye(1, dim, dtype=np.float32))
 
 
-def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = False) -> DataFrame:
-    """``cell, id, v``: every usable row in its nearest cell, ``v`` its unit vector in float16 (``raw``: the vector as it came, in float32)."""
+def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = False, homes: int = 1) -> DataFrame:
+    """``cell, id, v``: every usable row in its nearest cell, or in the ``homes`` nearest, told apart by ``nth``; ``v`` its unit vector in float16 (``raw``: the vector as it came, in float32)."""
     dim = cells.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = matrix(b.column(1), dim)
             u = unit(x)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.nearest(u)[:, 0]), b.column(0).cast(pa.int64()).take(pa.array(rows)), to_binary(x if raw else u.astype(np.float16))], names=["cell", "id", "v"])
+            near = cells.nearest(u, homes)
+            ids, v = b.column(0).cast(pa.int64()).take(pa.array(rows)), to_binary(x if raw else u.astype(np.float16))
+            if homes == 1:
+                yield pa.RecordBatch.from_arrays([pa.array(near[:, 0]), ids, v], names=["cell", "id", "v"])
+            else:
+                for k in range(near.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(near[:, k]), ids, v, pa.array(np.full(len(ids), k, np.int32))], names=["cell", "id", "v", "nth"])
 
-    return df.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInArrow(run, "cell int, id bigint, v binary")
+    return df.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInArrow(run, "cell int, id bigint, v binary" + ", nth int" * (homes > 1))
 
 
 def block_counts(indexed: DataFrame, n_cells: int, block_rows: int = BLOCK_ROWS) -> np.ndarray:
