@@ -33,6 +33,8 @@ LENIENCE = 0.95
 JOINED = 0.70
 #: Cells a leaf or group centre visits, and a leaf of a single row.
 VISITS, VISITS_ALONE = 12, 3
+#: Cells a settled group centre visits to collect its members.
+VISITS_LAST = 40
 
 
 def sample_nearness(n: np.ndarray, closeness: float = CLOSENESS) -> np.ndarray:
@@ -158,7 +160,7 @@ def _fragment_edges(leaves: DataFrame, cells: V.Cells, closeness: float) -> Data
     return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS, VISITS_ALONE), work, _EDGE).distinct()
 
 
-def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float) -> DataFrame:
+def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float, visits: int = VISITS) -> DataFrame:
     """Each row's nearest group centre among those that visit its block, of cosine ``least`` or more; ties take the smaller group.
 
     Besides a row for each member, every block gives its share of a group: the number of
@@ -190,7 +192,7 @@ def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.nda
         share = V.to_binary(np.add.reduceat(x[m], start, axis=0))
         return pa.concat_tables([rows, pa.table({"id": pa.nulls(len(start), pa.int64()), "grp": g[start], "cosine": pa.nulls(len(start), pa.float64()), "n": size.astype(np.int64), "v": share})])
 
-    return V.meet(points, V.visit(groups, cells, blocks, VISITS), work, _MEMBER)
+    return V.meet(points, V.visit(groups, cells, blocks, visits), work, _MEMBER)
 
 
 def _members(assigned: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embe
     for _ in range(rounds):
         got = _assign(points, centres.select("id", "v"), cells, blocks, least_cosine)
         centres = cut(_centres(got.where("id is null").select(F.col("grp").alias("id"), "n", "v"), dim, least_size))
-    final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine)))
+    final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_LAST)))
     large = final.groupBy("grp").count().where(F.col("count") >= least_size).select("grp")
     return final.join(large, "grp", "left_semi").select("id", "grp", "cosine")
 
