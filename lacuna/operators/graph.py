@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.numeric import share
 from lacuna.operators import similarity
 from lacuna.operators.components import connected_components
-from lacuna.operators.rows import share_of_max
+from lacuna.operators.rows import numbered, share_of_max
 
 #: Weight of a semantic edge per cosine, of a common paper, and of a common section per cosine.
 WEIGHTS = {"semantic": 1.0, "paper": 0.5, "section": 0.3}
@@ -140,8 +140,8 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 def renumber(members: DataFrame, nodes: DataFrame, paper: str = "id") -> DataFrame:
     """``node, cluster_id``: communities numbered from 0 by papers, then members, then old name. ``nodes`` has ``node`` and the paper."""
     size = members.join(nodes, "node").groupBy("community").agg(F.countDistinct(paper).alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("p"), F.desc("n"), "community")
-    return members.join(size.select("community", (F.row_number().over(w) - 1).alias("cluster_id")), "community").select("node", "cluster_id")
+    names = numbered(size, F.desc("p"), F.desc("n"), F.col("community"), name="cluster_id")
+    return members.join(names.select("community", F.col("cluster_id").cast("int").alias("cluster_id")), "community").select("node", "cluster_id")
 
 
 def brandes(src: np.ndarray, dst: np.ndarray, sources: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

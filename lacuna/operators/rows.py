@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import coerce
 from lacuna.functions.text import one_line
+from lacuna.session import cut
 
 
 def keep_first(df: DataFrame, keys: list[str | Column], *order: str | Column) -> DataFrame:
@@ -39,6 +40,23 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """Rows with their number from 0 by ``order`` (unique), without a window over the whole table.
+
+    Rows are put in ranges and kept; each range counts its rows, and a range's numbers
+    begin where those before it end. Only one count per range reaches the driver.
+    """
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    d = cut(df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()))
+    begin, starts = 0, []
+    for r in sorted(d.groupBy("_part").count().collect()):
+        starts.append((r["_part"], begin))
+        begin += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _begin bigint")
+    w = Window.partitionBy("_part").orderBy(*cols)
+    return d.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_begin") + F.row_number().over(w) - 1).drop("_part", "_begin")
+
+
 def bootstrap(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     """``size`` draws with replacement: ``draw`` and the drawn row's columns.
 
@@ -48,9 +66,8 @@ def bootstrap(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     n = df.count()
     if not n:
         return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
-    numbered = df.withColumn("_no", F.row_number().over(Window.orderBy(key)) - 1)
-    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("_no"))
-    return draws.join(numbered, "_no").drop("_no")
+    draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("_no"))
+    return draws.join(numbered(df, key, name="_no"), "_no").drop("_no")
 
 
 def unseen(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import numeric, records, text
@@ -234,9 +234,8 @@ def nulls_last_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_by_ordinal(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy("idea_id")
-    one = table(spark, d, "panel_scores").select("idea_id").distinct().orderBy("idea_id").limit(100)
-    return one.withColumn("ordinal", F.row_number().over(w) - 1).where("ordinal = 7")
+    one = table(spark, d, "panel_scores").select("idea_id").distinct()
+    return rows.numbered(one, "idea_id", name="ordinal").where("ordinal = 7").select("idea_id", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 QUERIES = {

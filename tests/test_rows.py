@@ -16,6 +16,9 @@ def test_selection(spark):
     assert {(r.g, r.id) for r in rows.top_per_group(df, ["g"], 1, F.desc("id")).collect()} == {(0, 48), (1, 49), (2, 47)}
     s = [r.id for r in rows.seeded_sample(df, "id", 10).collect()]
     assert s == [r.id for r in rows.seeded_sample(df.repartition(7), "id", 10).collect()] and len(set(s)) == 10
+    n = rows.numbered(df.repartition(5), F.desc("id")).collect()
+    assert {(r.id, r.number) for r in n} == {(49 - k, k) for k in range(50)}
+    assert rows.numbered(df.limit(0), "id").count() == 0
     assert rows.bootstrap(df, "id", 40).count() == 40
     assert rows.bootstrap(df.limit(0), "id", 4).count() == 0
     assert rows.unseen(df, spark.range(48)).count() == 2
