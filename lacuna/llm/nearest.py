@@ -67,8 +67,9 @@ def block_top(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, y: np.ndarray, k
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every query; a pair that met in two blocks counts once."""
     w = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= k).distinct()
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_idx", query_id: str = "method_idx", vector: str = "embedding", probes: int = PROBES, sure: float = SURE) -> DataFrame:
@@ -95,11 +96,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
         return pa.table({"qid": q, "id": i, "cosine": c})
 
     # a crowd of queries in one cell is cut as the rows are, the rows are sent to each part
-    first = cut(V.meet(home, V.visit(asked, cells, blocks, probes), work, _OUT))
-    best = _best(first.distinct(), k)
+    best = cut(_best(V.meet(home, V.visit(asked, cells, blocks, probes), work, _OUT), k))
     if len(cells.centres) > probes:
         settled = best.where((F.col("rank") == k) & (F.col("cosine") >= sure)).select(F.col("qid").alias("id"))
         open_ = asked.join(settled, "id", "left_anti")
         rest = V.meet(home.where("nth = 0"), V.visit(open_, cells, blocks, len(cells.centres)), work, _OUT)
-        best = _best(first.unionByName(rest).distinct(), k)
+        best = _best(best.drop("rank").unionByName(rest), k)
     return best
