@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import coerce, cosine, peak
-from lacuna.operators import clustering, evidence, graph, rows, similarity
+from lacuna.operators import clustering, evidence, graph, similarity
 from lacuna.plans.row_plans import CLUSTER, gaps
 from lacuna.session import cut, table
 
