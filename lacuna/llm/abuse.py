@@ -32,12 +32,12 @@ LABELLED_DOCUMENTS = 20_000
 TRAINING_SENTENCES = 9_000
 LANDMARKS = 400
 #: Harmless sentences that others are held against to find odd ones.
-ANCHORS = 400
+ANCHORS = 1_200
 #: Gap patterns (offsets of the later characters) and the weight per spread character.
 WINDOW, DECAY = 5, 0.7
 PATTERNS = [o for n in (2, 3) for o in combinations(range(1, WINDOW), n)]
 #: Machine value from which a sentence is abusive; below the middle, as abuse takes ever new words.
-DECISION = -0.3
+DECISION = -0.1
 #: Symbols: 0 space, 1-26 letters, 27 anything else, 28 padding between sentences.
 _BASE, _OTHER, _PAD = 29, 27, 28
 _THREE = _BASE**3
@@ -306,12 +306,15 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
     odd = np.zeros(len(suspect), dtype=bool)
     if len(base) and len(suspect):
         half = len(base) // 2 or 1
-        anchors = ready(dense(*_pick(s, starts, base[:half][:ANCHORS]), rare), rare)
-        near = against(*_pick(s, starts, suspect), rare, anchors).max(axis=1)
-        usual = against(*_pick(s, starts, base[half:][:1500] if len(base) > 1 else base), rare, anchors).max(axis=1)
+        near, usual = np.zeros(len(suspect)), np.zeros(len(base[half:][:1500]) or len(base))
+        others = base[half:][:1500] if len(base) > 1 else base
+        for k in range(0, min(half, ANCHORS), 400):
+            anchors = ready(dense(*_pick(s, starts, base[:half][k : min(k + 400, ANCHORS)]), rare), rare)
+            near = np.maximum(near, against(*_pick(s, starts, suspect), rare, anchors).max(axis=1))
+            usual = np.maximum(usual, against(*_pick(s, starts, others), rare, anchors).max(axis=1))
+            del anchors
         known = np.array([(s[bounds[i] : bounds[i + 1]].tobytes(), 0) in first for i in suspect])
         odd = (near < np.quantile(usual, 0.05)) & ~known
-        del anchors
     positive = set(suspect[odd]) | set(seeds[y_doc[seed_row] == 1])
     abusive_seeds, fixed = set(positive) & set(seeds), set(seeds)
     marks = np.unique(np.concatenate([rng.permutation(suspect[odd])[: LANDMARKS // 2], rng.permutation(base)[: LANDMARKS // 4], seeds]))
