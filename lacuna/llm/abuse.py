@@ -306,13 +306,15 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
     odd = np.zeros(len(suspect), dtype=bool)
     if len(base) and len(suspect):
         half = len(base) // 2 or 1
-        near, usual = np.zeros(len(suspect)), np.zeros(len(base[half:][:1500]) or len(base))
+        # the third nearest counts: a wrong label or two must not vouch for a sentence
         others = base[half:][:1500] if len(base) > 1 else base
+        near, usual = np.zeros((len(suspect), 3)), np.zeros((len(others), 3))
         for k in range(0, min(half, ANCHORS), 400):
             anchors = ready(dense(*_pick(s, starts, base[:half][k : min(k + 400, ANCHORS)]), rare), rare)
-            near = np.maximum(near, against(*_pick(s, starts, suspect), rare, anchors).max(axis=1))
-            usual = np.maximum(usual, against(*_pick(s, starts, others), rare, anchors).max(axis=1))
+            near = np.sort(np.hstack([near, against(*_pick(s, starts, suspect), rare, anchors)]), axis=1)[:, -3:]
+            usual = np.sort(np.hstack([usual, against(*_pick(s, starts, others), rare, anchors)]), axis=1)[:, -3:]
             del anchors
+        near, usual = near[:, 0], usual[:, 0]
         known = np.array([(s[bounds[i] : bounds[i + 1]].tobytes(), 0) in first for i in suspect])
         odd = (near < np.quantile(usual, 0.05)) & ~known
     positive = set(suspect[odd]) | set(seeds[y_doc[seed_row] == 1])
