@@ -9,7 +9,9 @@
 3. Fragments of one group are joined: leaf centres visit the blocks of their nearest
    cells, near ones become edges, connected components of leaves become groups.
 4. Every row takes the nearest group centre of ``least_cosine`` or more; means and
-   members are settled in a few rounds, groups below ``least_size`` are dissolved.
+   members are settled in a few rounds, in which every group of two or more stays, and
+   once more over many cells. Only then are groups below ``least_size`` dissolved, and
+   their rows go to the groups that are left.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ CLOSENESS = 0.87
 LENIENCE = 0.95
 #: Leaf centres of this cosine are joined whatever their sizes.
 JOINED = 0.70
-#: Cells a leaf or group centre visits, and a leaf of a single row.
-VISITS, VISITS_ALONE = 12, 3
+#: Cells a leaf or group centre visits.
+VISITS = 12
 #: Cells a settled group centre visits to collect its members.
 VISITS_LAST = 40
 
@@ -157,10 +159,10 @@ def _fragment_edges(leaves: DataFrame, cells: V.Cells, closeness: float) -> Data
         lo, hi = np.minimum(p[m], q[m]), np.maximum(p[m], q[m])
         return pa.table({"a": lo, "b": hi})
 
-    return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS, VISITS_ALONE), work, _EDGE).distinct()
+    return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS), work, _EDGE).distinct()
 
 
-def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float, visits: int = VISITS) -> DataFrame:
+def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float, visits: int) -> DataFrame:
     """Each row's nearest group centre among those that visit its block, of cosine ``least`` or more; ties take the smaller group.
 
     Besides a row for each member, every block gives its share of a group: the number of
@@ -257,10 +259,10 @@ def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embe
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), V.to_binary(V.from_binary(b.column(2), dim) * n[:, None].astype(np.float32))], names=["id", "n", "v"])
 
     shares = leaves.join(comp, "leaf", "left").select(F.coalesce("component", "leaf").alias("id"), "n", "v").mapInArrow(weigh, "id bigint, n bigint, v binary")
-    centres = cut(_centres(shares, dim, max(2, (least_size + 1) // 2)))
-    for _ in range(rounds):
-        got = _assign(points, centres.select("id", "v"), cells, blocks, least_cosine)
-        centres = cut(_centres(got.where("id is null").select(F.col("grp").alias("id"), "n", "v"), dim, least_size))
+    of = lambda got: got.where("id is null").select(F.col("grp").alias("id"), "n", "v")
+    centres = cut(_centres(shares, dim, 2))
+    for visits, least in [(VISITS, 2)] * rounds + [(VISITS_LAST, least_size)]:
+        centres = cut(_centres(of(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, visits)), dim, least))
     final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_LAST)))
     large = final.groupBy("grp").count().where(F.col("count") >= least_size).select("grp")
     return final.join(large, "grp", "left_semi").select("id", "grp", "cosine")

@@ -93,3 +93,19 @@ def test_bisect_block():
     assert all(len(set(y[leaf == k])) == 1 for k in set(leaf)) and len(set(leaf)) < 40
     assert len(set(clusters.bisect_block(np.tile(c[:1], (50, 1))))) == 1
     assert clusters.bisect_block(c[:1]).tolist() == [0]
+
+
+def test_clusters_of_five_across_cells(spark, monkeypatch):
+    """Clusters whose members lie in cells outside the first visited are whole after the wide pass."""
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(60, 32))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    y = np.repeat(np.arange(60), 5)
+    x = np.concatenate([c[y] + rng.normal(size=(300, 32)) * 0.085, rng.normal(size=(900, 32))])
+    monkeypatch.setattr(V, "CELL_ROWS", 40)
+    real = V.visit
+    monkeypatch.setattr(V, "visit", lambda v, cells, blocks, m, *more: real(v, cells, blocks, m if m == clusters.VISITS_LAST else 2, *more))
+    got = {r.id: r.grp for r in clusters.similarity_clusters(frame(spark, x)).collect()}
+    pairs = lambda lab: {(i, j) for i in lab for j in lab if i < j and lab[i] == lab[j]}
+    want, mine = pairs({i: int(k) for i, k in enumerate(y)}), pairs(got)
+    assert len(want & mine) >= 0.98 * len(want)
