@@ -179,3 +179,27 @@ def test_without_the_llm_folder(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['lacuna.llm'] = None\nimport __spark_entry__ as e, bench, lacuna.cli, lacuna.tools\nq = e.queries()\nassert 'p5_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0
+
+
+def test_theme_mine_keeps_the_community_method(spark, data, monkeypatch):
+    """More edges than one task takes do not swap the method; it is an argument."""
+    assert cli.parser().parse_args(["theme-mine"]).communities == "louvain"
+    a = cli.parser().parse_args(["theme-mine", "--data", data])
+    called = []
+
+    class Told(Exception):
+        pass
+
+    def tell(name):
+        def f(edges):
+            called.append(name)
+            raise Told
+
+        return f
+
+    monkeypatch.setattr(cli.graph, "MOST_EDGES", 1)
+    monkeypatch.setattr(cli, "COMMUNITIES", {"louvain": tell("louvain"), "labels": tell("labels")})
+    for a.communities in ("louvain", "labels"):
+        with pytest.raises(Told):
+            cli.theme_mine(spark, a)
+    assert called == ["louvain", "labels"]
