@@ -82,7 +82,7 @@ def sweet_spot_methods(spark: SparkSession, d: str) -> DataFrame:
 
 def frontier_neighbours(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gaps").select("gap_idx", "embedding")
-    r = similarity.nearest(g.where("gap_idx % 100 = 0"), g, 3, "gap_idx", "gap_idx", not_self=True)
+    r = similarity.nearest(g.where("gap_idx % 20 = 0"), g, 3, "gap_idx", "gap_idx", not_self=True)
     return r.select(F.col("a").alias("seed"), F.col("b").alias("gap_idx"), "cosine", "rank")
 
 

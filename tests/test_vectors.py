@@ -179,3 +179,16 @@ def test_words(spark):
     fl = {x.k: x.f for x in textstats.rouge_l(r, "k", "p", "g").collect()}
     assert f1 == {1: round(2 / 3, 6), 2: 0.0, 3: 1.0} and f2 == {1: 0.5, 2: 0.0, 3: 1.0} and fl == {1: round(2 / 3, 6), 2: 0.0, 3: 1.0}
     assert textstats.common_subsequence(list("abcbdab"), list("bdcaba")) == 4
+
+
+
+def test_frontier_neighbours_seeds(spark, data):
+    """Every twentieth gap with a vector is a seed; the seeds of the SQL keep their neighbours."""
+    from lacuna.plans import vector_plans
+
+    got = vector_plans.frontier_neighbours(spark, data).collect()
+    usable = spark.read.parquet(f"{data}/gaps.parquet").where("gap_idx % 20 = 0 and exists(embedding, x -> x <> 0)")
+    assert {r.seed for r in got} == {r.gap_idx for r in usable.collect()}
+    duckdb = pytest.importorskip("duckdb")
+    want = duckdb.sql(vector_plans.SQL["frontier_neighbours"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in got if r.seed % 100 == 0) == sorted(want)
