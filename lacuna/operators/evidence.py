@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions import text
 from lacuna.functions.numeric import cosine, unit, unit_interval
 from lacuna.operators import similarity
+from lacuna.session import cut
 
 
 def pick_diverse(confidence: list[float], tokens: list[set[str]], k: int) -> list[int]:
@@ -32,24 +33,31 @@ def pick_diverse(confidence: list[float], tokens: list[set[str]], k: int) -> lis
     return chosen
 
 
-def diverse_evidence(df: DataFrame, group: str, key: str, k: int = 4, sentence: str = "gap_sentence", candidates: int = 2_000) -> DataFrame:
-    """``group, key, rank`` of a diverse pick of ``k`` rows per group, sequential within a group.
+def diverse_evidence(df: DataFrame, group: str, key: str, k: int = 4, sentence: str = "gap_sentence") -> DataFrame:
+    """``group, key, rank`` of a diverse pick of ``k`` rows per group, as ``pick_diverse`` takes them.
 
-    A group above ``candidates`` rows takes part with its surest ones; that is the bound
-    of a grouped task. Rows are read in the order of ``key``; a null sentence has no words.
+    Each pick is a pass over the rows of all groups: a row is scored against the picks
+    so far and the greatest score of a group is taken, so no group is gathered. Ties take
+    the smaller ``key``; a null sentence has no words; a group of ``k`` rows or fewer is
+    taken whole in the order of ``key``.
     """
-    d = df.select(group, F.col(key).alias("_key"), F.coalesce("confidence", F.lit(0.0)).alias("c"), F.coalesce(sentence, F.lit("")).alias("s"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), "_key"))).where(F.col("r") <= candidates)
-    kinds = f"`{group}` {df.schema[group].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, rank int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_key")
-        words = [{w.lower() for w in s.split() if len(w) > 3} for s in pdf.s]
-        at = pick_diverse(pdf.c.tolist(), words, k)
-        got = pdf.iloc[at]
-        return pd.DataFrame({group: got[group], key: got["_key"], "rank": range(1, len(at) + 1)})
-
-    return d.groupBy(group).applyInPandas(run, kinds)
+    d = df.select(F.col(group).alias("_g"), F.col(key).alias("_key"), F.coalesce("confidence", F.lit(0.0)).alias("_c"), text.token_set(F.coalesce(sentence, F.lit(""))).alias("_w"))
+    row = F.struct("_key", "_w")
+    best = lambda score: F.min_by(row, F.struct((-score).alias("s"), "_key"))
+    picks = cut(d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.array(best(F.col("_c"))).alias("_p")))
+    both = lambda p: F.size(F.array_union("_w", p["_w"]))
+    alike = lambda p: F.when(both(p) == 0, 0.0).otherwise(F.size(F.array_intersect("_w", p["_w"])) / both(p))
+    for _ in range(1, k):
+        known = picks.select(F.col("_g").alias("_h"), "_p")
+        rest = d.join(F.broadcast(known), F.col("_g").eqNullSafe(F.col("_h"))).where(~F.exists("_p", lambda p: p["_key"].eqNullSafe(F.col("_key"))))
+        score = F.round(0.7 * (1 - F.array_min(F.transform("_p", alike))) + 0.3 * F.col("_c"), 12)
+        found = rest.groupBy(F.col("_g").alias("_h")).agg(best(score).alias("_x"))
+        with_next = picks.join(found, F.col("_g").eqNullSafe(F.col("_h")), "left")
+        picks = cut(with_next.select("_g", "_n", F.when(F.col("_x").isNull(), F.col("_p")).otherwise(F.array_append("_p", F.col("_x"))).alias("_p")))
+    keys = F.transform("_p", lambda p: p["_key"])
+    order = F.when(F.col("_n") <= k, F.array_sort(keys)).otherwise(keys)
+    got = picks.select(F.col("_g").alias(group), F.posexplode(order).alias("_at", key))
+    return got.select(group, key, (F.col("_at") + 1).alias("rank"))
 
 
 def payload(df: DataFrame, group: str, order: str, k: int) -> DataFrame:

@@ -192,3 +192,22 @@ def test_frontier_neighbours_seeds(spark, data):
     duckdb = pytest.importorskip("duckdb")
     want = duckdb.sql(vector_plans.SQL["frontier_neighbours"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'")).fetchall()
     assert sorted(tuple(r) for r in got if r.seed % 100 == 0) == sorted(want)
+
+
+
+def test_diverse_evidence_takes_all_rows(spark):
+    """Copies of one sentence above any bound do not keep diverse rows of less confidence out."""
+    rng = np.random.default_rng(4)
+    vocab = [f"word{i}" for i in range(12)]
+    rows = [(i, 0, 0.9, "copies of one sentence") for i in range(2500)] + [(3000, 0, 0.5, "something wholly different here"), (3001, 0, 0.4, None)]
+    rows += [(4000 + i, 1, float(rng.choice([0.2, 0.5, 0.9])), " ".join(rng.choice(vocab, 4))) for i in range(40)]
+    rows += [(6000, None, 0.1, "alone"), (5001, 2, 0.9, "second"), (5000, 2, None, "first")]
+    df = spark.createDataFrame(rows, "k int, c int, confidence double, gap_sentence string").repartition(5)
+    got = {}
+    for r in evidence.diverse_evidence(df, "c", "k").orderBy("rank").collect():
+        got.setdefault(r.c, []).append(r.k)
+    assert got[0][0] == 0 and 3000 in got[0]
+    for c in (0, 1, 2, None):
+        own = sorted((r for r in rows if r[1] == c), key=lambda r: r[0])
+        at = evidence.pick_diverse([r[2] or 0.0 for r in own], [{w for w in (r[3] or "").split() if len(w) > 3} for r in own], 4)
+        assert got[c] == [own[i][0] for i in at]
