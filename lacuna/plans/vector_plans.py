@@ -77,7 +77,7 @@ def centroid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweet_spot_methods(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.sweet_spot(gaps(spark, d).where("cluster_id between 0 and 9"), table(spark, d, "methods"), "cluster_id")
+    return evidence.sweet_spot(gaps(spark, d).where("cluster_id <> -1"), table(spark, d, "methods"), "cluster_id")
 
 
 def frontier_neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -211,3 +211,15 @@ def test_diverse_evidence_takes_all_rows(spark):
         own = sorted((r for r in rows if r[1] == c), key=lambda r: r[0])
         at = evidence.pick_diverse([r[2] or 0.0 for r in own], [{w for w in (r[3] or "").split() if len(w) > 3} for r in own], 4)
         assert got[c] == [own[i][0] for i in at]
+
+
+
+def test_sweet_spot_methods_all_clusters(spark, data):
+    """All clusters but noise have rows; the clusters of the SQL keep theirs."""
+    from lacuna.plans import vector_plans
+
+    got = vector_plans.sweet_spot_methods(spark, data).collect()
+    assert {r.cluster_id for r in got} == set(range(40))
+    duckdb = pytest.importorskip("duckdb")
+    q = vector_plans.SQL["sweet_spot_methods"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'").replace("FROM methods", f"FROM '{data}/methods.parquet'")
+    assert sorted(tuple(r) for r in got if r.cluster_id <= 9) == sorted(duckdb.sql(q).fetchall())
