@@ -182,7 +182,7 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
         F.substring(t, 1, 100).alias("prefix"),
         text.file_stem(t).alias("stem"),
         text.shorten(F.coalesce("id", F.lit(""))).alias("short_id"),
-        text.escape_tex(F.substring(F.coalesce("paragraph_text", F.lit("")), 1, 200)).alias("tex"),
+        text.escape_tex(F.coalesce("paragraph_text", F.lit(""))).alias("tex"),
         F.array_join(text.token_set(t), " ").alias("tokens"),
         F.round(text.caps_share(t), 6).alias("caps"),
     )

@@ -107,3 +107,13 @@ def test_overlap(spark):
     assert use(("p1", "  alpha  "), ("p2", "beta")).overlap == 1.0
     assert use(("p1", "alpha"), ("p9", "made up")).overlap == 0.5
     assert use(("p9", "x")).n_made_up == 1
+
+
+def test_text_functions_escapes_whole_paragraphs(spark, data):
+    from lacuna.functions.text import TEX_SIGNS
+    from lacuna.plans import row_plans
+
+    text = {r.gap_idx: r.paragraph_text or "" for r in spark.read.parquet(f"{data}/gaps.parquet").collect()}
+    assert max(map(len, text.values())) > 200
+    got = {r.gap_idx: r.tex for r in row_plans.text_functions(spark, data).collect()}
+    assert got == {k: "".join(TEX_SIGNS.get(c, c) for c in t) for k, t in text.items()}
