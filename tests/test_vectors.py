@@ -202,10 +202,10 @@ def test_diverse_evidence_takes_all_rows(spark):
     rows = [(i, 0, 0.9, "copies of one sentence") for i in range(2500)] + [(3000, 0, 0.5, "something wholly different here"), (3001, 0, 0.4, None)]
     rows += [(4000 + i, 1, float(rng.choice([0.2, 0.5, 0.9])), " ".join(rng.choice(vocab, 4))) for i in range(40)]
     rows += [(6000, None, 0.1, "alone"), (5001, 2, 0.9, "second"), (5000, 2, None, "first")]
-    df = spark.createDataFrame(rows, "k int, c int, confidence double, gap_sentence string").repartition(5)
+    df = spark.createDataFrame(rows, "k int, grp int, confidence double, gap_sentence string").repartition(5)
     got = {}
-    for r in evidence.diverse_evidence(df, "c", "k").orderBy("rank").collect():
-        got.setdefault(r.c, []).append(r.k)
+    for r in evidence.diverse_evidence(df, "grp", "k").orderBy("rank").collect():
+        got.setdefault(r.grp, []).append(r.k)
     assert got[0][0] == 0 and 3000 in got[0]
     for c in (0, 1, 2, None):
         own = sorted((r for r in rows if r[1] == c), key=lambda r: r[0])
