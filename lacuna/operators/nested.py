@@ -21,6 +21,10 @@ from lacuna.functions.records import is_json
 
 #: Names under which the records give the id of an evidence item's paper.
 PAPER_KEYS = ("paper_id", "paperId")
+#: Names of an evidence item's own fields; an object with one of them is an item.
+ITEM_KEYS = (*PAPER_KEYS, "paper", "gap_sentence", "span")
+#: Levels of lists or keyed objects around the evidence items that are opened.
+LEVELS = 4
 
 
 def flatten_lists(keys: pa.Array, lists: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -65,10 +69,21 @@ def emit_children(df: DataFrame, key: str, lists: dict[str, str], key_type: str
     return src.mapInArrow(run, f"{key} {key_type}, child string, child_no int, ref string")
 
 
-def _strings(json_text: Column) -> Column:
-    """A JSON value as a list: a list as it is, anything else as its only element."""
+def _parts(json_text: Column) -> Column:
+    """What stands in a JSON value: a list's elements, the values of an object keyed by item names, else the value alone.
+
+    An object is keyed by item names if it has no field of an item and all of its values
+    are objects or lists. Null is one missing item.
+    """
     t = F.ltrim(json_text)
-    return F.when(t.startswith("["), F.from_json(json_text, "array<string>")).when(json_text.isNotNull(), F.array(json_text))
+    fields = F.from_json(json_text, "map<string,string>")
+    opens = lambda v: F.coalesce(F.ltrim(v).substr(1, 1).isin("{", "["), F.lit(False))
+    keyed = F.forall(F.map_values(fields), opens) & ~F.exists(F.map_keys(fields), lambda k: k.isin(*ITEM_KEYS))
+    return (
+        F.when(t.startswith("["), F.from_json(json_text, "array<string>"))
+        .when(t.startswith("{"), F.when(keyed, F.map_values(fields)).otherwise(F.array(json_text)))
+        .otherwise(F.array(json_text))
+    )
 
 
 def _scalar(c: Column, field: str) -> Column:
@@ -82,7 +97,8 @@ def read_ideas(df: DataFrame, record: str = "record") -> DataFrame:
     A record is readable if the whole text, without an enclosing code fence, is valid
     JSON and has a whole-number ``idea_id``; null, empty and cut-off texts give no row.
     ``pair_refs`` has the ids of the first and the second cluster, ``items`` the paper id
-    of every evidence item (null where it has none), one inner list per batch of items.
+    of every evidence item (null where it has none) in nested lists: items may stand in
+    lists of lists or in objects keyed by item names, ``LEVELS`` deep.
     Columns of ``df`` other than ``record`` are ignored, so clashing names do no harm.
     """
     raw = F.regexp_replace(F.col(record), r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "")
@@ -98,19 +114,17 @@ def read_ideas(df: DataFrame, record: str = "record") -> DataFrame:
     ).where("idea_id is not null")
     pair = F.from_json("p", "cluster_a string, cluster_b string, a string, b string")
     is_list = F.ltrim("p").startswith("[")
-    items = _strings(F.coalesce(F.col("i.evidence_used"), F.col("top_evidence")))
-
-    def batch(x: Column) -> Column:
-        return F.coalesce(_strings(x), F.array(F.lit(None).cast("string")))
-
-    # three levels of lists within lists
-    nested = F.flatten(F.transform(F.flatten(F.transform(items, batch)), batch))
+    evidence = F.coalesce(F.nullif(F.col("i.evidence_used"), F.lit("null")), F.col("top_evidence"))
 
     def paper(x: Column) -> Column:
         o = F.from_json(x, ", ".join(f"`{k}` string" for k in PAPER_KEYS) + ", paper string")
         inner = F.when(F.ltrim(o["paper"]).startswith("{"), F.from_json(o["paper"], "id string, paper_id string"))
         return F.when(F.ltrim(x).startswith("{"), F.coalesce(*[o[k] for k in PAPER_KEYS], inner["id"], inner["paper_id"]))
 
+    def opened(x: Column, levels: int) -> Column:
+        """``levels`` lists around the paper ids; they stay nested, Arrow offsets flatten them."""
+        return F.transform(_parts(x), lambda y: opened(y, levels - 1) if levels > 1 else paper(y))
+
     pair_list = F.from_json("p", "array<string>")
     return d.select(
         "idea_id",
@@ -129,10 +143,19 @@ def read_ideas(df: DataFrame, record: str = "record") -> DataFrame:
         )
         .alias("pair_refs"),
         F.array(F.col("i.title")).alias("titles"),
-        F.transform(nested, paper).alias("items"),
+        F.when(evidence.isNotNull(), opened(evidence, LEVELS)).alias("items"),
     )
 
 
+def n_leaves(c: str, levels: int) -> Column:
+    """Items in ``levels`` nested lists; 0 for null."""
+
+    def total(x: Column, k: int) -> Column:
+        return F.aggregate(x, F.lit(0), lambda n, y: n + (total(y, k - 1) if k > 2 else F.size(y)))
+
+    return F.coalesce(total(F.col(c), levels) if levels > 1 else F.size(c), F.lit(0))
+
+
 def idea_children(df: DataFrame, record: str = "record") -> DataFrame:
     """One distinct row per child of each idea: ``idea_id, child, child_no, ref``."""
     return emit_children(read_ideas(df, record), "idea_id", {"pair": "pair_refs", "idea": "titles", "evidence": "items"}).distinct()
@@ -148,6 +171,6 @@ def idea_tables(df: DataFrame, record: str = "record") -> dict[str, DataFrame]:
     children = emit_children(opened, "idea_id", {"pair": "pair_refs", "evidence": "items"}).distinct()
     part = lambda name, ref: children.where(F.col("child") == name).select("idea_id", F.col("child_no").alias("ordinal"), F.col("ref").alias(ref))
     ideas = opened.groupBy("idea_id").agg(
-        F.max(F.trim("title")).alias("title"), F.max("mode").alias("mode"), F.max(F.coalesce(F.size("items"), F.lit(0))).alias("n_items")
+        F.max(F.trim("title")).alias("title"), F.max("mode").alias("mode"), F.max(n_leaves("items", LEVELS)).alias("n_items")
     )
     return {"ideas": ideas, "pair_members": part("pair", "cluster_id"), "evidence": part("evidence", "paper_id")}

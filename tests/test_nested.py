@@ -49,3 +49,19 @@ def test_empty_table_and_tables(spark):
     assert t["ideas"].collect()[0].asDict() == {"idea_id": 1, "title": "a", "mode": "m", "n_items": 1}
     assert [tuple(r) for r in t["pair_members"].collect()] == [(1, 0, "9")]
     assert [tuple(r) for r in t["evidence"].collect()] == [(1, 0, "p")]
+
+
+def test_evidence_keyed_by_item_names(spark):
+    rec = [
+        '{"idea_id": 1, "idea": {"title": "t", "evidence_used": {"e1": {"paper_id": "a"}, "e2": {"paperId": "b"}, "e10": {"gap_sentence": "none"}, "e3": [{"paper": {"id": "c"}}]}}}',
+        '{"idea_id": 2, "idea": {"title": "t", "evidence_used": {"paper_id": "a", "span": {"start": 1}}}}',
+        '{"idea_id": 3, "idea": {"title": "t", "evidence_used": {"gap_sentence": "x"}}, "evidence_used": [{"paper_id": "z"}]}',
+        '{"idea_id": 4, "idea": {"title": "t", "evidence_used": "{\\"e1\\": {\\"paper_id\\": \\"q\\"}}"}}',
+        '{"idea_id": 5, "idea": {"title": "t", "evidence_used": [[[{"paper_id": "x"}], null], [{"paper_id": "y"}]]}}',
+        '{"idea_id": 6, "idea": {"title": "t", "evidence_used": {}}}',
+    ]
+    df = spark.createDataFrame([(r,) for r in rec], "record string")
+    got = {tuple(r) for r in idea_children(df).where("child = 'evidence'").collect()}
+    assert got == {(1, "evidence", 0, "a"), (1, "evidence", 1, "b"), (1, "evidence", 3, "c"), (2, "evidence", 0, "a"), (4, "evidence", 0, "q"), (5, "evidence", 0, "x"), (5, "evidence", 2, "y")}
+    n = {r.idea_id: r.n_items for r in idea_tables(df)["ideas"].collect()}
+    assert n == {1: 4, 2: 1, 3: 1, 4: 1, 5: 3, 6: 0}
