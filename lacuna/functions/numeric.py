@@ -56,8 +56,3 @@ def usable(a: Column | str) -> Column:
     """Neither null nor all zero."""
     a = F.col(a) if isinstance(a, str) else a
     return a.isNotNull() & F.exists(a, lambda x: x != 0)
-
-
-def triangle_distance(p: Column, q: Column) -> Column:
-    """Half the absolute difference of two shares, summed by the caller."""
-    return F.abs(p - q) / 2

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
-from lacuna.functions.numeric import cosine, unit, unit_interval
+from lacuna.functions.numeric import cosine, unit_interval
 from lacuna.operators import similarity
 from lacuna.session import cut
 
@@ -49,7 +50,7 @@ def diverse_evidence(df: DataFrame, group: str, key: str, k: int = 4, sentence:
     alike = lambda p: F.when(both(p) == 0, 0.0).otherwise(F.size(F.array_intersect("_w", p["_w"])) / both(p))
     for _ in range(1, k):
         known = picks.select(F.col("_g").alias("_h"), "_p")
-        rest = d.join(F.broadcast(known), F.col("_g").eqNullSafe(F.col("_h"))).where(~F.exists("_p", lambda p: p["_key"].eqNullSafe(F.col("_key"))))
+        rest = d.join(known, F.col("_g").eqNullSafe(F.col("_h"))).where(~F.exists("_p", lambda p: p["_key"].eqNullSafe(F.col("_key"))))
         score = F.round(0.7 * (1 - F.array_min(F.transform("_p", alike))) + 0.3 * F.col("_c"), 12)
         found = rest.groupBy(F.col("_g").alias("_h")).agg(best(score).alias("_x"))
         with_next = picks.join(found, F.col("_g").eqNullSafe(F.col("_h")), "left")
@@ -71,17 +72,36 @@ def sweet_spot(gaps: DataFrame, methods: DataFrame, group: str, key: str = "meth
     """``group, key, similarity, rank``: methods that are neither too near to a cluster's centroid nor too far.
 
     Within the band those nearest to its middle come first; a band with too few is filled
-    up with methods outside it, and an empty band gives the nearest ones.
+    up with methods outside it in the order of ``key``, and an empty band gives the
+    nearest ones. Every pair of a block of centroids and a block of methods gives its
+    best ``top`` of each of the three kinds, so neither side is broadcast and what a
+    cluster gathers is bounded by the number of blocks. An all-zero vector has similarity
+    0; null, wrongly long and not finite ones take no part.
     """
-    c = similarity.centroids(gaps, group, vector).select(group, unit("centroid").alias("c"))
-    m = methods.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v"))
-    d = m.crossJoin(F.broadcast(c)).withColumn("similarity", F.round(cosine("v", "c"), 6))
-    band = F.col("similarity").between(low, high)
-    d = d.withColumn("any_in", F.max(band).over(Window.partitionBy(group)))
+    c = similarity.centroids(gaps, group, vector).select(F.xxhash64(group).alias("gid"), group, "centroid")
+    dim = similarity.dimension(methods, vector)
+    kind = gaps.schema[group].dataType.simpleString()
+    if not dim:
+        return methods.sparkSession.createDataFrame([], f"`{group}` {kind}, `{key}` bigint, similarity double, rank int")
     mid = (low + high) / 2
+
+    def work(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+        out: list[tuple[np.ndarray, ...]] = []
+        for i in range(len(qi)):
+            s = np.nan_to_num(np.round(r @ q[i], 6))
+            inside = (s >= low) & (s <= high)
+            best = [np.lexsort((ri, np.where(inside, np.abs(np.round(s - mid, 9)), np.inf)))[:top], np.lexsort((ri, inside))[:top], np.lexsort((ri, -s))[:top]]
+            at = np.unique(np.concatenate(best))
+            out.append((np.full(len(at), qi[i]), ri[at], s[at]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    centre = similarity.usable_rows(c, "gid", "centroid", dim)
+    d = similarity.block_join(centre, similarity.usable_rows(methods, key, vector, dim, zeros=True), work, dim).withColumnRenamed("cosine", "similarity")
+    band = F.col("similarity").between(low, high)
+    d = d.withColumn("any_in", F.max(band).over(Window.partitionBy("a")))
     order = F.when(F.col("any_in"), F.when(band, -F.abs(F.round(F.col("similarity") - mid, 9))).otherwise(F.lit(-9.0))).otherwise(F.col("similarity"))
-    w = Window.partitionBy(group).orderBy(F.desc(order), key)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(group, key, "similarity", "rank")
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(order), "b"))).where(F.col("rank") <= top)
+    return d.join(c.select(F.col("gid").alias("a"), group), "a").select(group, F.col("b").cast(methods.schema[key].dataType).alias(key), "similarity", "rank")
 
 
 def best_match(queries: DataFrame, keys: DataFrame, on: str, query_key: str, key_key: str, vector: str = "embedding") -> DataFrame:

@@ -147,6 +147,52 @@ def read_ideas(df: DataFrame, record: str = "record") -> DataFrame:
     )
 
 
+#: Fields of an idea, read as text.
+IDEA_FIELDS = ("title", "research_question", "method_sketch", "evaluation_plan", "expected_contribution", "assumptions_and_risks", "falsifiable_prediction", "named_baseline")
+
+
+def wide_ideas(df: DataFrame, record: str = "record", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One wide row per readable record: ids, pair, the idea's fields, novelty, and counts of its lists.
+
+    Fields that are missing or null are null; ``confidence``, ``novelty_score`` and the
+    years are numbers or null however they are written. ``keep`` names columns of ``df``
+    that go along. ``candidate_methods`` and ``critique_history`` are the raw JSON lists.
+    """
+    raw = F.regexp_replace(F.col(record), r"^\s*```[A-Za-z]*\s*|\s*```\s*$", "")
+    top = "idea_id string, mode string, pair string, idea string, novelty string, candidate_methods string, critique_history string"
+    d = df.select(*keep, raw.alias("_r")).where(is_json(F.col("_r")) & F.ltrim("_r").startswith("{")).select(*keep, F.from_json("_r", top).alias("_o"))
+    fields = ", ".join(f"{f} string" for f in IDEA_FIELDS)
+    d = d.select(
+        *keep,
+        F.expr("try_cast(try_cast(trim(_o.idea_id) as double) as bigint)").alias("idea_id"),
+        F.col("_o.mode").alias("mode"),
+        F.when(F.ltrim("_o.idea").startswith("{"), F.from_json("_o.idea", f"{fields}, confidence string")).alias("_i"),
+        F.from_json("_o.pair", "label_a string, label_b string, a struct<label: string>, b struct<label: string>").alias("_p"),
+        F.from_json("_o.novelty", "novelty_score string, max_similarity string, n_hits string, closest_paper struct<paperId: string, title: string, year: string>").alias("_n"),
+        *[F.col(f"_o.{c}").alias(c) for c in ("candidate_methods", "critique_history")],
+    ).where("idea_id is not null")
+    number = lambda c, kind: F.col(c).try_cast(kind)
+    return d.select(
+        *keep,
+        "idea_id",
+        "mode",
+        F.coalesce("_p.label_a", "_p.a.label").alias("label_a"),
+        F.coalesce("_p.label_b", "_p.b.label").alias("label_b"),
+        *[F.trim(F.col(f"_i.{f}")).alias(f) for f in IDEA_FIELDS],
+        number("_i.confidence", "double").alias("idea_confidence"),
+        number("_n.novelty_score", "double").alias("novelty_score"),
+        number("_n.max_similarity", "double").alias("max_similarity"),
+        number("_n.n_hits", "int").alias("n_hits"),
+        F.col("_n.closest_paper.paperId").alias("closest_paper_id"),
+        F.col("_n.closest_paper.title").alias("closest_title"),
+        number("_n.closest_paper.year", "int").alias("closest_year"),
+        F.coalesce(F.json_array_length("candidate_methods"), F.lit(0)).alias("n_methods"),
+        F.coalesce(F.json_array_length("critique_history"), F.lit(0)).alias("n_critiques"),
+        "candidate_methods",
+        "critique_history",
+    )
+
+
 def n_leaves(c: str, levels: int) -> Column:
     """Items in ``levels`` nested lists; 0 for null."""
 

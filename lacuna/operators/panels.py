@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import coerce
+from lacuna.functions.text import strip
 
 AXES = ("novelty", "specificity", "feasibility", "evidence_grounding")
-#: Names of a baseline that name none.
-NO_BASELINE = ("", "n/a", "na", "none", "tbd", "unknown", "baseline", "-", "null")
-#: Fixed value: a prediction is testable if it has a figure with a sign, a unit or a comparison.
-FIGURE = r"(?i)(\d+(\.\d+)?\s*(%|percent|pp|points?|x\b|times)|[<>≤≥=]\s*\d|(above|below|exceeds?|at least|at most|more than|less than|under|over|by)\s+\d)"
+#: What stands for a baseline where none is named.
+NO_BASELINE = ("", "none", "n/a", "na", "tbd", "no baseline", "no-baseline", "no comparison", "unspecified", "tba")
+#: Fixed value: a quantitative threshold is a comparison or a figure, with or without a unit.
+FIGURE = r"(>=|<=|>|<|≥|≤)|(\d+\.?\d*|\.\d+)\s*(%|pp|x|×|percent|points?|fold|σ|sd)?"
 
 
 def panel_consensus(panel: DataFrame, item: str = "idea_id", judge: str = "judge") -> DataFrame:
@@ -32,9 +33,9 @@ def panel_agreement(panel: DataFrame, item: str = "idea_id") -> DataFrame:
 
 
 def testable(prediction: Column, baseline: Column) -> Column:
-    """A prediction with a figure and a baseline that is named."""
-    b = F.lower(F.trim(F.coalesce(baseline, F.lit(""))))
-    return (F.trim(F.coalesce(prediction, F.lit(""))) != "") & ~b.isin(*NO_BASELINE) & F.coalesce(prediction, F.lit("")).rlike(FIGURE)
+    """A prediction with a quantitative threshold and a baseline that is named; null and blank texts fail."""
+    b = F.lower(strip(F.coalesce(baseline, F.lit(""))))
+    return ~b.isin(*NO_BASELINE) & F.coalesce(prediction, F.lit("")).rlike("(?iU)" + FIGURE)
 
 
 def worth_running(confidence: Column, verdict: Column, score: Column) -> Column:
@@ -69,8 +70,6 @@ def evidence_overlap(used: DataFrame, fed: DataFrame, item: str, paper: str = "p
 
     Used pairs count one by one, fed ones as a set; sentences are compared stripped.
     """
-    from lacuna.functions.text import strip
-
     known = fed.select(item, paper, strip(F.col(sentence)).alias("_s")).distinct().withColumn("_hit", F.lit(1))
     d = used.withColumn("_s", strip(F.col(sentence))).join(known, [item, paper, "_s"], "left")
     return d.groupBy(item).agg(F.round(F.avg(F.coalesce("_hit", F.lit(0)).cast("double")), 6).alias("overlap"), F.count(F.lit(1)).alias("n_used"), F.count_if(F.col("_hit").isNull()).alias("n_made_up"))

@@ -32,12 +32,15 @@ def _blocks(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
 
-def _usable(df: DataFrame, key: str, vector: str, dim: int, *more: str) -> DataFrame:
+def usable_rows(df: DataFrame, key: str, vector: str, dim: int, *more: str, zeros: bool = False) -> DataFrame:
+    """``id, v`` of the rows with a vector of ``dim`` finite numbers that is not all zero (``zeros``: or is)."""
     d = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), *more).where(F.col("id").isNotNull())
-    return d.where(usable("v") & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    fit = F.col("v").isNotNull() if zeros else usable("v")
+    return d.where(fit & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
 
 
-def _dim(df: DataFrame, vector: str) -> int:
+def dimension(df: DataFrame, vector: str) -> int:
+    """Most frequent length of a vector, 0 without any."""
     r = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
     return int(r.d) if r else 0
 
@@ -94,7 +97,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
     ``least`` drops what is less similar, ``not_self`` pairs of equal ids. Null,
     all-zero, wrongly long and not finite vectors take no part.
     """
-    dim = _dim(rows, vector)
+    dim = dimension(rows, vector)
     if not dim:
         return rows.sparkSession.createDataFrame([], _PAIRS + ", rank int")
 
@@ -114,14 +117,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
 
         return first_per_query(*_tiles(qi, q, ri, r, pick, None if least is None else lambda c: c >= least), k)
 
-    d = block_join(_usable(queries, query_key, vector, dim), _usable(rows, row_key, vector, dim), work, dim)
+    d = block_join(usable_rows(queries, query_key, vector, dim), usable_rows(rows, row_key, vector, dim), work, dim)
     w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def within(queries: DataFrame, rows: DataFrame, low: float, high: float, query_key: str, row_key: str, vector: str = "embedding") -> DataFrame:
     """``a, b, cosine`` of all pairs with a cosine (6 decimals) from ``low`` to ``high``, both included."""
-    dim = _dim(rows, vector)
+    dim = dimension(rows, vector)
     if not dim:
         return rows.sparkSession.createDataFrame([], _PAIRS)
 
@@ -131,7 +134,7 @@ def within(queries: DataFrame, rows: DataFrame, low: float, high: float, query_k
 
         return _tiles(qi, q, ri, r, pick, lambda c: (c >= low) & (c <= high))
 
-    return block_join(_usable(queries, query_key, vector, dim), _usable(rows, row_key, vector, dim), work, dim)
+    return block_join(usable_rows(queries, query_key, vector, dim), usable_rows(rows, row_key, vector, dim), work, dim)
 
 
 def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding", least: float | None = None, block: int = 2_048) -> DataFrame:
@@ -141,10 +144,10 @@ def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding",
     group with a third of all rows is spread over the cluster. Rows without a group or a
     usable vector take no part.
     """
-    dim = _dim(df, vector)
+    dim = dimension(df, vector)
     if not dim:
         return df.sparkSession.createDataFrame([], _PAIRS)
-    d = _usable(df.where(F.col(group).isNotNull() & (F.col(group) != "")), key, vector, dim, F.col(group).alias("g"))
+    d = usable_rows(df.where(F.col(group).isNotNull() & (F.col(group) != "")), key, vector, dim, F.col(group).alias("g"))
     sizes = d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     d = d.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row stands in every pair of blocks that has its own

@@ -3,53 +3,91 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.numeric import share
+from lacuna.functions.stem import porter_stem
 from lacuna.functions.text import tokens
 
-#: Frequent English words that are no keywords.
+_ROUGE_WORD = re.compile("[a-z0-9]+")
+
+#: Frequent English words that are no keywords. A default of this library; callers may give another list.
 STOP = (
     "a about above after again all also although am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how however i if in into is it its itself just may me might more most must my no nor not now of off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through to too under until up upon us very was we were what when where which while who whom why will with within without would you your yours"
 ).split()
 
 
-def words_of(c: Column, pattern: str = r"[A-Za-z][A-Za-z\-]{2,}", stop: list[str] | tuple[str, ...] = STOP, least: int = 3) -> Column:
+#: Words that are left out of topic coherence.
+COHERENCE_STOP = (
+    "that", "with", "this", "from", "have", "into", "such",
+    "their", "these", "than", "when", "which", "would", "where",
+    "while", "been", "more", "most", "some", "what", "thus",
+    "they", "them", "also", "since", "between", "based", "using",
+)
+#: Further words that are left out of the words shown for a cluster.
+SHOWN_STOP = (*COHERENCE_STOP, "however", "further", "future", "work", "should")
+#: Tokens of coherence, of the words shown for a cluster, and of keywords.
+COHERENCE_TOKEN, SHOWN_TOKEN, KEYWORD_TOKEN = r"[A-Za-z][A-Za-z\-]{2,}", r"[A-Za-z][A-Za-z\-]{3,}", r"[\p{L}\p{N}_]{2,}"
+
+
+def words_of(c: Column, pattern: str, stop: Sequence[str], least: int = 1) -> Column:
     """Lower-case words of ``least`` characters or more that are no stop words."""
     return F.filter(tokens(c, pattern), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
-def tfidf_keywords(df: DataFrame, group: str, key: str, text: str, top: int = 8, features: int = 2000) -> DataFrame:
+def _term_counts(df: DataFrame, group: str, key: str, w: Column) -> DataFrame:
+    """``group, key, terms``: words and pairs of neighbouring words of each row with their counts; a map over the rows."""
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [Counter([*t, *(f"{x} {y}" for x, y in zip(t, t[1:]))]) for t in b.column(2).to_pylist()]
+            terms = pa.array([[{"term": t, "tf": n} for t, n in c.items()] for c in counts], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), terms], names=[group, key, "terms"])
+
+    return df.select(group, key, w.alias("w")).mapInArrow(run, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, terms array<struct<term: string, tf: bigint>>")
+
+
+def tfidf_keywords(df: DataFrame, group: str, key: str, text: str, top: int = 8, features: int = 2000, stop: Sequence[str] = STOP, parts: int = 64) -> DataFrame:
     """``group, term, score, rank``: terms of one and two words by their mean TF-IDF over the texts of a group.
 
-    Counts and frequencies are of the group; its ``features`` most frequent terms take
-    part (ties in order of the term). Smoothed inverse document frequency, every text at
-    length one. Groups of fewer than two texts give nothing.
+    Words have two signs or more and are not in ``stop``. Counts and frequencies are of
+    the group; its ``features`` most frequent terms take part (ties in order of the
+    term). Smoothed inverse document frequency, every text at length one. Groups of fewer
+    than two texts give nothing. ``key`` names a text. A group's vocabulary is ranked in
+    ``parts`` by the hash of the term first, so it never meets in one task as a whole.
     """
-    # the joins below are per group, so a group is never gathered
-    w = words_of(F.col(text))
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    terms = df.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(group, key, F.explode(F.concat(w, pairs)).alias("term"))
-    tf = terms.groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    docs = df.where(F.col(text).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 2")
-    per = tf.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), "term"))
-    per = per.withColumn("r", rank).where(F.col("r") <= features).join(docs, group)
+    some = df.where(F.col(text).isNotNull() & F.col(group).isNotNull())
+    tf = _term_counts(some, group, key, words_of(F.col(text), KEYWORD_TOKEN, stop)).select(group, key, F.explode("terms").alias("t")).select(group, key, "t.term", "t.tf")
+    docs = some.groupBy(group).agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 2")
+    per = tf.groupBy(group, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    order = (F.desc("total"), "term")
+    per = per.withColumn("r", F.row_number().over(Window.partitionBy(group, "part").orderBy(*order))).where(F.col("r") <= features)
+    per = per.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("r") <= features).join(docs, group)
     per = per.select(group, "term", "n_docs", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     x = tf.join(per, [group, "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    length = x.groupBy(group, key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    mean = x.join(length, [group, key]).groupBy(group, "term").agg(F.round(F.sum(F.col("x") / F.col("length")) / F.max("n_docs"), 6).alias("score"))
+    whole = x.groupBy(group, key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.max("n_docs").alias("n_docs"), F.collect_list(F.struct("term", "x")).alias("terms"))
+    one = whole.select(group, "length", "n_docs", F.explode("terms").alias("t"))
+    mean = one.groupBy(group, F.col("t.term").alias("term")).agg(F.round(F.sum(F.col("t.x") / F.col("length")) / F.max("n_docs"), 6).alias("score"))
     r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "term")).alias("rank")
     return mean.select(group, "term", "score", r).where(F.col("rank") <= top)
 
 
-def top_words(df: DataFrame, group: str, text: str, top: int = 10, least: int = 4) -> DataFrame:
-    """``group, word, n, rank``: most frequent words of ``least`` letters or more; ties in order of the word."""
-    w = df.where(F.col(group) != -1).select(group, F.explode(words_of(F.col(text), least=least)).alias("word"))
+def keyword_labels(df: DataFrame, group: str, key: str, text: str, top: int = 8, stop: Sequence[str] = STOP) -> DataFrame:
+    """``group, keywords``: the keywords of every group but noise (-1), joined by a comma; an empty text for a group without any."""
+    some = df.where(F.col(group).isNotNull() & (F.col(group) != -1))
+    best = tfidf_keywords(some, group, key, text, top, stop=stop)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ")
+    return some.select(group).distinct().join(best.groupBy(group).agg(joined.alias("keywords")), group, "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
+
+
+def top_words(df: DataFrame, group: str, text: str, top: int = 10, least: int = 4, stop: Sequence[str] = COHERENCE_STOP, token: str = COHERENCE_TOKEN) -> DataFrame:
+    """``group, word, n, rank``: most frequent words of ``least`` letters or more that are not in ``stop``; ties in order of the word."""
+    w = df.where(F.col(group) != -1).select(group, F.explode(words_of(F.col(text), token, stop, least)).alias("word"))
     n = w.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= top)
 
@@ -77,21 +115,35 @@ def npmi(df: DataFrame, group: str, key: str, text: str, top: int = 10) -> DataF
     return d.groupBy(group).agg(F.round(F.avg(value), 6).alias("npmi"))
 
 
-def rouge_n(df: DataFrame, key: str, predicted: str, gold: str, n: int = 1) -> DataFrame:
-    """``key, precision, recall, f`` of common n-grams of words, counted with repetition and without stemming."""
-    grams = lambda c: _ngrams(F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), lambda x: x), n)
-    side = lambda c, name: df.select(key, F.explode(grams(F.col(c))).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias(name))
-    both = side(predicted, "p").join(side(gold, "q"), [key, "g"], "full_outer").fillna(0, ["p", "q"])
-    s = both.groupBy(key).agg(F.sum(F.least("p", "q")).alias("m"), F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    d = df.select(key).distinct().join(s, key, "left").fillna(0, ["m", "np", "nq"])
-    p, r = share(F.col("m"), F.col("np")), share(F.col("m"), F.col("nq"))
-    return d.select(key, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(share(2 * p * r, p + r), 6).alias("f"))
+def _rouge_words(text: str | None, stem: bool) -> list[str]:
+    w = _ROUGE_WORD.findall((text or "").lower())
+    return [porter_stem(x) if len(x) > 3 else x for x in w] if stem else w
 
 
-def _ngrams(w: Column, n: int) -> Column:
-    if n == 1:
-        return w
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _f(p: float, r: float) -> float:
+    return 2 * p * r / (p + r) if p + r else 0.0
+
+
+def rouge_n(df: DataFrame, key: str, predicted: str, gold: str, n: int = 1, stem: bool = False) -> DataFrame:
+    """``key, precision, recall, f`` of common n-grams of words, counted with repetition; both texts are in one row, so this is a map.
+
+    ``stem`` compares the stems of words of four letters or more. Null texts have no words.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x, y = (Counter(zip(*(w[i:] for i in range(n)))) for w in (_rouge_words(t, stem), _rouge_words(g, stem)))
+                m, nx, ny = (x & y).total(), x.total(), y.total()
+                p, r = m / nx if nx else 0.0, m / ny if ny else 0.0
+                out.append((p, r, _f(p, r)))
+            cols = [pa.array(c, pa.float64()) for c in zip(*out)] if out else [pa.array([], pa.float64())] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "precision", "recall", "f"])
+
+    got = df.select(key, predicted, gold).mapInArrow(run, f"`{key}` {kind}, precision double, recall double, f double")
+    return got.select(key, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -107,18 +159,16 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def rouge_l(df: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
-    """``key, f`` of the longest common subsequence of words."""
+def rouge_l(df: DataFrame, key: str, predicted: str, gold: str, stem: bool = False) -> DataFrame:
+    """``key, f`` of the longest common subsequence of words (of their stems with ``stem``)."""
     kind = df.schema[key].dataType.simpleString()
-    word = re.compile("[a-z0-9]+")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for p, g in zip(pdf[predicted], pdf[gold]):
-                a, b = word.findall((p or "").lower()), word.findall((g or "").lower())
-                m = common_subsequence(a, b)
-                out.append(round(2 * m / (len(a) + len(b)), 6) if a and b else 0.0)
-            yield pd.DataFrame({key: pdf[key], "f": out})
+            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x, y = _rouge_words(t, stem), _rouge_words(g, stem)
+                out.append(2 * common_subsequence(x, y) / (len(x) + len(y)) if x and y else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[key, "f"])
 
-    return df.select(key, predicted, gold).mapInPandas(run, f"`{key}` {kind}, f double")
+    return df.select(key, predicted, gold).mapInArrow(run, f"`{key}` {kind}, f double").withColumn("f", F.round("f", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.operators import nested
 from lacuna.operators.nested import idea_children, idea_tables
 from lacuna.session import table
 
@@ -20,7 +21,11 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
     return idea_tables(table(spark, d, "ideas_full"))["evidence"]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_ideas, p5_evidence)}
+def wide_ideas(spark: SparkSession, d: str) -> DataFrame:
+    return nested.wide_ideas(table(spark, d, "ideas_full"), keep=("line_no",)).drop("candidate_methods", "critique_history")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_ideas, p5_evidence, wide_ideas)}
 
 #: Records that can be read, one row each: r (row), idea_id, p (pair), i (idea), t (evidence beside the idea).
 _RECORDS = r"""WITH RECURSIVE raw AS (SELECT line_no AS r, regexp_replace(regexp_replace(record, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '') AS x FROM ideas_full),
@@ -49,4 +54,12 @@ SQL: dict[str, str] = {
     "p5_evidence": f"""{_RECORDS}
 {_ITEMS}
     SELECT DISTINCT idea_id, n AS ordinal, ref AS paper_id FROM ev WHERE ref <> ''""",
+    "wide_ideas": r"""WITH raw AS (SELECT line_no, regexp_replace(regexp_replace(record, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '') AS x FROM ideas_full), o AS (SELECT line_no, CAST(x AS JSON) AS j FROM raw WHERE json_valid(x) AND ltrim(x) LIKE '{%'),
+    i AS (SELECT line_no, j, TRY_CAST(json_extract_string(j, '$.idea_id') AS BIGINT) AS idea_id, CASE WHEN json_type(j, '$.idea') = 'VARCHAR' THEN CAST(json_extract_string(j, '$.idea') AS JSON) ELSE json_extract(j, '$.idea') END AS i FROM o)
+    SELECT line_no, idea_id, json_extract_string(j, '$.mode') AS mode, coalesce(json_extract_string(j, '$.pair.label_a'), json_extract_string(j, '$.pair.a.label')) AS label_a, coalesce(json_extract_string(j, '$.pair.label_b'), json_extract_string(j, '$.pair.b.label')) AS label_b,
+    """
+    + ", ".join(f"trim(json_extract_string(i, '$.{f}')) AS {f}" for f in nested.IDEA_FIELDS)
+    + r""", TRY_CAST(json_extract_string(i, '$.confidence') AS DOUBLE) AS idea_confidence, TRY_CAST(json_extract_string(j, '$.novelty.novelty_score') AS DOUBLE) AS novelty_score, TRY_CAST(json_extract_string(j, '$.novelty.max_similarity') AS DOUBLE) AS max_similarity, TRY_CAST(json_extract_string(j, '$.novelty.n_hits') AS INTEGER) AS n_hits,
+    json_extract_string(j, '$.novelty.closest_paper.paperId') AS closest_paper_id, json_extract_string(j, '$.novelty.closest_paper.title') AS closest_title, TRY_CAST(json_extract_string(j, '$.novelty.closest_paper.year') AS INTEGER) AS closest_year,
+    CAST(coalesce(json_array_length(j, '$.candidate_methods'), 0) AS INTEGER) AS n_methods, CAST(coalesce(json_array_length(j, '$.critique_history'), 0) AS INTEGER) AS n_critiques FROM i WHERE idea_id IS NOT NULL""",
 }

@@ -43,7 +43,7 @@ def semi_join_papers(spark: SparkSession, d: str) -> DataFrame:
 
 def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "cluster_labels")
-    return gaps(spark, d).join(F.broadcast(labels), "cluster_id", "left").select("gap_idx", "cluster_id", F.coalesce("theme_label", F.lit("")).alias("theme_label"))
+    return gaps(spark, d).join(labels, "cluster_id", "left").select("gap_idx", "cluster_id", F.coalesce("theme_label", F.lit("")).alias("theme_label"))
 
 
 def full_outer_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -139,12 +139,12 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     top = rows.top_per_group(g.where("gap_sentence is not null"), ["cluster_id"], 3, F.desc_nulls_last("confidence"), "gap_idx", rank="r")
     ex = top.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "gap_sentence"))), lambda x: x["gap_sentence"]), "\n").alias("examples"))
     labels = table(spark, d, "cluster_labels").select("cluster_id", "theme_label")
-    return s.join(ex, "cluster_id", "left").join(F.broadcast(labels), "cluster_id", "left")
+    return s.join(ex, "cluster_id", "left").join(labels, "cluster_id", "left")
 
 
 def theme_drilldown(spark: SparkSession, d: str) -> DataFrame:
-    g = gaps(spark, d).where("cluster_id = 3 and id is not null")
-    return g.groupBy("id").agg(F.count(F.lit(1)).alias("n_gaps"), F.max("confidence").alias("max_confidence"), F.array_join(F.array_sort(F.collect_set("gap_type")), ",").alias("types"))
+    g = gaps(spark, d).where("cluster_id <> -1 and id is not null")
+    return g.groupBy("cluster_id", "id").agg(F.count(F.lit(1)).alias("n_gaps"), F.max("confidence").alias("max_confidence"), F.array_join(F.array_sort(F.collect_set("gap_type")), ",").alias("types"))
 
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -220,8 +220,9 @@ def type_shares_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def year_tokens(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "papers").where("year is not null").select("id", F.concat(F.lit("Mon, 2 Apr "), F.col("year").cast("string"), F.lit(" 19:18:42 GMT")).alias("created"))
-    return t.select("id", records.year_token(F.col("created")).alias("year")).distinct()
+    """Years of the extraction times, read from how a mail header writes them."""
+    t = table(spark, d, "gaps").select("gap_idx", F.date_format("extracted_at", "E, d MMM yyyy HH:mm:ss 'GMT'").alias("created"))
+    return t.select("gap_idx", records.year_token(F.col("created")).alias("year"))
 
 
 def half_even_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -251,8 +252,17 @@ QUERIES = {
 
 _PRIO = "CASE {c} WHEN 'limitations' THEN 1 WHEN 'future_work' THEN 2 WHEN 'discussion' THEN 3 WHEN 'fallback' THEN 4 WHEN 'tail' THEN 5 ELSE 99 END"
 _WORDS = r"list_filter(regexp_split_to_array({c}, '[\s\p{{Z}}]+'), lambda x: x <> '')"
-_TEX = "coalesce(array_to_string([" + "CASE c " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.TEX_SIGNS.items()) + " ELSE c END for c in string_split(substring(coalesce(paragraph_text, ''), 1, 200), '')], ''), '')"
-_PATTERN = sections.HEADING.replace("'", "''")
+_TEX = "coalesce(array_to_string([" + "CASE c " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.TEX_SIGNS.items()) + " ELSE c END for c in string_split(coalesce(paragraph_text, ''), '')], ''), '')"
+#: Parts of papers from one heading to the next, before the references, with title, body and kind.
+_SECTIONS = r"""t AS (SELECT bench_idx, regexp_replace(full_text, '(?ims)^\s*(references|bibliography)\s*$.*', '') AS t FROM bench_papers WHERE full_text IS NOT NULL),
+        m AS (SELECT bench_idx, string_split(regexp_replace(t, '(?m)^\s*(?:\d+(?:\.\d+)*\s+|[IVXLC]+\.\s+)?([A-Z][A-Za-z0-9 &\-/,:]{2,80})\s*$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM t),
+        p AS (SELECT bench_idx, unnest(range(1, len(l))) AS ord, unnest(l[2:]) AS x FROM m),
+        h AS (SELECT bench_idx, ord, regexp_replace(split_part(x, chr(2), 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS heading, regexp_replace(split_part(x, chr(2), 2), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body FROM p),
+        k AS (SELECT *, CASE WHEN regexp_matches(heading, '(?i)\b(limitations?|threats to validity|caveats?|shortcomings?|weaknesses?|drawbacks?)\b') THEN 'limitations'
+          WHEN regexp_matches(heading, '(?i)\b(future work|future directions?|future research|outlook|next steps?|further work|further research|open (problems?|questions?|issues?)|extensions?|what['']?s next)\b') THEN 'future_work'
+          WHEN regexp_matches(heading, '(?i)\b(discussion|conclusions?)\b') THEN 'discussion' END AS section_type FROM h
+          WHERE length(body) >= 200 AND 1 - length(regexp_replace(body, '[\s.…·\-_]', '', 'g')) / length(body) <= 0.45),
+        s AS (SELECT * FROM k WHERE section_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY bench_idx, section_type, substring(body, 1, 100) ORDER BY ord) = 1)"""
 
 SQL: dict[str, str] = {
     "clean_gaps": f"""WITH c AS (SELECT gap_idx, id, gap_type, coalesce(section_type, '') AS section_type, {_line('gap_sentence')} AS gap_sentence, {_line('paragraph_text')} AS paragraph_text, coalesce(confidence, 0) AS confidence FROM gaps)
@@ -287,7 +297,7 @@ SQL: dict[str, str] = {
         r AS (SELECT cluster_id, gap_sentence, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC NULLS LAST, gap_idx) AS r FROM g WHERE cluster_id <> -1 AND gap_sentence IS NOT NULL),
         e AS (SELECT cluster_id, string_agg(gap_sentence, chr(10) ORDER BY r) AS examples FROM r WHERE r <= 3 GROUP BY 1)
         SELECT s.*, examples, theme_label FROM s LEFT JOIN e ON s.cluster_id = e.cluster_id LEFT JOIN cluster_labels l ON s.cluster_id = l.cluster_id""",
-    "theme_drilldown": f"WITH {G} SELECT id, count(*) AS n_gaps, max(confidence) AS max_confidence, string_agg(DISTINCT gap_type, ',' ORDER BY gap_type) AS types FROM g WHERE cluster_id = 3 AND id IS NOT NULL GROUP BY id",
+    "theme_drilldown": f"WITH {G} SELECT cluster_id, id, count(*) AS n_gaps, max(confidence) AS max_confidence, string_agg(DISTINCT gap_type, ',' ORDER BY gap_type) AS types FROM g WHERE cluster_id <> -1 AND id IS NOT NULL GROUP BY cluster_id, id",
     "metadata_filter": "SELECT DISTINCT id, title, year FROM papers WHERE regexp_matches(lower(title), 'learning|network|transfer') AND year >= 2035",
     "modes_overlap": "WITH k AS (SELECT id, list_sort(list(DISTINCT method_type)) AS kinds FROM methods WHERE id IS NOT NULL AND method_type IS NOT NULL GROUP BY id) SELECT id, array_to_string(kinds, ' ') AS kinds FROM k WHERE list_has_any(kinds, ['dataset', 'benchmark'])",
     "sentence_split": r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z(\["''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: length(regexp_replace(s, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) >= 10)) AS INTEGER) AS n_sentences FROM documents WHERE text IS NOT NULL""",
@@ -298,11 +308,17 @@ SQL: dict[str, str] = {
         SELECT gap_idx, CAST(length(t) AS INTEGER) AS n, substring(t, 1, 100) AS prefix, substring(regexp_replace(t, '[^\p{{L}}\p{{N}}]', '_', 'g'), 1, 40) AS stem, CASE WHEN length(i) > 14 THEN substring(i, 1, 14) || '…' ELSE i END AS short_id, tex,
         (SELECT coalesce(string_agg(w, ' ' ORDER BY o), '') FROM (SELECT w, min(o) AS o FROM (SELECT lower(unnest(l)) AS w, unnest(range(len(l))) AS o FROM (SELECT list_filter({_WORDS.format(c='t')}, lambda x: length(x) > 3) AS l)) GROUP BY w)) AS tokens,
         round(coalesce(length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) / nullif(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')), 0), 0), 6) AS caps FROM s""",
+    "structured_sections": f"WITH {_SECTIONS} SELECT bench_idx, section_type, heading, CAST(length(body) AS INTEGER) AS n_chars, md5(body) AS body FROM s",
+    "section_cascade": f"""WITH {_SECTIONS},
+        r AS (SELECT bench_idx, t, {_WORDS.format(c="regexp_extract(t, '(?is)\\b(future work|future directions?|future research|limitations?|threats to validity|further work|open (problems?|questions?|issues?)|conclusions?\\s*(and|&)\\s*(future|open))\\b.*')")} AS w, {_WORDS.format(c='t')} AS a FROM t WHERE bench_idx NOT IN (SELECT bench_idx FROM s)),
+        f AS (SELECT bench_idx, array_to_string(w[1:900], ' ') AS win, CASE WHEN len(a) >= 300 THEN array_to_string(a[greatest(len(a) - 899, 1):len(a)], ' ') END AS tail FROM r),
+        u AS (SELECT bench_idx, ord, section_type, heading, body FROM s UNION ALL SELECT bench_idx, 0, 'fallback', 'fallback_window', win FROM f WHERE length(win) >= 200 UNION ALL SELECT bench_idx, 0, 'tail', 'tail_window', tail FROM f WHERE coalesce(length(win), 0) < 200 AND tail IS NOT NULL)
+        SELECT bench_idx, section_type, heading, CAST(length(body) AS INTEGER) AS n_chars FROM u QUALIFY row_number() OVER (PARTITION BY bench_idx ORDER BY {_PRIO.format(c='section_type')}, ord) <= 2""",
     "gold_titles": "SELECT bench_idx, CAST(len(gold_section_titles) AS INTEGER) AS n_titles, (SELECT coalesce(string_agg(t, '; ' ORDER BY o), '') FROM (SELECT t, min(o) AS o FROM (SELECT unnest(gold_section_titles) AS t, unnest(range(len(gold_section_titles))) AS o) GROUP BY t)) AS titles FROM bench_papers WHERE length(gold_section_text) >= 200 AND length(full_text) >= 4000",
     "json_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events",
     "array_functions": f"WITH w AS (SELECT gap_idx, {_WORDS.format(c='''coalesce(gap_sentence, '')''')} AS w FROM gaps) SELECT gap_idx, CAST(len(w) AS INTEGER) AS n, w[len(w)] AS last, (SELECT coalesce(string_agg(x, ' ' ORDER BY o), '') FROM (SELECT x, min(o) AS o FROM (SELECT lower(unnest(w[1:6])) AS x, unnest(range(len(w[1:6]))) AS o) GROUP BY x)) AS first_distinct FROM w",
     "type_shares_map": f"WITH {G} SELECT cluster_id, gap_type, round(count(*) / sum(count(*)) OVER (PARTITION BY cluster_id), 6) AS share FROM g GROUP BY 1, 2",
-    "year_tokens": "SELECT DISTINCT id, year FROM papers WHERE year IS NOT NULL",
+    "year_tokens": "SELECT gap_idx, CAST(year(extracted_at AT TIME ZONE 'UTC') AS INTEGER) AS year FROM gaps",
     "half_even_scores": "SELECT gap_idx, CAST(coalesce(round_even(confidence * 10, 0), 0) AS INTEGER) AS score FROM gaps",
     "nulls_last_order": "SELECT DISTINCT id, citation_count FROM papers ORDER BY citation_count DESC NULLS LAST, id LIMIT 50",
     "row_by_ordinal": "SELECT idea_id, CAST(7 AS INTEGER) AS ordinal FROM (SELECT DISTINCT idea_id FROM panel_scores) ORDER BY idea_id LIMIT 1 OFFSET 7",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import coerce, whole
-from lacuna.operators import panels, textstats
+from lacuna.operators import nested, panels, textstats
 from lacuna.plans.row_plans import CLUSTER, gaps
 from lacuna.session import table
 
@@ -42,6 +42,17 @@ def rouge_l(spark: SparkSession, d: str) -> DataFrame:
     return textstats.rouge_l(table(spark, d, "gaps"), "gap_idx", "gap_sentence", "paragraph_text")
 
 
+def rouge_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Stemmed F of common words, word pairs and the longest common subsequence in one row."""
+    g = table(spark, d, "gaps")
+    parts = [f(g, "gap_idx", "gap_sentence", "paragraph_text", **more).select("gap_idx", F.col("f").alias(name)) for name, f, more in (("rouge1_f", textstats.rouge_n, {"n": 1, "stem": True}), ("rouge2_f", textstats.rouge_n, {"n": 2, "stem": True}), ("rougeL_f", textstats.rouge_l, {"stem": True}))]
+    return parts[0].join(parts[1], "gap_idx").join(parts[2], "gap_idx")
+
+
+def keyword_labels(spark: SparkSession, d: str) -> DataFrame:
+    return textstats.keyword_labels(gaps(spark, d), "cluster_id", "gap_idx", "gap_sentence")
+
+
 def panel_consensus(spark: SparkSession, d: str) -> DataFrame:
     return panels.panel_consensus(_panel(spark, d))
 
@@ -87,17 +98,20 @@ def library_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def testable_statements(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "gaps")
-    return t.select("gap_idx", panels.testable(F.col("gap_sentence"), F.col("section_type")).alias("passed"))
+    """The gate on every readable idea record."""
+    i = nested.wide_ideas(table(spark, d, "ideas_full"), keep=("line_no",))
+    return i.select("line_no", "idea_id", panels.testable(F.col("falsifiable_prediction"), F.col("named_baseline")).alias("passed"))
 
 
 def verdict_rules(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("score_id")
-    verdict = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("partial")), (x % 3 + 1).cast("int"))
-    settled = panels.settled_verdict(verdict, x % 4, x % 5 != 0, (x % 11) / 10, x % 7 != 0)
-    gate = panels.worth_running((x % 10) / 10, F.element_at(F.array(F.lit("accept"), F.lit("revise"), F.lit("reject")), (x % 3 + 1).cast("int")), (x % 6).cast("double"))
-    flags = F.array_join(panels.critic_flags((x % 10) / 10, (x % 9) / 10), ",")
-    return _panel(spark, d).select("score_id", settled.alias("verdict"), gate.alias("gate"), flags.alias("flags"))
+    """The rules on the judges' own columns: a score of 4 or more is a yes, 3 a partial, anything else a no."""
+    p = _panel(spark, d)
+    nov, spec, feas, ground = (coerce(a) for a in AXES)
+    verdict = F.when(nov >= 4, "yes").when(nov >= 3, "partial").otherwise("no")
+    settled = panels.settled_verdict(verdict, whole("feasibility"), spec >= 2, (5 - ground) / 5, feas >= 2)
+    gate = panels.worth_running(spec / 5, F.when(nov >= 4, "accept").when(nov >= 2, "revise").otherwise("reject"), ground)
+    flags = F.array_join(panels.critic_flags(ground / 5, nov / 5), ",")
+    return p.select("score_id", settled.alias("verdict"), gate.alias("gate"), flags.alias("flags"))
 
 
 def evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -109,23 +123,25 @@ def evidence_overlap(spark: SparkSession, d: str) -> DataFrame:
 def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     """Relational smoke test: four joins and an aggregate."""
     li, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
-    x = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    x = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return x.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf_keywords, cluster_top_words, topic_coherence, rouge1, rouge2, rouge_l, panel_consensus, panel_agreement, judge_composite, unpivoted_axes,
+        tfidf_keywords, cluster_top_words, topic_coherence, keyword_labels, rouge1, rouge2, rouge_l, rouge_stemmed, panel_consensus, panel_agreement, judge_composite, unpivoted_axes,
         metric_mean_std, judge_pivot, complete_pivot, metric_slice, quality_filter, library_means, testable_statements, verdict_rules, evidence_overlap, revenue_by_nation,
     )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in textstats.STOP)
 _TOK = r"regexp_extract_all({c}, '[A-Za-z][A-Za-z\-]{{2,}}')"
-_KEEP = "list_filter(list_transform(" + _TOK + ", lambda x: lower(x)), lambda w: length(w) >= {n} AND w NOT IN (" + _STOP + "))"
+_COHERENCE_STOP = "'that', 'with', 'this', 'from', 'have', 'into', 'such', 'their', 'these', 'than', 'when', 'which', 'would', 'where', 'while', 'been', 'more', 'most', 'some', 'what', 'thus', 'they', 'them', 'also', 'since', 'between', 'based', 'using'"
+_TOPIC = "list_filter(list_transform(" + _TOK + ", lambda x: lower(x)), lambda w: length(w) >= 4 AND w NOT IN (" + _COHERENCE_STOP + "))"
+_TERMS = r"list_filter(list_transform(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: lower(x)), lambda w: w NOT IN (" + _STOP + "))"
 _G = f"g AS (SELECT *, {CLUSTER} AS cluster_id FROM gaps)"
-_TOP = f"tw AS (SELECT cluster_id, unnest({_KEEP.format(c='gap_sentence', n=4)}) AS word FROM g WHERE cluster_id <> -1), tn AS (SELECT cluster_id, word, count(*) AS n FROM tw GROUP BY 1, 2), tops AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM tn QUALIFY rank <= 10)"
+_TOP = f"tw AS (SELECT cluster_id, unnest({_TOPIC.format(c='gap_sentence')}) AS word FROM g WHERE cluster_id <> -1), tn AS (SELECT cluster_id, word, count(*) AS n FROM tw GROUP BY 1, 2), tops AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM tn QUALIFY rank <= 10)"
 _NUM = "CASE WHEN isnan(TRY_CAST({c} AS DOUBLE)) THEN NULL ELSE TRY_CAST({c} AS DOUBLE) END"
 _LONG = " UNION ALL ".join(f"SELECT judge, '{a}' AS axis, {_NUM.format(c=a)} AS value FROM panel_scores" for a in AXES)
 _MS = f"l AS ({_LONG}), ms AS (SELECT judge, axis, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS n FROM l WHERE value IS NOT NULL GROUP BY 1, 2)"
@@ -139,15 +155,16 @@ def _rouge(n: int) -> str:
         SELECT gap_idx, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f FROM r"""
 
 
-_SETTLED = "CASE WHEN score_id % 4 = 0 THEN 'untestable' WHEN score_id % 5 = 0 AND v = 'yes' THEN 'inconclusive' WHEN (score_id % 11) / 10 >= 0.6 AND v = 'yes' THEN 'partial' WHEN score_id % 7 = 0 AND v = 'yes' THEN 'partial' ELSE v END"
-
-SQL: dict[str, str] = {
-    "tfidf_keywords": f"""WITH {_G}, d AS (SELECT cluster_id, gap_idx, {_KEEP.format(c='gap_sentence', n=3)} AS w FROM g WHERE cluster_id <> -1 AND gap_sentence IS NOT NULL),
+_KEYWORDS = f"""WITH {_G}, d AS (SELECT cluster_id, gap_idx, {_TERMS.format(c='gap_sentence')} AS w FROM g WHERE cluster_id <> -1 AND gap_sentence IS NOT NULL),
         t AS (SELECT cluster_id, gap_idx, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM d), tf AS (SELECT cluster_id, gap_idx, term, count(*) AS tf FROM t GROUP BY ALL),
         nd AS (SELECT cluster_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 2), per AS (SELECT cluster_id, term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY sum(tf) DESC, term) <= 2000),
         x AS (SELECT tf.cluster_id, gap_idx, tf.term, n, tf * (ln((1 + n) / (1 + df)) + 1) AS x FROM tf JOIN per ON tf.cluster_id = per.cluster_id AND tf.term = per.term JOIN nd ON tf.cluster_id = nd.cluster_id),
         l AS (SELECT cluster_id, gap_idx, sqrt(sum(x * x)) AS l FROM x GROUP BY 1, 2), m AS (SELECT x.cluster_id, term, round(sum(x / l) / max(n), 6) AS score FROM x JOIN l ON x.cluster_id = l.cluster_id AND x.gap_idx = l.gap_idx GROUP BY 1, 2)
-        SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM m QUALIFY rank <= 8""",
+        SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM m QUALIFY rank <= 8"""
+
+SQL: dict[str, str] = {
+    "tfidf_keywords": _KEYWORDS,
+    "keyword_labels": "WITH k AS (" + _KEYWORDS + f") SELECT c.cluster_id, coalesce(string_agg(term, ', ' ORDER BY rank), '') AS keywords FROM (SELECT DISTINCT {CLUSTER} AS cluster_id FROM gaps WHERE {CLUSTER} <> -1) c LEFT JOIN k ON c.cluster_id = k.cluster_id GROUP BY 1",
     "cluster_top_words": f"WITH {_G}, {_TOP} SELECT * FROM tops",
     "topic_coherence": f"""WITH {_G}, {_TOP}, nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM gaps), h AS (SELECT DISTINCT gap_idx, lower(unnest({_TOK.format(c='gap_sentence')})) AS word FROM gaps), f AS (SELECT word, count(*) AS df FROM h WHERE word IN (SELECT word FROM tops) GROUP BY 1),
         p AS (SELECT a.cluster_id, a.word AS w1, b.word AS w2 FROM tops a JOIN tops b ON a.cluster_id = b.cluster_id AND a.word < b.word), m AS (SELECT w1, w2, count(*) AS n_both FROM (SELECT DISTINCT w1, w2 FROM p) JOIN h a ON a.word = w1 JOIN h b ON b.word = w2 AND a.gap_idx = b.gap_idx GROUP BY 1, 2)
@@ -172,12 +189,13 @@ SQL: dict[str, str] = {
     "metric_slice": f"WITH {_MS} SELECT * FROM ms WHERE judge = 'judge_05' AND axis = 'novelty'",
     "quality_filter": f"SELECT score_id, idea_id, judge FROM panel_scores WHERE coalesce({_NUM.format(c='novelty')}, 0) >= 4 AND coalesce({_NUM.format(c='feasibility')}, 0) >= 4",
     "library_means": "SELECT " + ", ".join(f"round(avg({_NUM.format(c=a)}), 6) AS {a}" for a in AXES) + ", count(*) AS n FROM panel_scores",
-    "testable_statements": "SELECT gap_idx, trim(coalesce(gap_sentence, '')) <> '' AND lower(trim(coalesce(section_type, ''))) NOT IN ("
-    + ", ".join(f"'{b}'" for b in panels.NO_BASELINE)
-    + f") AND regexp_matches(coalesce(gap_sentence, ''), '{panels.FIGURE}') AS passed FROM gaps",
-    "verdict_rules": f"""WITH x AS (SELECT score_id, ['yes', 'no', 'partial'][score_id % 3 + 1] AS v FROM panel_scores) SELECT score_id, {_SETTLED} AS verdict,
-        (score_id % 10) / 10 >= 0.5 AND (score_id % 3 = 0 OR (score_id % 3 = 1 AND score_id % 6 >= 4)) AS gate,
-        concat_ws(',', CASE WHEN (score_id % 10) / 10 < 0.8 THEN 'grounding' END, CASE WHEN (score_id % 9) / 10 < 0.4 THEN 'novelty' END) AS flags FROM x""",
+    "testable_statements": r"""WITH raw AS (SELECT line_no, regexp_replace(regexp_replace(record, '^\s*```[A-Za-z]*\s*', ''), '\s*```\s*$', '') AS x FROM ideas_full), o AS (SELECT line_no, CAST(x AS JSON) AS j FROM raw WHERE json_valid(x) AND ltrim(x) LIKE '{%'),
+        i AS (SELECT line_no, TRY_CAST(json_extract_string(j, '$.idea_id') AS BIGINT) AS idea_id, CASE WHEN json_type(j, '$.idea') = 'VARCHAR' THEN CAST(json_extract_string(j, '$.idea') AS JSON) ELSE json_extract(j, '$.idea') END AS i FROM o),
+        f AS (SELECT line_no, idea_id, coalesce(json_extract_string(i, '$.falsifiable_prediction'), '') AS p, lower(trim(coalesce(json_extract_string(i, '$.named_baseline'), ''))) AS b FROM i WHERE idea_id IS NOT NULL)
+        SELECT line_no, idea_id, regexp_matches(p, '[0-9<>≤≥]') AND b NOT IN ('', 'none', 'n/a', 'na', 'tbd', 'no baseline', 'no-baseline', 'no comparison', 'unspecified', 'tba') AS passed FROM f""",
+    "verdict_rules": f"""WITH x AS (SELECT score_id, {', '.join(f"coalesce({_NUM.format(c=a)}, 0) AS {a[0]}" for a in AXES)} FROM panel_scores), y AS (SELECT *, CASE WHEN n >= 4 THEN 'yes' WHEN n >= 3 THEN 'partial' ELSE 'no' END AS v FROM x)
+        SELECT score_id, CASE WHEN round_even(f, 0) = 0 THEN 'untestable' WHEN s < 2 AND v = 'yes' THEN 'inconclusive' WHEN (5 - e) / 5 >= 0.6 AND v = 'yes' THEN 'partial' WHEN f < 2 AND v = 'yes' THEN 'partial' ELSE v END AS verdict,
+        s / 5 >= 0.5 AND (n >= 4 OR (n >= 2 AND e >= 4)) AS gate, concat_ws(',', CASE WHEN e / 5 < 0.8 THEN 'grounding' END, CASE WHEN n / 5 < 0.4 THEN 'novelty' END) AS flags FROM y""",
     "evidence_overlap": r"""WITH s AS (SELECT id, regexp_replace(paragraph_text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM gaps WHERE id IS NOT NULL), f AS (SELECT id, s FROM s WHERE s LIKE '%a%' UNION SELECT id, regexp_replace(paragraph_text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') FROM methods WHERE id IS NOT NULL)
         SELECT s.id, round(avg(CASE WHEN f.s IS NULL THEN 0.0 ELSE 1 END), 6) AS overlap, count(*) AS n_used, count(*) FILTER (f.s IS NULL) AS n_made_up FROM s LEFT JOIN f ON s.id = f.id AND s.s = f.s GROUP BY 1""",
     "revenue_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",

@@ -66,7 +66,7 @@ def bridge_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = graph.pair_context(_centroid_pairs(spark, d), gaps(spark, d).where("cluster_id <> -1"))
     labels = table(spark, d, "cluster_labels")
     for side in "ab":
-        p = p.join(F.broadcast(labels.select(F.col("cluster_id").alias(f"cluster_{side}"), F.col("theme_label").alias(f"label_{side}"))), f"cluster_{side}", "left")
+        p = p.join(labels.select(F.col("cluster_id").alias(f"cluster_{side}"), F.col("theme_label").alias(f"label_{side}")), f"cluster_{side}", "left")
     score = peak(F.col("cosine_sim")) * (1 - F.col("paper_overlap")) * (0.5 + 0.5 * F.col("type_complementarity"))
     p = p.withColumn("bridge_score", F.round(score, 6))
     return p.select("cluster_a", "cluster_b", "label_a", "label_b", "cosine_sim", "paper_overlap", "type_complementarity", "bridge_score").orderBy(F.desc("bridge_score"), "cluster_a", "cluster_b").limit(30)
@@ -135,7 +135,8 @@ def davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def adjusted_rand(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.adjusted_rand(table(spark, d, "embeddings").withColumn("other", F.expr("cast(vec_id % 7 as int)")), "label", "other")
+    """Agreement of two labellings of the gaps, by their kind and by their section."""
+    return clustering.adjusted_rand(table(spark, d, "gaps"), "gap_type", "section_type")
 
 
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -208,10 +209,10 @@ SQL: dict[str, str] = {
         round(CASE WHEN cosine_sim <= 0 OR cosine_sim >= 1 THEN 0 WHEN cosine_sim <= 0.45 THEN cosine_sim / 0.45 ELSE (1 - cosine_sim) / 0.55 END * (1 - paper_overlap) * (0.5 + 0.5 * type_complementarity), 6) AS bridge_score
         FROM f LEFT JOIN cluster_labels la ON cluster_a = la.cluster_id LEFT JOIN cluster_labels lb ON cluster_b = lb.cluster_id ORDER BY bridge_score DESC, cluster_a, cluster_b LIMIT 30""",
     "sweet_spot_methods": f"""WITH {CENTROID}, m AS (SELECT method_idx, {_D} AS v FROM methods WHERE embedding IS NOT NULL),
-        s AS (SELECT c.cluster_id, method_idx, coalesce(round(list_dot_product(m.v, c.v) / nullif(sqrt(list_dot_product(m.v, m.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 6), 0) AS similarity FROM m CROSS JOIN c WHERE c.cluster_id BETWEEN 0 AND 9),
+        s AS (SELECT c.cluster_id, method_idx, coalesce(round(list_dot_product(m.v, c.v) / nullif(sqrt(list_dot_product(m.v, m.v)) * sqrt(list_dot_product(c.v, c.v)), 0), 6), 0) AS similarity FROM m CROSS JOIN c),
         b AS (SELECT *, similarity BETWEEN 0.3 AND 0.7 AS band, max(CASE WHEN similarity BETWEEN 0.3 AND 0.7 THEN 1 ELSE 0 END) OVER (PARTITION BY cluster_id) AS any_in FROM s),
         r AS (SELECT cluster_id, method_idx, similarity, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN any_in = 1 THEN CASE WHEN band THEN -abs(round(similarity - 0.5, 9)) ELSE -9.0 END ELSE similarity END DESC, method_idx) AS INTEGER) AS rank FROM b) SELECT * FROM r WHERE rank <= 5""",
-    "frontier_neighbours": f"WITH {U}, r AS (SELECT CAST(a.gap_idx AS BIGINT) AS seed, CAST(b.gap_idx AS BIGINT) AS gap_idx, {_COS} AS cosine, CAST(row_number() OVER (PARTITION BY a.gap_idx ORDER BY {_COS} DESC, b.gap_idx) AS INTEGER) AS rank FROM u a JOIN u b ON a.gap_idx <> b.gap_idx WHERE a.gap_idx % 100 = 0) SELECT * FROM r WHERE rank <= 3",
+    "frontier_neighbours": f"WITH {U}, r AS (SELECT CAST(a.gap_idx AS BIGINT) AS seed, CAST(b.gap_idx AS BIGINT) AS gap_idx, {_COS} AS cosine, CAST(row_number() OVER (PARTITION BY a.gap_idx ORDER BY {_COS} DESC, b.gap_idx) AS INTEGER) AS rank FROM u a JOIN u b ON a.gap_idx <> b.gap_idx WHERE a.gap_idx % 20 = 0) SELECT * FROM r WHERE rank <= 3",
     "frontier_by_label": f"""WITH {U}, {KNN}, l AS (SELECT gap_idx, {CLUSTER} AS cluster_id, coalesce(confidence, 0) AS confidence FROM gaps), b AS (SELECT src AS n, dst AS o FROM knn UNION ALL SELECT dst, src FROM knn),
         k AS (SELECT n, count(*) AS degree, count(*) FILTER (x.cluster_id = y.cluster_id) AS intra_degree, count(DISTINCT y.cluster_id) FILTER (x.cluster_id <> y.cluster_id) AS nc FROM b JOIN l x ON b.n = x.gap_idx JOIN l y ON b.o = y.gap_idx GROUP BY n),
         s AS (SELECT l.gap_idx AS node, cluster_id, confidence, coalesce(intra_degree, 0) AS intra_degree, coalesce(nc, 0) AS n_neighbour_clusters, (1 - coalesce(intra_degree / degree, 0)) * ln(1 + coalesce(nc, 0)) + 0.05 * confidence AS raw FROM l LEFT JOIN k ON l.gap_idx = k.n)
@@ -224,7 +225,7 @@ SQL: dict[str, str] = {
         s AS (SELECT label, avg(r) AS s FROM (SELECT vec_id, l.label, sqrt(sum((x - c) * (x - c))) AS r FROM l JOIN c ON l.label = c.label AND l.pos = c.pos GROUP BY 1, 2) GROUP BY 1),
         d AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM c a JOIN c b ON a.pos = b.pos AND a.label <> b.label GROUP BY 1, 2)
         SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT d.a, max((x.s + y.s) / d.d) AS r FROM d JOIN s x ON d.a = x.label JOIN s y ON d.b = y.label GROUP BY 1)""",
-    "adjusted_rand": """WITH t AS (SELECT label AS a, vec_id % 7 AS b, CAST(count(*) AS DOUBLE) AS n FROM embeddings GROUP BY 1, 2), o AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS m FROM t), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY b))
+    "adjusted_rand": """WITH t AS (SELECT gap_type AS a, section_type AS b, CAST(count(*) AS DOUBLE) AS n FROM gaps WHERE gap_type IS NOT NULL AND section_type IS NOT NULL GROUP BY 1, 2), o AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS m FROM t), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY b))
         SELECT round((o.s - x.s * y.s / (o.m * (o.m - 1) / 2)) / ((x.s + y.s) / 2 - x.s * y.s / (o.m * (o.m - 1) / 2)), 6) AS ari FROM o, x, y""",
     "evidence_payload": f"""WITH g AS (SELECT *, {CLUSTER} AS cluster_id FROM gaps), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY gap_idx) - 1 AS pos FROM g WHERE cluster_id <> -1)
         SELECT cluster_id, CAST(pos AS INTEGER) AS pos, coalesce(id, '') AS paper_id, coalesce(gap_type, '') AS gap_type, coalesce(section_type, '') AS section_type, coalesce(gap_sentence, '') AS gap_sentence, coalesce(paragraph_text, '') AS paragraph_text, coalesce(confidence, 0) AS confidence FROM r WHERE pos < 4""",
