@@ -183,7 +183,7 @@ def test_words(spark):
 
 
 def test_frontier_neighbours_seeds(spark, data):
-    """Every twentieth gap with a vector is a seed; the seeds of the SQL keep their neighbours."""
+    """Every twentieth gap with a vector is a seed; the SQL gives the same rows."""
     from lacuna.plans import vector_plans
 
     got = vector_plans.frontier_neighbours(spark, data).collect()
@@ -191,7 +191,7 @@ def test_frontier_neighbours_seeds(spark, data):
     assert {r.seed for r in got} == {r.gap_idx for r in usable.collect()}
     duckdb = pytest.importorskip("duckdb")
     want = duckdb.sql(vector_plans.SQL["frontier_neighbours"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'")).fetchall()
-    assert sorted(tuple(r) for r in got if r.seed % 100 == 0) == sorted(want)
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 
@@ -215,11 +215,11 @@ def test_diverse_evidence_takes_all_rows(spark):
 
 
 def test_sweet_spot_methods_all_clusters(spark, data):
-    """All clusters but noise have rows; the clusters of the SQL keep theirs."""
+    """All clusters but noise have rows; the SQL gives the same rows."""
     from lacuna.plans import vector_plans
 
     got = vector_plans.sweet_spot_methods(spark, data).collect()
     assert {r.cluster_id for r in got} == set(range(40))
     duckdb = pytest.importorskip("duckdb")
     q = vector_plans.SQL["sweet_spot_methods"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'").replace("FROM methods", f"FROM '{data}/methods.parquet'")
-    assert sorted(tuple(r) for r in got if r.cluster_id <= 9) == sorted(duckdb.sql(q).fetchall())
+    assert sorted(tuple(r) for r in got) == sorted(duckdb.sql(q).fetchall())
