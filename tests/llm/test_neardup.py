@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.llm import neardup
 from lacuna.llm.neardup import SuperMinHash, near_groups, near_pairs, near_texts
+from lacuna.llm.skew import attach, group_pairs
 
 KIND = "gap_idx int, gap_sentence string, paragraph_text string, band string"
 
@@ -61,7 +63,7 @@ def test_against_brute(spark):
 
 
 def test_crowded_bands(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CROWDED", 16)
+    monkeypatch.setattr(neardup, "BAND_ROWS", 16)
     monkeypatch.setattr(neardup, "CROWD_SHARE", 1)
     rng = random.Random(4)
     para = " ".join(f"p{k}" for k in range(50))
@@ -70,6 +72,32 @@ def test_crowded_bands(spark, monkeypatch):
     assert set(run(spark, rows)[2]) == brute(rows)
 
 
+def test_many_copies_of_one_text(spark):
+    """Copies never meet: 20 000 of one text are one text with one link."""
+    rows = [(k, "one and the same sentence of many records", " ".join(f"p{i}" for i in range(40)), "x") for k in range(20_000)]
+    rows += [(50_000, "one and the same sentence of many other records", " ".join(f"p{i}" for i in range(41)), "x"), (50_001, "nothing alike here", "at all", "x")]
+    df = spark.createDataFrame(rows, KIND).repartition(5)
+    links, members = near_texts(df)
+    assert links.count() == 1
+    g = near_groups(links, members)
+    got = {(r.class_id, r.n_links): r.n for r in g.groupBy("class_id", "n_links").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 1): 20_001, (50_001, 0): 1}
+
+
+def test_pairs_by_blocks(spark):
+    """Whatever the block size, each pair of one group or of linked groups comes once; hot keys change nothing."""
+    m = [(k, k % 3) for k in range(40)] + [(100, 9)]
+    members = spark.createDataFrame(m, "id bigint, grp bigint")
+    links = spark.createDataFrame([(0, 1), (1, 9)], "a bigint, b bigint")
+    near = {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0), (1, 9), (9, 1)}
+    want = sorted((a, b) for a, x in m for b, y in m if a < b and (x, y) in near)
+    for block in (3, 1000):
+        assert sorted(tuple(r) for r in group_pairs(members, links, "id", "grp", "x", "y", block).collect()) == want
+    n = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    for hot in (1, 13, 1000):
+        assert sorted(tuple(r) for r in attach(members, n, "grp", hot_rows=hot).select("id", "least").collect()) == sorted((k, min(i for i, y in m if y == x)) for k, x in m)
+
+
 def test_empty(spark):
     links, members, got = run(spark, [])
     assert got == [] and near_groups(links, members).count() == 0
