@@ -130,21 +130,48 @@ class Cells:
         return out
 
 
+def sample_plan(n_rows: int) -> tuple[int, int]:
+    """(cells, rows to fit them on) for a collection of ``n_rows``; neither grows beyond ``MAX_CELLS`` and ``SAMPLE_ROWS``."""
+    k = int(np.clip(round(n_rows / CELL_ROWS), 1, MAX_CELLS))
+    return k, min(SAMPLE_ROWS, max(2_000, 64 * k))
+
+
 def fit_cells(df: DataFrame, key: str, vector: str, dim: int, n_rows: int) -> Cells:
-    """Fit centres on at most ``SAMPLE_ROWS`` rows, chosen by the hash of their key.
+    """Fit centres on at most ``SAMPLE_ROWS`` rows, those of least hash of their key.
 
     The number of cells follows the number of rows up to ``MAX_CELLS``.
     """
-    k = int(np.clip(round(n_rows / CELL_ROWS), 1, MAX_CELLS))
-    want = min(SAMPLE_ROWS, max(2_000, 64 * k))
-    share = min(1.0, want / max(1, n_rows))
-    d = df.where(F.col(vector).isNotNull()).select(vector)
-    if share < 1:
-        d = df.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000))).select(vector)
-    _, x = matrix(d.limit(SAMPLE_ROWS).toArrow().column(0).cast(pa.list_(pa.float32())), dim)
+    k, want = sample_plan(n_rows)
+    h = F.xxhash64(F.col(key).cast("bigint"))
+    d = df.where(F.col(vector).isNotNull()).select(vector, h.alias("h"), F.col(key).alias("k"))
+    if n_rows > want:
+        # half as many again are let through, the rest of the choice is by order
+        d = d.where(F.pmod("h", F.lit(1_000_000)) < int(min(1.0, 1.5 * want / n_rows) * 1_000_000) + 1)
+    d = d.orderBy(F.pmod("h", F.lit(1_000_000)), "h", "k").limit(want).select(vector)
+    _, x = matrix(d.toArrow().column(0).cast(pa.list_(pa.float32())), dim)
     return Cells(bisect_centres(unit(x), k) if len(x) else np.eye(1, dim, dtype=np.float32))
 
 
+def reach_of(df: DataFrame, vector: str, cells: Cells) -> np.ndarray:
+    """Greatest angle between each cell's centre and the rows nearest to it; one number a cell reaches the driver."""
+    dim = cells.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.full(len(cells.centres), -1.0)
+        for b in batches:
+            u = unit(matrix(b.column(0), dim)[1])
+            if len(u):
+                near = cells.nearest(u)[:, 0]
+                np.maximum.at(out, near, np.arccos(np.clip(np.einsum("ij,ij->i", u, cells.centres[near]), -1, 1)))
+        at = np.nonzero(out >= 0)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["cell", "angle"])
+
+    reach = np.full(len(cells.centres), -4.0)
+    for r in df.select(vector).where(F.col(vector).isNotNull()).mapInArrow(run, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+        reach[r["cell"]] = r["angle"]
+    return reach
+
+
 def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = False, homes: int = 1) -> DataFrame:
     """``cell, id, v``: every usable row in its nearest cell, or in the ``homes`` nearest, told apart by ``nth``; ``v`` its unit vector in float16 (``raw``: the vector as it came, in float32)."""
     dim = cells.dim
@@ -173,12 +200,13 @@ def block_counts(indexed: DataFrame, n_cells: int, block_rows: int = BLOCK_ROWS)
 
 
 def with_block(indexed: DataFrame, blocks: np.ndarray) -> DataFrame:
-    """Add ``block`` to indexed rows: one of the cell's blocks, by the hash of the id."""
-    hot = {int(c): int(n) for c, n in enumerate(blocks) if n > 1}
+    """Add ``block`` to indexed rows: one of the cell's blocks, by the hash of the id. At most ``MAX_CELLS`` counts are broadcast."""
+    hot = [(int(c), int(n)) for c, n in enumerate(blocks) if n > 1]
     if not hot:
         return indexed.withColumn("block", F.lit(0))
-    m = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-    return indexed.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(m, F.col("cell")), F.lit(1))).cast("int"))
+    n = F.broadcast(indexed.sparkSession.createDataFrame(hot, "cell int, _blocks int"))
+    block = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int").alias("block")
+    return indexed.join(n, "cell", "left").select(*indexed.columns, block)
 
 
 def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: int | None = None) -> DataFrame:
@@ -186,7 +214,46 @@ def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: i
 
     With ``alone``, vectors that stand for a single row (``n`` is 1) visit only so many cells.
     """
-    dim = cells.dim
+    names = vectors.columns
+
+    def going(b: pa.RecordBatch, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = cells.nearest(u, m)
+        row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.reshape(-1)
+        if alone is not None:
+            single = b.column(names.index("n")).to_numpy() == 1
+            keep = ~(single[row] & (np.tile(np.arange(near.shape[1]), len(near)) >= alone))
+            row, cell = row[keep], cell[keep]
+        return row, cell
+
+    return _send(vectors, cells.dim, blocks, going)
+
+
+def visit_beyond(vectors: DataFrame, cells: Cells, blocks: np.ndarray, seen: int, least: str, reach: np.ndarray) -> DataFrame:
+    """Send vectors to every cell that may hold a row of cosine ``least`` or more, except their ``seen`` nearest ones.
+
+    ``reach`` is the greatest angle between a cell's centre and its rows. A row of a cell
+    is no nearer to a vector than the centre's angle less the reach, so what is left out
+    cannot beat ``least`` (null: nothing is left out).
+    """
+    at = vectors.columns.index(least)
+
+    def going(b: pa.RecordBatch, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        floor = b.column(at).fill_null(-1.0).to_numpy(zero_copy_only=False)
+        rows, to = [], []
+        for i in range(0, len(u), 1024):
+            angle = np.arccos(np.clip(u[i : i + 1024] @ cells.centres.T, -1, 1))
+            may = np.maximum(angle - reach[None, :], 0) <= np.arccos(np.clip(floor[i : i + 1024], -1, 1))[:, None] + 1e-3
+            np.put_along_axis(may, cells.nearest(u[i : i + 1024], seen), False, axis=1)
+            r, c = np.nonzero(may)
+            rows.append(i + r)
+            to.append(c.astype(np.int32))
+        return np.concatenate(rows), np.concatenate(to)
+
+    return _send(vectors, cells.dim, blocks, going)
+
+
+def _send(vectors: DataFrame, dim: int, blocks: np.ndarray, going: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows of ``vectors`` to all blocks of the cells that ``going`` names, as (row, cell)."""
     names = vectors.columns
     at = names.index("v")
 
@@ -194,14 +261,7 @@ def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: i
         for b in batches:
             if not b.num_rows:
                 continue
-            near = cells.nearest(unit(from_binary(b.column(at), dim)), m)
-            row = np.repeat(np.arange(len(near)), near.shape[1])
-            cell = near.reshape(-1)
-            if alone is not None:
-                single = b.column(names.index("n")).to_numpy() == 1
-                far = np.tile(np.arange(near.shape[1]), len(near)) >= alone
-                going = ~(single[row] & far)
-                row, cell = row[going], cell[going]
+            row, cell = going(b, unit(from_binary(b.column(at), dim)))
             n = blocks[cell]
             first = np.repeat(np.cumsum(n) - n, n)
             block = np.arange(int(n.sum())) - first
@@ -218,11 +278,12 @@ def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: i
 def meet(residents: DataFrame, visitors: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Run ``work(residents, visitors)`` for every block that has both.
 
-    Visitors of a crowded block are cut into parts of about ``VISITOR_ROWS`` by the hash
-    of their id, and the block's residents are sent to each part.
+    Visitors of every crowded block are cut into parts of about ``VISITOR_ROWS`` by the
+    hash of their id, and the block's residents are sent to each part. What is broadcast
+    is a row per crowded block, at most the visitors divided by ``VISITOR_ROWS``.
     """
     crowded = visitors.groupBy("cell", "block").count().where(F.col("count") > VISITOR_ROWS)
-    parts = crowded.select("cell", "block", F.ceil(F.col("count") / VISITOR_ROWS).cast("int").alias("parts")).orderBy(F.desc("parts")).limit(MAX_CELLS).collect()
+    parts = crowded.select("cell", "block", F.ceil(F.col("count") / VISITOR_ROWS).cast("int").alias("parts")).collect()
     if parts:
         known = F.broadcast(residents.sparkSession.createDataFrame([tuple(r) for r in parts], "cell int, block int, parts int"))
         n = F.coalesce("parts", F.lit(1))
