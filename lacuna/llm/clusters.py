@@ -11,7 +11,8 @@
 4. Every row takes the nearest group centre of ``least_cosine`` or more; means and
    members are settled in a few rounds, in which every group of two or more stays, and
    once more over many cells. Only then are groups below ``least_size`` dissolved, and
-   their rows go to the groups that are left.
+   their rows go to the groups that are left; rows without a group by then are shown to
+   the centres of further cells.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ JOINED = 0.70
 VISITS = 12
 #: Cells a settled group centre visits to collect its members.
 VISITS_LAST = 40
+#: Cells it visits in all, where the further ones only show it rows that found no group so far.
+VISITS_FAR = 96
 
 
 def sample_nearness(n: np.ndarray, closeness: float = CLOSENESS) -> np.ndarray:
@@ -162,7 +165,7 @@ def _fragment_edges(leaves: DataFrame, cells: V.Cells, closeness: float) -> Data
     return V.meet(V.with_block(homes, blocks), V.visit(frag, cells, blocks, VISITS), work, _EDGE).distinct()
 
 
-def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float, visits: int) -> DataFrame:
+def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.ndarray, least: float, visits: int, skip: int = 0) -> DataFrame:
     """Each row's nearest group centre among those that visit its block, of cosine ``least`` or more; ties take the smaller group.
 
     Besides a row for each member, every block gives its share of a group: the number of
@@ -194,7 +197,7 @@ def _assign(points: DataFrame, groups: DataFrame, cells: V.Cells, blocks: np.nda
         share = V.to_binary(np.add.reduceat(x[m], start, axis=0))
         return pa.concat_tables([rows, pa.table({"id": pa.nulls(len(start), pa.int64()), "grp": g[start], "cosine": pa.nulls(len(start), pa.float64()), "n": size.astype(np.int64), "v": share})])
 
-    return V.meet(points, V.visit(groups, cells, blocks, visits), work, _MEMBER)
+    return V.meet(points, V.visit(groups, cells, blocks, visits, skip=skip), work, _MEMBER)
 
 
 def _members(assigned: DataFrame) -> DataFrame:
@@ -264,6 +267,9 @@ def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embe
     for visits, least in [(VISITS, 2)] * rounds + [(VISITS_LAST, least_size)]:
         centres = cut(_centres(of(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, visits)), dim, least))
     final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_LAST)))
+    if len(cells.centres) > VISITS_LAST:
+        left = points.join(final.select("id"), "id", "left_anti")
+        final = cut(final.unionByName(_members(_assign(left, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_FAR, VISITS_LAST))))
     large = final.groupBy("grp").count().where(F.col("count") >= least_size).select("grp")
     return final.join(large, "grp", "left_semi").select("id", "grp", "cosine")
 

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import abuse, clusters, consensus, mixing, nearest, neardup, scans, tokens
-from lacuna.session import table
+from lacuna.llm.skew import group_pairs
+from lacuna.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    m = clusters.similarity_clusters(table(spark, d, "gaps").select("gap_idx", "embedding")).select(F.col("id").cast("int").alias("gap"), "grp")
-    a, b = m.select(F.col("gap").alias("gap_a"), "grp"), m.select(F.col("gap").alias("gap_b"), "grp")
-    return a.join(b, "grp").where("gap_a < gap_b").select("gap_a", "gap_b")
+    m = cut(clusters.similarity_clusters(table(spark, d, "gaps").select("gap_idx", "embedding")).select(F.col("id").cast("int").alias("gap"), "grp"))
+    return group_pairs(m, None, "gap", "grp", "gap_a", "gap_b")
 
 
 def p1_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -209,15 +209,15 @@ def with_block(indexed: DataFrame, blocks: np.ndarray) -> DataFrame:
     return indexed.join(n, "cell", "left").select(*indexed.columns, block)
 
 
-def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: int | None = None) -> DataFrame:
-    """Send ``id, v`` and what else there is to every block of the ``m`` nearest cells: adds ``cell, block``.
+def visit(vectors: DataFrame, cells: Cells, blocks: np.ndarray, m: int, alone: int | None = None, skip: int = 0) -> DataFrame:
+    """Send ``id, v`` and what else there is to every block of the ``m`` nearest cells but the ``skip`` nearest: adds ``cell, block``.
 
     With ``alone``, vectors that stand for a single row (``n`` is 1) visit only so many cells.
     """
     names = vectors.columns
 
     def going(b: pa.RecordBatch, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = cells.nearest(u, m)
+        near = cells.nearest(u, m)[:, skip:]
         row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.reshape(-1)
         if alone is not None:
             single = b.column(names.index("n")).to_numpy() == 1
