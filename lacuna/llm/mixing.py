@@ -28,8 +28,8 @@ from lacuna.session import cut
 BLOCK = 4_096
 #: Documents of a source that are kept for the landing.
 RESERVE = 10
-#: Sources of a mixing plan, at most; the plan is a hand-written table.
-MAX_SOURCES = 10_000
+#: Sources that a mixing plan may name; a longer one is refused with its number. The plan is a table made for the mix and is worked out on the driver.
+MAX_SOURCES = 100_000
 _EPS = 1e-9
 
 
@@ -91,7 +91,7 @@ def plan(targets: DataFrame, totals: DataFrame, total_tokens: float | None = Non
     as once; of a source named twice the weights are added and the greater cap holds.
     """
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    p = t.join(totals, "source", "left").limit(MAX_SOURCES).toPandas().sort_values("source").reset_index(drop=True)
+    p = t.join(totals, "source", "left").toPandas().sort_values("source").reset_index(drop=True)
     p[["n_docs", "n_tokens"]] = p[["n_docs", "n_tokens"]].fillna(0).astype("int64")
     live = (p.n_tokens > 0) & (p.weight > 0) & (p.max_repeats > 0)
     share = p.weight.where(live, 0.0)
@@ -125,10 +125,14 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     ``times`` is 1 or more and at most the source's ``max_repeats``. Documents of no
     target source, without a source or without tokens are not part of the mix. The
     result depends on ``seed`` and the ids, not on the order of the rows. Without
-    targets or documents there are no rows.
+    targets or documents there are no rows; more than ``MAX_SOURCES`` sources raise.
     """
     spark = docs.sparkSession
-    all_docs = cut(sized(docs.join(F.broadcast(targets.select("source").where("source is not null").distinct().limit(MAX_SOURCES)), "source", "left_semi"), folder))
+    sources = targets.select("source").where("source is not null").distinct()
+    n = sources.count()
+    if n > MAX_SOURCES:
+        raise ValueError(f"{n} sources exceed the {MAX_SOURCES} of a mixing plan")
+    all_docs = cut(sized(docs.join(F.broadcast(sources), "source", "left_semi"), folder))
     totals = all_docs.groupBy("source").agg(F.count_if(F.col("n_tokens") > 0).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     p = plan(targets, totals, total_tokens)
     known = spark.createDataFrame([(r.source, int(math.floor(r.times)), float(r.times - math.floor(r.times)), max(1, -(-int(r.n_docs) // block))) for r in p.itertuples() if r.times > 0], "source string, whole int, p double, blocks int")

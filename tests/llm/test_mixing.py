@@ -48,6 +48,18 @@ def test_mix(spark, block):
 
 
 @needs
+@needs
+def test_many_sources(spark, monkeypatch):
+    """Beyond 10 000 sources none is left out; beyond the bound the plan is refused with the number."""
+    docs = spark.range(10_001).selectExpr("id as doc_id", "cast(id as string) as source", "'one two three' as text")
+    targets = spark.range(10_001).selectExpr("cast(id as string) as source", "1.0D as weight", "1 as max_repeats")
+    mixed, p = mixing.mix(docs, targets)
+    assert len(p) == 10_001 and mixed.select("source").distinct().count() == 10_001
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10_000)
+    with pytest.raises(ValueError, match="10001"):
+        mixing.mix(docs, targets)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
