@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm import abuse, clusters, consensus, mixing, nearest, neardup, scans, tokens
 from lacuna.llm.skew import group_pairs
+from lacuna.operators import nested
 from lacuna.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +49,17 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(links, members)
 
 
+def idea_features(ideas: DataFrame) -> DataFrame:
+    """``item, features`` of every idea: how sure and how new it calls itself, how long its parts are, and how much stands behind it; what is missing counts 0."""
+    size = lambda c, typical: F.log1p(F.coalesce(F.length(c), F.lit(0))) - F.log1p(F.lit(typical))
+    less = lambda c, middle: F.coalesce(F.col(c) - middle, F.lit(0.0))
+    x = F.array(less("idea_confidence", 0.5), less("novelty_score", 0.5), size("title", 60), size("method_sketch", 150), size("evaluation_plan", 150), F.least("n_methods", F.lit(5)) / 5.0, F.least("n_critiques", F.lit(5)) / 5.0, F.col("falsifiable_prediction").isNotNull().cast("double"), F.col("named_baseline").isNotNull().cast("double"))
+    return nested.wide_ideas(ideas).select(F.col("idea_id").alias("item"), x.alias("features"))
+
+
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, consensus.Panel | None]:
     labels = consensus.long_labels(table(spark, d, "panel_scores"))
-    return labels, consensus.fit(labels)
+    return labels, consensus.fit(labels, idea_features(table(spark, d, "ideas_full")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
