@@ -74,3 +74,26 @@ def test_tables(spark, model):
     assert r["a"][0] == 32 and r[None][0] == 30
     assert abuse.score_documents(docs.limit(0), model).count() == 0
     assert abuse.fit_model(docs, labels.limit(0)).document_scores(["You are a stupid worthless idiot."])[0] > 0
+
+
+def test_decision_value():
+    """The fewest errors decide, wrong labels at either end do not move it, the widest gap is halved."""
+    v = np.array([3.0, 2.0, 1.0, -1.0, -1.2, -4.0, -5.0])
+    assert abuse.decision_value(v, np.array([1, 1, 1, 0, 0, 0, 0])) == 0.0
+    assert abuse.decision_value(v, np.array([0, 1, 1, 0, 0, 0, 1])) == 0.0
+    assert abuse.decision_value(v, np.array([1, 1, 0, 0, 0, 0, 0])) == 1.5
+
+
+def test_held_out_values_do_not_see_their_document():
+    rng = np.random.default_rng(2)
+    z, y = rng.normal(size=(80, 3)), np.where(np.arange(80) % 2, 1.0, -1.0)
+    z[:, 0] += 2 * y
+    doc = np.arange(80) // 2
+    c, l2 = np.ones(80), 0.1
+    whole = abuse._squared_hinge(z, y, c, l2)
+    got = abuse.held_out(z, y, c, doc, 40, l2, whole)
+    for d in (0, 7, 39):
+        rest = doc % abuse.FOLDS != d % abuse.FOLDS
+        w = abuse._squared_hinge(z[rest], y[rest], c[rest], l2)
+        assert abs(got[d] - (z[doc == d] @ w[:-1] + w[-1]).max()) < 1e-4
+    assert np.isinf(abuse.held_out(z, y, c, doc, 50, l2, whole)[40:]).all()
