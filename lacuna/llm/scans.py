@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from lacuna.session import cut
 KNOWN = 3
 #: Frequent words sent to the tasks to spare events, and words the models learn from, at most.
 COMMON, LEARN_WORDS, LEARN_LINES = 100_000, 3_000, 20_000
+#: Probability from which a line far from any number counts as a header; more than a half, as most such lines are text.
+UNNUMBERED = 0.8
 #: Signs that end a broken line.
 HYPHENS = "-‐­¬"
 #: A letter or pair of letters and what scanners take it for.
@@ -40,8 +43,9 @@ MISREADINGS = {
     "a": ["o"], "b": ["6", "h"], "c": ["e"], "e": ["c", "o"], "f": ["t"], "g": ["q", "9"], "h": ["b"], "i": ["l", "1"], "l": ["1", "i"], "m": ["rn"],
     "n": ["ii", "u"], "o": ["0", "c"], "q": ["g"], "r": ["i"], "s": ["5"], "t": ["f"], "u": ["ii", "n"], "v": ["y"], "w": ["vv"], "y": ["v"], "z": ["2"], "d": ["cl"], "rn": ["m"], "cl": ["d"], "li": ["h"], "fi": ["ﬁ"], "fl": ["ﬂ"],
 }
-_TOKEN = re.compile(r"[A-Za-z0-9ﬀ-ﬄ]+(?:-[A-Za-z0-9ﬀ-ﬄ]+)*")
-_BREAK = re.compile(rf"([A-Za-z0-9ﬀ-ﬄ]+(?:-[A-Za-z0-9ﬀ-ﬄ]+)*)([{HYPHENS}])[ \t]*$")
+#: Letters of any script, digits and ligatures; hyphens inside.
+_TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
+_BREAK = re.compile(rf"([^\W_]+(?:-[^\W_]+)*)([{HYPHENS}])[ \t]*$")
 _NUMBER = re.compile(r"(?:\d{1,4}|- ?\d{1,4} ?-|\[\d{1,4}\]|[Pp]age \d{1,4}|PAGE \d{1,4})$")
 _BESIDE = re.compile(r"(?:\d{1,4}\s{2,}(?P<after>\S.*)|(?P<before>.*\S)\s*\|\s*\d{1,4})$")
 _END = re.compile(r"[.!?:;\"')\]]$")
@@ -162,8 +166,30 @@ def _neighbours(lines: list[str], alone: set[int], marked: set[int]) -> list[tup
     return out
 
 
+def _titled(x: str) -> bool:
+    """Half of the words or more begin with a capital, and the line neither ends a sentence nor breaks a word."""
+    w = x.split()
+    return bool(w) and 2 * sum(c[:1].isupper() for c in w) >= len(w) and (x[0].isupper() or x[0].isdigit()) and not _END.search(x) and not broken_end(x)
+
+
+def _unnumbered(lines: list[str], marked: set[int]) -> list[int]:
+    """Lines far from any number that may be a header: title-like ones that come again in the text or stand inside a sentence."""
+    again = Counter(x.strip() for x in lines)
+    out = []
+    for j, line in enumerate(lines):
+        x = line.strip()
+        if j in marked or not x or not _titled(x):
+            continue
+        p, n = _around(lines, j, marked)
+        before, after = (lines[p].strip() if p >= 0 else ""), (lines[n].strip() if n < len(lines) else "")
+        inside = before and after and after[0].islower() and (bool(broken_end(before)) or not _END.search(before))
+        if inside or again[x] > 1:
+            out.append(j)
+    return out
+
+
 def find_furniture(texts: list[str], model: Boosted | None) -> list[Page]:
-    """Mark page numbers, headers beside them and headers next to them in each text; the lines of all texts are judged at once."""
+    """Mark page numbers, headers beside them or next to them, and title-like lines that the running text goes on around; the lines of all texts are judged at once."""
     pages, cands, feats = [], [], []
     for k, text in enumerate(texts):
         lines = text.split("\n")
@@ -174,6 +200,9 @@ def find_furniture(texts: list[str], model: Boosted | None) -> list[Page]:
         for i, j in _neighbours(lines, alone, marked):
             cands.append((k, i, j))
             feats.append(line_features(lines, j, width, None, _around(lines, j, marked)))
+        for j in _unnumbered(lines, marked):
+            cands.append((k, -1 - j, j))
+            feats.append(line_features(lines, j, width, None, _around(lines, j, marked)))
     if not cands:
         return pages
     f = np.array(feats)
@@ -183,7 +212,7 @@ def find_furniture(texts: list[str], model: Boosted | None) -> list[Page]:
         score = ((f[:, 1] > 0) & (f[:, 3] == 0) & ((f[:, 2] > 0.9) | (f[:, 4] == 0) | (f[:, 7] > 0)) & (f[:, 11] == 0)).astype(float)
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for (k, i, j), s in zip(cands, score.tolist()):
-        if s >= 0.5 and s > best.get((k, i), (0.0, 0))[0]:
+        if s >= (0.5 if i >= 0 else UNNUMBERED) and s > best.get((k, i), (0.0, 0))[0]:
             best[k, i] = (s, j)
     for (k, _), (_, j) in best.items():
         pages[k].furniture[j] = True
@@ -237,19 +266,22 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 def _fit_lines(rows: DataFrame) -> Boosted | None:
-    """Line classifier from at most ``LEARN_LINES`` lines of scanned rows."""
+    """Line classifier from at most ``LEARN_LINES`` lines of scanned rows, taken in the order of a hash of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = [], []
-            for rec, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h, at, x, y = [], [], [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t and is_scan(t):
-                    for f, label in learn_lines(t, np.random.default_rng(abs(int(rec or 0)))):
+                    for k, (f, label) in enumerate(learn_lines(t, np.random.default_rng(key & 0x7FFFFFFF))):
+                        h.append(key)
+                        at.append(k)
                         x.append(f)
                         y.append(label)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["h", "at", "x", "y"])
 
-    got = rows.select("rec", "text").mapInArrow(run, "x array<double>, y int").limit(LEARN_LINES).toPandas()
+    learn = rows.select(F.xxhash64("src", "rec").alias("h"), "text").mapInArrow(run, "h bigint, at int, x array<double>, y int")
+    got = learn.orderBy("h", "at").limit(LEARN_LINES).select("x", "y").toPandas()
     if len(got) == 0 or (got.y == 1).sum() < 20:
         return None
     return boost(np.stack(got.x.to_numpy()), got.y.to_numpy())
@@ -344,11 +376,20 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
+def _points(words: list[str], width: int) -> np.ndarray:
+    """Code points, to tell signs without a code of their own apart."""
+    out = np.zeros((len(words), width), dtype=np.int32)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = [ord(ch) for ch in w]
+    return out
+
+
 def reading_distance(wrong: list[str], right: list[str]) -> np.ndarray:
     """Weighted edit distance of word pairs, cheap where scanners misread."""
     lu, lv = np.array([len(w) for w in wrong]), np.array([len(w) for w in right])
     u, v = _codes(wrong, int(lu.max())), _codes(right, int(lv.max()))
     n, m = u.shape[1], v.shape[1]
+    pu, pv = _points(wrong, n), _points(right, m)
     rows: list[list[np.ndarray]] = []
     for i in range(n + 1):
         row = []
@@ -357,7 +398,8 @@ def reading_distance(wrong: list[str], right: list[str]) -> np.ndarray:
                 d = np.full(len(wrong), float(i + j), dtype=np.float32)
             else:
                 d = np.minimum(rows[i - 1][j], row[j - 1]) + 1
-                d = np.minimum(d, rows[i - 1][j - 1] + _ONE[u[:, i - 1], v[:, j - 1]])
+                same = np.where(u[:, i - 1] == _N - 1, pu[:, i - 1] != pv[:, j - 1], _ONE[u[:, i - 1], v[:, j - 1]]).astype(np.float32)
+                d = np.minimum(d, rows[i - 1][j - 1] + same)
                 if i > 1:
                     d = np.minimum(d, rows[i - 2][j - 1] + _TWO[u[:, i - 2] * _N + u[:, i - 1], v[:, j - 1]])
                 if j > 1:
@@ -395,18 +437,21 @@ def _grams(c: str) -> F.Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
 
 
-def candidates(unknown: DataFrame, lexicon: DataFrame, most_edits: int = 3, probes: int = 7) -> DataFrame:
+def candidates(unknown: DataFrame, lexicon: DataFrame, most_edits: int = 4, probes: int = 9) -> DataFrame:
     """``u, v, n, shared, edits``: lexicon words near each unknown word, through inverted trigram lists.
 
-    An unknown word probes the lists of its ``probes`` rarest trigrams: two misread
-    places spoil six at most.
+    An unknown word probes the lists of its ``probes`` rarest trigrams that the lexicon
+    has: two misread places of two letters spoil eight at most. Lists are kept per length
+    of the word, so a frequent trigram is many keys and words of another length never
+    meet; two misread places change the length by two at most.
     """
-    postings = lexicon.select(F.col("word").alias("v"), "n", F.explode(_grams("word")).alias("g"))
+    postings = lexicon.select(F.col("word").alias("v"), "n", F.length("word").alias("size"), F.explode(_grams("word")).alias("g"))
     df = postings.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    own = unknown.select("u", F.explode(_grams("u")).alias("g")).join(df, "g", "left")
-    rare = own.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))), 1, probes).alias("x"))
-    probe = rare.select("u", F.explode("x").alias("x")).where("x.df > 0").select("u", F.col("x.g").alias("g"))
-    met = probe.join(postings, "g").where("abs(length(u) - length(v)) <= 2 and u <> v").groupBy("u", "v", "n").agg(F.count(F.lit(1)).alias("shared"))
+    own = unknown.select("u", F.explode(_grams("u")).alias("g")).join(df, "g")
+    rare = own.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, probes).alias("x"))
+    size = F.sequence(F.length("u") - 2, F.length("u") + 2)
+    probe = rare.select("u", F.explode("x.g").alias("g")).select("u", "g", F.explode(size).alias("size"))
+    met = probe.join(postings, ["g", "size"]).where("u <> v").groupBy("u", "v", "n").agg(F.count(F.lit(1)).alias("shared"))
     return met.withColumn("edits", F.levenshtein("u", "v", most_edits)).where("edits >= 0")
 
 
@@ -420,20 +465,38 @@ class Repairs:
     lines: Boosted | None
 
 
+#: Candidates that are ranked at once, about; a word's candidates stay together.
+SLICE = 20_000
+
+
 def _choose(cands: DataFrame, model: Boosted) -> DataFrame:
-    """``u, v``: the best candidate of every word, if the ranking trusts it."""
+    """``u, v``: the best candidate of every word, if the ranking trusts it. Words are ranked in slices of bounded size."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def best(t: pa.Table) -> pa.RecordBatch:
         p = model.probability(_rank_features(t))
         u, v = np.array(t["u"].to_pylist(), dtype=object), np.array(t["v"].to_pylist(), dtype=object)
         order = np.lexsort((v.astype(str), -t["n"].to_numpy(), -p.round(6), u.astype(str)))
         u, v, p = u[order], v[order], p[order]
         head = np.concatenate(([True], u[1:] != u[:-1])) if len(u) else np.zeros(0, bool)
         keep = head & (p >= 0.5)
-        return pa.table({"u": pa.array(u[keep].tolist(), pa.string()), "v": pa.array(v[keep].tolist(), pa.string())})
+        return pa.RecordBatch.from_arrays([pa.array(u[keep].tolist(), pa.string()), pa.array(v[keep].tolist(), pa.string())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the last word of a batch may go on in the next one
+            whole = pc.index(b.column(0), b.column(0)[b.num_rows - 1]).as_py()
+            if whole and sum(x.num_rows for x in held) + whole >= SLICE:
+                yield best(pa.Table.from_batches([*held, b.slice(0, whole)]))
+                held = [b.slice(whole)]
+            else:
+                held.append(b)
+        if held:
+            yield best(pa.Table.from_batches(held))
 
-    part = F.pmod(F.xxhash64("u"), F.lit(64)).alias("part")
-    return cands.select(part, "u", "v", "n", "shared", "edits").groupBy("part").applyInArrow(run, "u string, v string")
+    return cands.select("u", "v", "n", "shared", "edits").repartition("u").sortWithinPartitions("u").mapInArrow(run, "u string, v string")
 
 
 def find_repairs(rows: DataFrame, seed: int = 5) -> Repairs:
@@ -476,7 +539,7 @@ def find_repairs(rows: DataFrame, seed: int = 5) -> Repairs:
     decided = cut(forms.select(*cols).mapInArrow(decide, "a string, b string, sign string, form string, sure boolean"))
     # unknown words, and words misread on purpose to learn from
     unknown = events.where("kind = 'word'").select(F.col("a").alias("u")).unionByName(decided.where("not sure").select(F.col("form").alias("u"))).distinct()
-    unknown = unknown.join(lexicon.select(F.col("word").alias("u")), "u", "left_anti").where("length(u) between 2 and 40")
+    unknown = unknown.join(lexicon.select(F.col("word").alias("u")), "u", "left_anti").where("length(u) >= 2")
     plain = [w for w in top if w.replace("-", "").isalpha() and len(w) > 2 and w.isascii() and top[w] > 2 * KNOWN]
     truth: dict[str, str] = {}
     for w in rng.permutation(plain)[: LEARN_WORDS // 2].tolist() if plain else []:
@@ -505,16 +568,16 @@ def found(r: Repairs) -> DataFrame:
     lines = e.where("kind = 'line'").select("src", "rec", F.lit("line").alias("what"), F.col("a").alias("item"))
     broken = e.where("kind = 'break'").join(r.breaks, ["a", "b", "sign"]).select("src", "rec", F.lit("word").alias("what"), F.col("form").alias("item"))
     words = e.where("kind = 'word'").join(r.words, F.col("a") == F.col("u")).select("src", "rec", F.lit("word").alias("what"), F.col("v").alias("item"))
-    ok = broken.unionByName(words).where("item rlike '^[a-z]+(-[a-z]+)*$'")
+    ok = broken.unionByName(words).where("item rlike '^\\\\p{L}+(-\\\\p{L}+)*$'")
     return lines.unionByName(ok).distinct()
 
 
 def repaired(rows: DataFrame, r: Repairs) -> DataFrame:
     """``src, rec, text``: scanned rows as continuous paragraphs, all others as they are."""
     e = r.events
-    broken = e.where("kind = 'break'").join(r.breaks, ["a", "b", "sign"]).select("src", "rec", F.concat_ws("\n", "a", "b").alias("k"), F.col("form").alias("v"))
+    broken = e.where("kind = 'break'").join(r.breaks, ["a", "b", "sign"]).select("src", "rec", F.concat_ws("\n", "a", "b", "sign").alias("k"), F.col("form").alias("v"))
     words = e.where("kind = 'word'").join(r.words, F.col("a") == F.col("u")).select("src", "rec", F.col("a").alias("k"), "v")
-    maps = broken.unionByName(words).groupBy("src", "rec").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("k", "v")))).alias("fix"))
+    maps = broken.unionByName(words).groupBy("src", "rec").agg(F.map_from_entries(F.collect_set(F.struct("k", "v"))).alias("fix"))
     model = r.lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,7 +627,7 @@ def rebuild(text: str, fix: dict[str, str], model: Boosted | None) -> str:
             m = broken_end(flow) if flow else None
             t = _TOKEN.match(x) if m else None
             if m and t:
-                form = fix.get(f"{m[1].lower()}\n{t[0].lower()}", m[1].lower() + t[0].lower())
+                form = fix.get(f"{m[1].lower()}\n{t[0].lower()}\n{m[2]}", m[1].lower() + t[0].lower())
                 flow = flow[: m.start()] + _like(m[1], form) + x[t.end() :]
             else:
                 flow = f"{flow} {x}" if flow else x
