@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import numeric, records, text
-from lacuna.operators import rows, sections
+from lacuna.operators import rows, sections, themes
 from lacuna.session import table
 
 #: The labels of a clustering run are not among the tables; gaps are put to 40 clusters and noise (-1) by their number.
@@ -134,12 +134,7 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = gaps(spark, d).where("cluster_id <> -1")
-    s = g.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("id").alias("n_papers"), F.round(F.avg("confidence"), 6).alias("avg_conf"))
-    top = rows.top_per_group(g.where("gap_sentence is not null"), ["cluster_id"], 3, F.desc_nulls_last("confidence"), "gap_idx", rank="r")
-    ex = top.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "gap_sentence"))), lambda x: x["gap_sentence"]), "\n").alias("examples"))
-    labels = table(spark, d, "cluster_labels").select("cluster_id", "theme_label")
-    return s.join(ex, "cluster_id", "left").join(labels, "cluster_id", "left")
+    return themes.cluster_summary(gaps(spark, d), table(spark, d, "cluster_labels"))
 
 
 def theme_drilldown(spark: SparkSession, d: str) -> DataFrame:

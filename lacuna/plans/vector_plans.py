@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import coerce, cosine, peak
-from lacuna.operators import clustering, evidence, graph, similarity
+from lacuna.operators import clustering, evidence, graph, similarity, themes
 from lacuna.plans.row_plans import CLUSTER, gaps
 from lacuna.session import cut, table
 
@@ -63,13 +63,7 @@ def _centroid_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bridge_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = graph.pair_context(_centroid_pairs(spark, d), gaps(spark, d).where("cluster_id <> -1"))
-    labels = table(spark, d, "cluster_labels")
-    for side in "ab":
-        p = p.join(labels.select(F.col("cluster_id").alias(f"cluster_{side}"), F.col("theme_label").alias(f"label_{side}")), f"cluster_{side}", "left")
-    score = peak(F.col("cosine_sim")) * (1 - F.col("paper_overlap")) * (0.5 + 0.5 * F.col("type_complementarity"))
-    p = p.withColumn("bridge_score", F.round(score, 6))
-    return p.select("cluster_a", "cluster_b", "label_a", "label_b", "cosine_sim", "paper_overlap", "type_complementarity", "bridge_score").orderBy(F.desc("bridge_score"), "cluster_a", "cluster_b").limit(30)
+    return themes.centroid_bridges(gaps(spark, d), table(spark, d, "cluster_labels"))
 
 
 def centroid_pairs(spark: SparkSession, d: str) -> DataFrame:

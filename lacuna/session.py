@@ -31,13 +31,16 @@ def get_spark(app: str = "lacuna", master: str | None = None, **conf: str) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local runs) and no folder has been set
-    is a folder under the local temporary directory taken.
+    Where that setting is absent and no folder has been set, a local session takes a
+    folder under the temporary directory; a cluster is refused, as its executors do not
+    share one.
     """
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lacuna-checkpoint-"))
 
 
@@ -50,8 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table ``name`` of the dataset in ``sf_dir``."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def run_python_tasks_small(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the Arrow batches handed to Python workers to ``rows`` rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

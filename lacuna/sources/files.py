@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
+import importlib.util
 import json
-import lzma
 import os
 import tarfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,12 @@ def append_one(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on any file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
@@ -58,22 +65,26 @@ def read_snapshot(spark: SparkSession, path: str, categories: list[str], least_y
     return select_snapshot(read_jsonl(spark, path, schemas.SNAPSHOT), categories, least_year, n, seed)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``archive, member, ord, record``: each JSON line of the ``.json`` and ``.jsonl`` members of tar archives (plain, gz, xz).
+def read_archives(spark: SparkSession, path: str, open_path: Callable[[str], BinaryIO] | None = None) -> DataFrame:
+    """``archive, member, ord, record``: each JSON line of the ``.json`` and ``.jsonl`` members of tar archives (plain, gz, bz2, xz).
 
-    One task streams an archive member by member; lines that are no JSON are skipped.
+    Only the paths are listed by Spark; a task opens an archive by its path and streams
+    it, decompressing as it goes, so neither the size of an archive nor that of a member
+    is held. ``open_path`` opens a path as the executors see it (a mounted or local file
+    unless given). Lines that are no JSON are skipped.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf.path, pdf.content):
-                raw = lzma.decompress(content) if name.endswith(".xz") else content
+            for name in pdf.path:
                 out: list[tuple] = []
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
+                raw = open_path(name) if open_path else open(unquote(urlparse(name).path), "rb")  # noqa: SIM115
+                with raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
                     for m in tar:
                         if not m.isfile() or not m.name.endswith((".json", ".jsonl")):
                             continue
-                        for k, line in enumerate(io.TextIOWrapper(tar.extractfile(m), "utf-8", errors="replace")):
+                        for k, said in enumerate(tar.extractfile(m)):
+                            line = said.decode("utf-8", errors="replace")
                             try:
                                 json.loads(line)
                             except ValueError:
@@ -84,8 +95,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                                 out = []
                 yield pd.DataFrame(out, columns=["archive", "member", "ord", "record"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, member string, ord int, record string")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition("path").mapInPandas(run, "archive string, member string, ord int, record string")
 
 
 def scan_until(df: DataFrame, order: str, predicate: str, n: int, most: int) -> DataFrame:
@@ -93,13 +104,21 @@ def scan_until(df: DataFrame, order: str, predicate: str, n: int, most: int) ->
     return df.orderBy(order).limit(most).where(predicate).orderBy(order).limit(n)
 
 
+def _opened(content: bytes):
+    """A PDF document; raises if the library that reads it is missing."""
+    import fitz
+
+    return fitz.open(stream=content, filetype="pdf")
+
+
+def _need_pdf_library() -> None:
+    if importlib.util.find_spec("fitz") is None:
+        raise RuntimeError("reading PDF files needs PyMuPDF, or a parse function")
+
+
 def _pdf_text(content: bytes, pages: int | None) -> str:
     try:
-        import fitz
-    except ImportError:
-        return ""
-    try:
-        with fitz.open(stream=content, filetype="pdf") as doc:
+        with _opened(content) as doc:
             out = []
             for k, page in enumerate(doc):
                 if pages is not None and k >= pages:
@@ -113,19 +132,76 @@ def _pdf_text(content: bytes, pages: int | None) -> str:
         return ""
 
 
-def read_pdfs(spark: SparkSession, folder: str, pages: int | None = None, least: int = 500, parse: Callable[[bytes, int | None], str] = _pdf_text) -> DataFrame:
+def _pdf_spans(content: bytes, pages: int | None) -> list[dict]:
+    out: list[dict] = []
+    try:
+        with _opened(content) as doc:
+            for k, page in enumerate(doc):
+                if pages is not None and k >= pages:
+                    break
+                for block in page.get_text("dict").get("blocks", []):
+                    for line in block.get("lines", []):
+                        for s in line.get("spans", []):
+                            x0, y0, x1, _ = s["bbox"]
+                            out.append({"page": k, "x0": x0, "x1": x1, "y0": y0, "size": s["size"], "bold": bool(s["flags"] & 16) or "bold" in s["font"].lower(), "text": s["text"]})
+    except Exception:
+        return []
+    return out
+
+
+def _pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content")
+
+
+def _stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
+def read_pdfs(spark: SparkSession, folder: str, pages: int | None = None, least: int = 500, parse: Callable[[bytes, int | None], str] | None = None) -> DataFrame:
     """``id, text, n_chars`` of the PDF files of a folder, named by their stem, texts of ``least`` characters or more.
 
-    ``parse`` turns bytes into text; the default uses PyMuPDF if that is installed.
+    ``parse`` turns bytes into text; the default uses PyMuPDF and raises where that is
+    not installed.
     """
+    if parse is None:
+        _need_pdf_library()
+        parse = _pdf_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             text = [parse(c, pages) for c in pdf.content]
-            yield pd.DataFrame({"id": [os.path.splitext(os.path.basename(p))[0] for p in pdf.path], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"id": [_stem(p) for p in pdf.path], "text": text, "n_chars": [len(t) for t in text]})
+
+    return _pdf_files(spark, folder).mapInPandas(run, "id string, text string, n_chars int").where(F.col("n_chars") >= least).orderBy("id")
+
+
+def read_pdf_spans(spark: SparkSession, folder: str, pages: int | None = None, parse: Callable[[bytes, int | None], list[dict]] | None = None) -> DataFrame:
+    """``id, ord, page, x0, x1, y0, size, bold, text`` of the styled spans of PDF files, in reading order; what ``sections.merge_lines`` takes.
+
+    ``parse`` gives the spans of one file; the default uses PyMuPDF and raises where that
+    is not installed. A file that cannot be read gives none.
+    """
+    if parse is None:
+        _need_pdf_library()
+        parse = _pdf_spans
+    cols = ["id", "ord", "page", "x0", "x1", "y0", "size", "bold", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content):
+                rows = [(_stem(path), k, *(s[c] for c in cols[2:])) for k, s in enumerate(parse(content, pages))]
+                yield pd.DataFrame(rows, columns=cols)
+
+    return _pdf_files(spark, folder).mapInPandas(run, "id string, ord int, page int, x0 double, x1 double, y0 double, size double, bold boolean, text string")
+
+
+def read_pdf_blocks(spans: DataFrame) -> DataFrame:
+    """``id, text, blocks`` of papers from their spans: lines with their role, and the text they make; what the styled half of ``sections.sections`` takes."""
+    from lacuna.operators.sections import merge_lines
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", "content")
-    return files.mapInPandas(run, "id string, text string, n_chars int").where(F.col("n_chars") >= least).orderBy("id")
+    lines = F.array_sort(F.collect_list(F.struct("line", "role", "text")))
+    d = merge_lines(spans).groupBy("id").agg(lines.alias("x"))
+    return d.select("id", F.array_join(F.transform("x", lambda b: b["text"]), "\n").alias("text"), F.transform("x", lambda b: F.struct(b["role"].alias("role"), b["text"].alias("text"))).alias("blocks"))
 
 
 def files_present(spark: SparkSession, folder: str, pattern: str = "*", least_bytes: int = 1) -> DataFrame:

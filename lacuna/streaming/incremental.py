@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lacuna.operators.panels import loop_ends
+from lacuna.sources.files import exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 10, kind: str = "parquet") -> DataFrame:
@@ -22,29 +23,30 @@ def file_stream(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(kind).load(folder)
 
 
-def resume(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id"):
-    """Run ``work`` on the rows whose key has no result in ``out`` yet and append; handles what there is and ends.
+def resume(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "id", order: str | None = None):
+    """Run ``work`` on the rows whose key has no result yet; handles what there is and ends.
 
-    A key that gives no result is remembered too, in ``out`` + ``_done``, so it is not
-    asked for again.
+    Results lie in ``out/batch=N`` and the keys asked for in ``out_done/batch=N``, each
+    written over what an earlier try of the same batch left; keys done in the same batch
+    do not count as done. A stop between the two writes, or before the batch is
+    committed, therefore leaves nothing twice. A key that gives no result is not asked
+    for again. Of several rows of a key in a batch the first by ``order`` is taken (by
+    all of its columns if none is given).
     """
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = spark.read.format("parquet").schema(f"{key} string").load(f"{out}_done") if _exists(spark, f"{out}_done") else spark.createDataFrame([], f"{key} string")
-        todo = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(done, key, "left_anti").persist()
-        work(todo).write.mode("append").parquet(out)
-        todo.select(F.col(key).cast("string").alias(key)).write.mode("append").parquet(f"{out}_done")
+        kind = batch.schema[key].dataType.simpleString()
+        done = spark.read.schema(f"`{key}` {kind}, batch bigint").parquet(f"{out}_done").where(F.col("batch") != number).select(key) if exists(spark, f"{out}_done") else spark.createDataFrame([], f"`{key}` {kind}")
+        first = Window.partitionBy(key).orderBy(*([order] if order else []), *[c for c in batch.columns if c != order])
+        todo = batch.where(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").join(done, key, "left_anti").persist()
+        work(todo).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        todo.select(key).write.mode("overwrite").parquet(f"{out}_done/batch={number}")
         todo.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def first_of_each(stream: DataFrame, keys: list[str], time: str, late: str = "30 days") -> DataFrame:
     """One row per key among rows that come within ``late`` of each other; older state is dropped."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
@@ -72,8 +74,3 @@ def finished_rounds(events: DataFrame, last: int = 2) -> DataFrame:
     """Batch form of ``revision_states``: the round at which each draft ends."""
     d = events.where(loop_ends(F.col("verdict"), F.col("score"), F.col("iteration"), last))
     return d.groupBy("idea_id").agg(F.min(F.struct("iteration", "verdict")).alias("x")).select("idea_id", (F.col("x.iteration") + 1).alias("rounds"), "x.verdict")
-
-
-def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window and kind, late rows within ``late``. An extension: there is no such query to match."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), kind, "n")

@@ -1,7 +1,9 @@
+import importlib.util
 import io
 import json
 import lzma
 import os
+import shutil
 import subprocess
 import sys
 import tarfile
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lacuna import cli, reports, schemas, tools
 from lacuna.functions import records
-from lacuna.sources import files, services
+from lacuna.operators import ideas, sections, themes
+from lacuna.sources import files, search, services
 from lacuna.streaming import incremental
 
 
@@ -112,9 +115,10 @@ def test_tools(corpus):
     c = corpus
     assert [t["theme_label"] for t in tools.call(c, "list_themes")] == ["Robustness", "Language"]
     t = tools.call(c, "get_theme", cluster_id=0)
-    assert {p["id"] for p in t["papers"]} == {"p1", "p2"} and "error" in tools.call(c, "get_theme", cluster_id=9)
+    assert [(p["paper_id"], p["n_gaps"], p["gap_types"]) for p in t["papers"]] == [("p1", 1, ["future_work"]), ("p2", 1, ["limitation"])] and "error" in tools.call(c, "get_theme", cluster_id=9)
+    assert (t["keywords"], t["n_papers"], t["n_gaps"], t["avg_confidence"]) == ("", 2, 2, 0.875)
     assert len(tools.call(c, "get_evidence", cluster_id=0, k=1)) == 1
-    assert tools.call(c, "retrieve_methods", cluster_id=0)[0]["id"] == "p4"
+    assert tools.call(c, "retrieve_methods", cluster_id=0)[0]["paper_id"] == "p4"
     assert len(tools.call(c, "search_prior_art", query="x")) == 2
     n = tools.call(c, "score_novelty", title="neural graph", research_question="", method_sketch="models")
     assert n["n_hits"] == 2 and n["closest_paper"]["paperId"] == "X" and 0 <= n["novelty_score"] <= 1
@@ -122,15 +126,52 @@ def test_tools(corpus):
     c.search = None
     assert tools.score_novelty(c, "t", "q", "m")["novelty_score"] is None
     fed = [{"paper_id": "p1", "gap_sentence": "alpha"}]
-    assert tools.call(c, "check_evidence_overlap", used=[*fed, {"paper_id": "p9", "gap_sentence": "z"}], fed=fed) == {"overlap": 0.5, "n_used": 2, "n_made_up": 1}
+    assert tools.call(c, "check_evidence_overlap", evidence_used=[*fed, {"paper_id": "p9", "gap_sentence": "z"}], fed_evidence=fed) == {"overlap": 0.5, "n_used": 2, "n_grounded": 1, "hallucinated": [{"paper_id": "p9", "gap_sentence": "z"}]}
     assert tools.check_evidence_overlap(c, [], fed)["overlap"] == 0.0
     assert [i["title"] for i in tools.call(c, "list_ideas", min_novelty=0.5)] == ["A"] and len(tools.list_ideas(c, mode="within")) == 1
-    assert tools.call(c, "get_idea", index=0)["title"] == "A" and "error" in tools.call(c, "get_idea", index=99) and "error" in tools.call(c, "get_idea", index=-1)
-    tools.call(c, "save_idea", idea={"mode": "frontier", "title": "C", "extra": {"k": 1}})
-    assert len(tools.list_ideas(c)) == 3
+    assert tools.call(c, "get_idea", idx=0)["title"] == "A" and "error" in tools.call(c, "get_idea", idx=99) and "error" in tools.call(c, "get_idea", idx=-1)
+    assert tools.call(c, "save_idea", idea={"mode": "a mode before the others", "title": "C", "extra": {"k": 1}}) == {"saved": True, "total_ideas": 3}
+    assert [i["title"] for i in tools.list_ideas(c)] == ["A", "B", "C"] and tools.get_idea(c, 0)["title"] == "A" and tools.get_idea(c, 2)["extra"] == '{"k": 1}'
     assert tools.call(c, "list_frontier") == [] and tools.call(c, "list_gap_pairs") == [] and "error" in tools.call(c, "nope")
 
 
+def test_ideas_are_kept_on_disk(spark, tmp_path):
+    path = str(tmp_path / "ideas")
+    assert tools.save_idea(tools.Corpus(spark, ideas_path=path), {"title": "one", "mode": "within", "novelty_score": 0.1})["total_ideas"] == 1
+    assert tools.save_idea(tools.Corpus(spark, ideas_path=path), {"title": "two", "mode": "bridge", "novelty_score": "0.9", "more": [1]})["total_ideas"] == 2
+    c = tools.Corpus(spark, ideas_path=path)
+    assert [i["title"] for i in tools.list_ideas(c)] == ["one", "two"] and [i["title"] for i in tools.list_ideas(c, min_novelty=0.5)] == ["two"]
+    assert tools.get_idea(c, 1)["more"] == "[1]" and tools.get_idea(c, 0)["more"] is None
+
+
+def test_long_answers_are_whole_or_refused(spark, monkeypatch):
+    many = spark.range(1_001).selectExpr("'within' as mode", "cast(id as string) as title")
+    c = tools.Corpus(spark, ideas=many)
+    assert len(tools.list_ideas(c)) == 1_001
+    monkeypatch.setattr(tools, "MOST_ROWS", 1_000)
+    with pytest.raises(ValueError, match="1000"):
+        tools.list_ideas(c)
+    assert reports.markdown(many, "T").count("\n") == 1_001 + 4
+    monkeypatch.setattr(reports, "MOST_ROWS", 1_000)
+    with pytest.raises(ValueError, match="1000"):
+        reports.markdown(many, "T")
+
+
+def test_definitions_and_dispatch(corpus):
+    assert {d["name"] for d in tools.DEFINITIONS} == set(tools.TOOLS)
+    for d in tools.DEFINITIONS:
+        assert d["description"] and d["inputSchema"]["type"] == "object" and set(d["inputSchema"]["required"]) <= set(d["inputSchema"]["properties"])
+    assert tools.DEFINITIONS[3]["inputSchema"]["properties"]["sim_low"] == {"type": "number", "default": 0.3}
+    with pytest.raises(ValueError, match="unknown tool"):
+        tools.dispatch(corpus, "frobnicate")
+    asked = [{"jsonrpc": "2.0", "id": 1, "method": "initialize"}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "list_themes"}}, {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "nope"}}, {"jsonrpc": "2.0", "id": 5, "method": "other"}]
+    out = io.StringIO()
+    tools.serve(corpus, io.StringIO("\n".join(map(json.dumps, asked)) + "\nno json\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g.get("id") for g in got] == [1, 2, 3, 4, 5, None] and len(got[1]["result"]["tools"]) == 12
+    assert len(json.loads(got[2]["result"]["content"][0]["text"])) == 2 and got[3]["result"]["isError"] and "error" in got[4] and "error" in got[5]
+
+
 def test_streams(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     add = lambda *r: spark.createDataFrame(r, "id string, text string").write.mode("append").parquet(src)
@@ -141,6 +182,10 @@ def test_streams(spark, tmp_path):
     add(("2", "again"), ("3", "c"))
     run()
     assert {(r.id, r.t) for r in spark.read.parquet(out).collect()} == {("1", "A"), ("3", "C")}
+    # a batch that is tried again, as after a stop before it was committed, leaves nothing twice
+    shutil.rmtree(tmp_path / "cp" / "commits")
+    run()
+    assert sorted((r.id, r.t) for r in spark.read.parquet(out).collect()) == [("1", "A"), ("3", "C")]
     ev = [(1, 0, "revise", 3.0), (1, 1, "accept", 3.0), (2, 0, "reject", 1.0), (3, 0, "revise", 4.5)]
     kind = "idea_id int, iteration int, verdict string, score double"
     spark.createDataFrame(ev, kind).write.parquet(str(tmp_path / "ev"))
@@ -172,6 +217,120 @@ def test_command_line(spark, data, tmp_path):
     assert spark.read.parquet(str(tmp_path / "query")).count() > 0
     assert cli.main(["theme-mine", "--data", data, "--out", str(tmp_path)]) == 0
     assert spark.read.parquet(str(tmp_path / "gap_frontier")).count() > 0
+    assert spark.read.parquet(str(tmp_path / "graph_edges")).count() > 0 and spark.read.parquet(str(tmp_path / "method_edges")).count() > 0
+    assert cli.main(["theme-mine", "--method", "kmeans", "--most-clusters", "3", "--data", data, "--out", str(tmp_path / "k")]) == 0
+    assert {r.cluster_id for r in spark.read.parquet(str(tmp_path / "k" / "cluster_summary")).collect()} <= {0, 1, 2}
+
+
+def test_run_all(spark, tmp_path):
+    """From texts of papers to scored ideas and pages, by the offline substitutes."""
+    filler = "The study of this method goes on for a while and says little. " * 6
+    say = ("We plan to extend graph pooling to larger molecules in future work", "Our approach is limited to short English documents and small tables", "It remains open how speech models behave under heavy background noise", "We only tested image encoders on a few public benchmarks so far")
+    texts = [(f"p{i}", f"1 Introduction\n{filler}\n2 Limitations\n{say[i % 4]} in setting {i}. {filler}\n3 Future Work\n{say[(i + 1) % 4]} for case {i}. {filler}\nReferences\nx") for i in range(12)]
+    spark.createDataFrame(texts, "id string, text string").write.parquet(str(tmp_path / "paper_texts"))
+    out = str(tmp_path / "out")
+    assert cli.main(["run-all", "--data", str(tmp_path), "--out", out, "--method", "kmeans", "--most-clusters", "3", "--n", "2", "--mode", "within"]) == 0
+    read = lambda t: spark.read.parquet(os.path.join(out, t))
+    assert read("gaps").count() >= 24 and read("methods").count() == 12
+    got = read("ideas").collect()
+    assert len(got) == 2 and all(r.error is None and json.loads(r.record)["critique_history"][-1]["verdict"] == "accept" for r in got)
+    s = read("idea_scores").collect()
+    assert len(s) == 2 and all(r.gate_passed and r.evidence_overlap == 1.0 and r.composite == 5.0 for r in s)
+    assert read("idea_consensus").count() == 2 and all(r.tex.startswith("\\documentclass") for r in read("idea_pages").collect())
+
+
+def test_frontier_and_method_requests(spark, data):
+    g = spark.read.parquet(f"{data}/gaps.parquet").withColumn("cluster_id", F.expr("cast(gap_idx % 3 as int)"))
+    front = g.where("embedding is not null and exists(embedding, x -> x <> 0)").select(F.col("gap_idx").cast("bigint").alias("node"), F.lit(1.0).alias("frontier_score"))
+    r = ideas.frontier_requests(g, front, 2, 3).collect()
+    assert len(r) == 2 and all(len(x.evidence_a) == 4 for x in r)
+    m = ideas.method_requests(g, spark.read.parquet(f"{data}/methods.parquet"), 2).collect()
+    assert {x["mode"] for x in m} == {"method-gap"} and all(0 < len(x.methods) <= 5 for x in m)
+    pairs = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.9)], "cluster_a int, cluster_b int, bridge_score double")
+    b = ideas.bridge_requests(g, pairs, 1).collect()
+    assert [x.request_id for x in b] == ["bridge-1-2"] and len(b[0].evidence_a) == len(b[0].evidence_b) == 4
+
+
+def make_models():
+    class Stubborn(ideas.TemplateModel):
+        def complete(self, task, payload):
+            if task == "idea" and payload["label_a"] == "bad":
+                raise OSError("no answer")
+            if task == "idea":
+                return super().complete(task, payload) | {"evidence_used": [{"paper_id": "made up", "gap_sentence": "x"}]}
+            if task == "revise":
+                return {"title": "revised", "evidence_used": None}
+            return super().complete(task, payload)
+
+    class Odd(ideas.TemplateModel):
+        def complete(self, task, payload):
+            return {"novelty": "4.6", "specificity": "high", "novelty_reason": "because", "critique": "fine"}
+
+    class Broken(ideas.TemplateModel):
+        def complete(self, task, payload):
+            raise OSError
+
+    return Stubborn, Odd, Broken
+
+
+def test_critique_is_bounded_and_judges_are_normalised(spark):
+    stubborn, odd, broken = make_models()
+    ev = [("p", "a", "b", "said", "x", 0.5)]
+    kind = "request_id string, mode string, pair struct<cluster_a:int,label_a:string,cluster_b:int,label_b:string>, evidence_a array<struct<paper_id:string,gap_type:string,section_type:string,gap_sentence:string,paragraph_text:string,confidence:double>>, evidence_b array<struct<paper_id:string>>, methods array<struct<id:string>>"
+    d = spark.createDataFrame([("r1", "within", (1, "good", None, None), ev, [], None), ("r2", "within", (2, "bad", None, None), ev, [], None)], kind)
+    got = {r.request_id: r for r in ideas.generate(d, stubborn, rounds=2).collect()}
+    assert got["r2"].record is None and "no answer" in got["r2"].error
+    rec = json.loads(got["r1"].record)
+    assert [h["verdict"] for h in rec["critique_history"]] == ["revise"] * 3 and rec["idea"]["title"] == "revised" and rec["idea"]["evidence_used"]
+    s = ideas.judge(spark.createDataFrame([(1, got["r1"].record), (2, None)], "idea_id int, record string"), {"odd": odd, "broken": broken}).collect()
+    assert len(s) == 1 and (s[0].novelty, s[0].specificity, s[0].novelty_rationale, s[0].overall_critique, s[0].composite, s[0].evidence_overlap) == (5, 0, "because", "fine", 1.25, 0.0)
+
+
+def test_search_client():
+    asked, waits = [], []
+
+    def transport(method, path, params, body):
+        asked.append((method, path, body))
+        if len(asked) <= 2:
+            return 429, None
+        if path.endswith("gone"):
+            return 404, None
+        if path.endswith("batch"):
+            return 200, [None if i.endswith("7") else {"paperId": i} for i in body["ids"]]
+        return 200, {"data": [{"externalIds": {"ArXiv": "1"}, "title": "t"}, {"externalIds": None}, {"externalIds": {"ArXiv": "1"}}]}
+
+    c = search.SearchClient(transport, sleep=waits.append)
+    assert len(c.search("q")) == 3 and waits == [1.0, 2.0]
+    assert c.lookup("gone") is None
+    got = c.batch(str(i) for i in range(250))
+    assert len(got) == 250 and got[7] is None and got[8]["paperId"] == "ARXIV:8" and sum(p.endswith("batch") for _, p, _ in asked) == 3
+    with pytest.raises(search.SearchError):
+        search.SearchClient(lambda *a: (429, None), tries=2, sleep=waits.append).search("q")
+    with pytest.raises(search.SearchError):
+        search.SearchClient(lambda *a: (500, None)).lookup("x")
+
+
+def test_select_by_search(spark):
+    hits = [{"externalIds": {"ArXiv": "1"}, "title": "t", "year": 2030}, {"externalIds": None}, {"externalIds": {"ArXiv": "1"}}, {"externalIds": {"ArXiv": "2"}}]
+    c = search.SearchClient(lambda *a: (200, {"data": hits}))
+    assert [(r.id, r.title, r.year) for r in search.select_by_search(spark, c, "q").collect()] == [("1", "t", 2030), ("2", "", None)]
+
+
+def test_missing_pdf_library_is_told(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x" * 600)
+    if importlib.util.find_spec("fitz") is None:
+        with pytest.raises(RuntimeError, match="PyMuPDF"):
+            files.read_pdfs(spark, str(tmp_path))
+    body = {"page": 0, "x0": 0.0, "x1": 50.0, "size": 10.0, "bold": False}
+    spans = [{**body, "y0": 0.0, "size": 14.0, "bold": True, "text": "Limitations"}, *[{**body, "y0": 20.0 + 12 * k, "text": "a line of the body that is long enough to count"} for k in range(8)]]
+    d = files.read_pdf_blocks(files.read_pdf_spans(spark, str(tmp_path), parse=lambda c, pages: spans))
+    assert [(r.section_type, r.heading) for r in sections.sections(d, blocks="blocks").collect()] == [("limitations", "Limitations")]
+
+
+def test_clustering_bench(spark, data):
+    g = spark.read.parquet(f"{data}/gaps.parquet").where("exists(embedding, x -> x <> 0)")
+    got = {r.method: r for r in themes.clustering_bench(g, k=3, methods=("kmeans", "graph", "density")).collect()}
+    assert got["kmeans"].n_clusters == 3 and got["graph"].n_clusters > 1 and all(r.error is None for r in got.values())
 
 
 def test_without_the_llm_folder(tmp_path):
