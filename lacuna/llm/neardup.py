@@ -35,6 +35,8 @@ LONG_SLOTS, SHORT_SLOTS, BANDS = 4, 1, 32
 SKETCH_BITS, SKETCH_MOST = 128, 30
 #: Texts of a band that one task takes, about; larger bands are found on one text in ``CROWD_SHARE`` and cut.
 BAND_ROWS, CROWD_SHARE = 2_048, 16
+#: Partitions of the bands per partition of the session.
+BAND_PARTS = 4
 #: Texts that a task remembers to have signed.
 SEEN = 500_000
 _WORD = re.compile("[a-z0-9]+")
@@ -253,7 +255,9 @@ def near_texts(df: DataFrame, key: str = "gap_idx", short: str = "gap_sentence",
     src = _source(df, key, short, long)
     named = cut(text_names(src, CROWD_SHARE))
     members = named.select("id", "text_id")
-    pairs = cut(candidate_pairs(band_rows(src), cut(crowded_bands(named, BAND_ROWS, CROWD_SHARE))))
+    # a text is 32 rows here: more partitions than the session takes for its tables keep tasks of one size
+    bands = band_rows(src).repartition(BAND_PARTS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band")
+    pairs = cut(candidate_pairs(bands, cut(crowded_bands(named, BAND_ROWS, CROWD_SHARE))))
     one = members.groupBy("text_id").agg(F.min("id").alias("id"))
     wanted = one.join(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id", "left_semi")
     text = src.join(wanted, "id").select("text_id", _set("s").alias("s"), _set("l").alias("l"))
