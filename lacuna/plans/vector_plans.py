@@ -182,7 +182,26 @@ MATCH = f"""mq AS (SELECT method_idx, id FROM methods WHERE {KNOWN_PAPER}), hit
     best AS (SELECT method_idx, round(max(s), 6) AS max_similarity, round(avg(s), 6) AS mean_similarity, arg_min(gap_idx, (-round(s, 6), gap_idx)) AS closest, count(*) AS n_hits FROM every GROUP BY 1),
     mm AS (SELECT q.method_idx, coalesce(max_similarity, 0) AS max_similarity, mean_similarity, closest, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits IS NULL THEN 1.0 ELSE round(greatest(0, least(1, 1 - max_similarity)), 6) END AS novelty_score FROM mq q LEFT JOIN best b ON q.method_idx = b.method_idx)"""
 
+_JAC = "CASE WHEN len(list_distinct(list_concat(d.w, {w}))) = 0 THEN 0.0 ELSE len(list_intersect(d.w, {w})) / len(list_distinct(list_concat(d.w, {w}))) END"
+
+
+def _diverse(k: int) -> str:
+    """The picks one after another, each a table ``p1`` to ``pk`` with the keys and words picked so far."""
+    parts = [
+        f"d AS (SELECT {CLUSTER} AS cluster_id, gap_idx, coalesce(confidence, 0) AS c, list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(gap_sentence, ''), '[\\s\\p{{Z}}]+'), lambda x: length(x) > 3), lambda x: lower(x))) AS w FROM gaps)",
+        "n AS (SELECT cluster_id, count(*) AS n FROM d GROUP BY 1)",
+        "p1 AS (SELECT cluster_id, gap_idx AS k1, w AS w1 FROM d WHERE cluster_id <> -1 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY c DESC, gap_idx) = 1)",
+    ]
+    for i in range(2, k + 1):
+        least = "least(" + ", ".join(_JAC.format(w=f"p.w{j}") for j in range(1, i)) + ")"
+        taken = ", ".join(f"p.k{j}" for j in range(1, i))
+        parts.append(f"p{i} AS (SELECT p.*, d.gap_idx AS k{i}, d.w AS w{i} FROM p{i - 1} p JOIN d ON d.cluster_id = p.cluster_id AND d.gap_idx NOT IN ({taken}) QUALIFY row_number() OVER (PARTITION BY p.cluster_id ORDER BY round(0.7 * (1 - {least}) + 0.3 * d.c, 12) DESC, d.gap_idx) = 1)")
+    keys = "[" + ", ".join(f"k{i}" for i in range(1, k + 1)) + "]"
+    return "WITH " + ", ".join(parts) + f" SELECT cluster_id, unnest(CASE WHEN n <= {k} THEN list_sort({keys}) ELSE {keys} END) AS gap_idx, CAST(unnest(range(1, {k + 1})) AS INTEGER) AS rank FROM p{k} JOIN n USING (cluster_id)"
+
+
 SQL: dict[str, str] = {
+    "diverse_evidence": _diverse(4),
     "knn_edges": f"WITH {U}, {KNN} SELECT * FROM knn",
     "paper_edges": f"WITH {U}, {PAPER} SELECT * FROM pe",
     "section_edges": f"WITH {U}, {SECTION} SELECT * FROM se",
