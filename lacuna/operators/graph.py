@@ -25,9 +25,10 @@ WEIGHTS = {"semantic": 1.0, "paper": 0.5, "section": 0.3}
 MOST_EDGES = 5_000_000
 
 
-def knn_edges(df: DataFrame, key: str, k: int = 8, least: float = 0.45, vector: str = "embedding") -> DataFrame:
-    """``src, dst, cosine``: pairs of which one is among the other's ``k`` nearest with ``least`` or more."""
-    d = similarity.nearest(df, df, k, key, key, vector, least, not_self=True)
+def knn_edges(df: DataFrame, key: str, k: int = 8, least: float = 0.45, vector: str = "embedding", indexed: bool = False) -> DataFrame:
+    """``src, dst, cosine``: pairs of which one is among the other's ``k`` nearest with ``least`` or more; ``indexed`` searches the nearest cells only."""
+    search = similarity.nearest_indexed if indexed else similarity.nearest
+    d = search(df, df, k, key, key, vector, least, not_self=True)
     return d.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "cosine").distinct()
 
 

@@ -8,7 +8,7 @@ the product of both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,24 @@ def first_per_query(a: np.ndarray, b: np.ndarray, c: np.ndarray, k: int) -> tupl
     return a[m], b[m], c[m]
 
 
+def _best_of(qi: np.ndarray, ri: np.ndarray, k: int, least: float | None, not_self: bool) -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+    """What may be among the ``k`` best of a tile of products."""
+    extra = 1 if not_self else 0
+
+    def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        kk = min(k + extra, s.shape[1])
+        bar = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk] - SLACK
+        if least is not None:
+            bar = np.maximum(bar, least - SLACK)
+        x, y = np.nonzero(s >= bar[:, None])
+        if not_self:
+            m = qi[i + x] != ri[y]
+            x, y = x[m], y[m]
+        return x, y
+
+    return pick
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding", least: float | None = None, not_self: bool = False) -> DataFrame:
     """``a, b, cosine, rank``: the ``k`` rows of greatest cosine (6 decimals) for every query, ties to the smaller id.
 
@@ -102,19 +120,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
         return rows.sparkSession.createDataFrame([], _PAIRS + ", rank int")
 
     def work(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-        extra = 1 if not_self else 0
-
-        def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-            kk = min(k + extra, s.shape[1])
-            bar = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk] - SLACK
-            if least is not None:
-                bar = np.maximum(bar, least - SLACK)
-            x, y = np.nonzero(s >= bar[:, None])
-            if not_self:
-                m = qi[i + x] != ri[y]
-                x, y = x[m], y[m]
-            return x, y
-
+        pick = _best_of(qi, ri, k, least, not_self)
         return first_per_query(*_tiles(qi, q, ri, r, pick, None if least is None else lambda c: c >= least), k)
 
     d = block_join(usable_rows(queries, query_key, vector, dim), usable_rows(rows, row_key, vector, dim), work, dim)
@@ -122,6 +128,67 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Cells of the index at most, rows aimed at per cell, and partitions of its join per partition of the session.
+MOST_CELLS, CELL_ROWS, INDEX_PARTS = 2_048, 512, 3
+
+
+def _index_centres(rows: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Unit vectors of the rows of least hash, one per cell; at most ``MOST_CELLS`` reach the driver."""
+    m = int(np.clip(round(n / CELL_ROWS), 1, MOST_CELLS))
+    h = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    some = rows if n <= 4 * m else rows.where(h < int(2_000_000 * m / n) + 1)
+    return unit_matrix(some.orderBy(h, "id").limit(m).select("v").toArrow().column(0), dim).astype(np.float32)
+
+
+def nearest_indexed(
+    queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding", least: float | None = None, not_self: bool = False, probes: int = 24, homes: int = 2
+) -> DataFrame:
+    """As ``nearest``, but a query meets only the rows of its ``probes`` nearest cells; a row stands in its ``homes`` nearest.
+
+    Cells are those of a bounded sample of rows; every row is indexed. The work grows with
+    the rows and not with the product of both sides; neighbours in other cells are missed,
+    so measure the recall before use. Cosines of what is found are exact. A crowded cell
+    is cut into blocks, which all of its queries visit.
+    """
+    dim = dimension(rows, vector)
+    if not dim:
+        return rows.sparkSession.createDataFrame([], _PAIRS + ", rank int")
+    r, q = usable_rows(rows, row_key, vector, dim), usable_rows(queries, query_key, vector, dim)
+    centres = _index_centres(r, r.count(), dim)
+
+    def place(d: DataFrame, m: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    s = unit_matrix(pa.chunked_array([b.column(1)]), dim).astype(np.float32) @ centres.T
+                    near = np.argpartition(-s, min(m, s.shape[1]) - 1, axis=1)[:, :m]
+                    at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "cell"])
+
+        kind = d.schema["v"].dataType.simpleString()
+        return d.select("id", "v").mapInArrow(run, f"id bigint, v {kind}, cell int")
+
+    home = place(r, homes)
+    # a row per cell is broadcast
+    blocks = F.broadcast(home.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    home = home.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    visit = place(q, probes).join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = INDEX_PARTS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (d.select("cell", "block", "id", "v").repartition(parts, "cell", "block") for d in (visit, home))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        qi, ri = x["id"].to_numpy(), y["id"].to_numpy()
+        i, j, c = first_per_query(*_tiles(qi, unit_matrix(x["v"], dim), ri, unit_matrix(y["v"], dim), _best_of(qi, ri, k, least, not_self), None if least is None else lambda c: c >= least), k)
+        return pa.table({"a": i, "b": j, "cosine": c})
+
+    d = a.groupBy("cell", "block").cogroup(b.groupBy("cell", "block")).applyInArrow(meet, _PAIRS)
+    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    # a pair that met in two cells ranks once
+    return d.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= k).distinct()
+
+
 def within(queries: DataFrame, rows: DataFrame, low: float, high: float, query_key: str, row_key: str, vector: str = "embedding") -> DataFrame:
     """``a, b, cosine`` of all pairs with a cosine (6 decimals) from ``low`` to ``high``, both included."""
     dim = dimension(rows, vector)

@@ -22,6 +22,11 @@ def knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges_by_cosine(spark, d)
 
 
+def knn_edges_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the index: every row is searched in its nearest cells."""
+    return graph.knn_edges(table(spark, d, "gaps").select("gap_idx", "embedding"), "gap_idx", indexed=True)
+
+
 def paper_edges(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gaps").where(KNOWN_PAPER).select("gap_idx", "id", "embedding")
     return similarity.keyed_pairs(g, "gap_idx", "id").select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine")
@@ -157,7 +162,7 @@ def evidence_payload(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_edges, paper_edges, section_edges, merged_edges, method_range_join, max_cosine_match, threshold_rates, theme_centroids, bridge_pairs, centroid_pairs,
+        knn_edges, knn_edges_indexed, paper_edges, section_edges, merged_edges, method_range_join, max_cosine_match, threshold_rates, theme_centroids, bridge_pairs, centroid_pairs,
         sweet_spot_methods, frontier_neighbours, frontier_by_label, gap_communities, edge_betweenness, graph_bridges, single_bridges, silhouette_cosine,
         calinski_harabasz, davies_bouldin, adjusted_rand, kmeans_clusters, agglomerative_clusters, density_clusters, diverse_evidence, evidence_payload,
     )

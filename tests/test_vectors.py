@@ -223,3 +223,20 @@ def test_sweet_spot_methods_all_clusters(spark, data):
     duckdb = pytest.importorskip("duckdb")
     q = vector_plans.SQL["sweet_spot_methods"].replace("FROM gaps", f"FROM '{data}/gaps.parquet'").replace("FROM methods", f"FROM '{data}/methods.parquet'")
     assert sorted(tuple(r) for r in got) == sorted(duckdb.sql(q).fetchall())
+
+
+def test_indexed_neighbours_against_all(spark, monkeypatch):
+    """What the index finds is exact; its recall is measured; a crowded cell is cut; odd rows take no part."""
+    monkeypatch.setattr(similarity, "CELL_ROWS", 20)
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(60, 24))
+    x = np.concatenate([c[rng.integers(0, 60, 1200)] + rng.normal(size=(1200, 24)) * 0.4, np.tile(c[:1], (150, 1))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9001, [0.0] * 24), (9002, [1.0])]
+    df = spark.createDataFrame(rows, "k int, embedding array<float>").repartition(5)
+    full = {(r.a, r.b): r.cosine for r in similarity.nearest(df, df, 5, "k", "k", not_self=True).collect()}
+    got = {(r.a, r.b): r.cosine for r in similarity.nearest_indexed(df, df, 5, "k", "k", not_self=True).collect()}
+    assert len(full) == len(x) * 5 and sum(got.get(p) == s for p, s in full.items()) >= 0.97 * len(full)
+    edges = lambda indexed: {tuple(r) for r in graph.knn_edges(df, "k", 5, indexed=indexed).collect()}
+    assert len(edges(True) & edges(False)) >= 0.97 * len(edges(False))
+    assert similarity.nearest_indexed(df.limit(0), df.limit(0), 5, "k", "k").count() == 0
