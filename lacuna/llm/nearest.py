@@ -136,7 +136,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
         return spark.createDataFrame([], "qid bigint, id bigint, cosine double, rank int")
     cells = V.fit_cells(rows, row_id, vector, dim, rows.count())
     home = V.index_rows(rows, row_id, vector, cells, raw=True, homes=HOMES)
-    blocks = V.block_counts(home, len(cells.centres))
+    n, reach = V.survey(rows.where(F.col(row_id).isNotNull()), vector, cells, HOMES)
+    blocks = V.blocks_of(n)
     home = V.with_block(home, blocks)
     asked = cut(V.index_rows(queries, query_id, vector, cells, raw=True).select("id", "v"))
 
@@ -152,6 +153,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
         kth = best.where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("cosine").alias("least"))
         open_ = asked.join(kth, "id", "left").where(F.col("least").isNull() | (F.col("least") < sure))
         if not open_.isEmpty():
-            further = V.visit_beyond(open_, cells, blocks, probes, "least", V.reach_of(rows, vector, cells))
+            further = V.visit_beyond(open_, cells, blocks, probes, "least", reach)
             best = merge_lists(best.drop("rank").unionByName(V.meet(home.where("nth = 0"), further, work, _OUT)), k)
     return best

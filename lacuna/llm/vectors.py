@@ -23,6 +23,8 @@ CELL_ROWS = 1_000
 MAX_CELLS = 4_096
 #: Rows of a block, about.
 BLOCK_ROWS = 8_192
+#: Partitions of a block join per partition of the session.
+MEET_PARTS = 3
 #: Visitors a block takes at once, about.
 VISITOR_ROWS = 50_000
 
@@ -152,24 +154,30 @@ def fit_cells(df: DataFrame, key: str, vector: str, dim: int, n_rows: int) -> Ce
     return Cells(bisect_centres(unit(x), k) if len(x) else np.eye(1, dim, dtype=np.float32))
 
 
-def reach_of(df: DataFrame, vector: str, cells: Cells) -> np.ndarray:
-    """Greatest angle between each cell's centre and the rows nearest to it; one number a cell reaches the driver."""
+def survey(df: DataFrame, vector: str, cells: Cells, homes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stand in each cell, greatest angle between its centre and the rows nearest to it), in one pass; two numbers a cell reach the driver."""
     dim = cells.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.full(len(cells.centres), -1.0)
+        n, far = np.zeros(len(cells.centres), dtype=np.int64), np.full(len(cells.centres), -4.0)
         for b in batches:
             u = unit(matrix(b.column(0), dim)[1])
             if len(u):
-                near = cells.nearest(u)[:, 0]
-                np.maximum.at(out, near, np.arccos(np.clip(np.einsum("ij,ij->i", u, cells.centres[near]), -1, 1)))
-        at = np.nonzero(out >= 0)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["cell", "angle"])
+                near = cells.nearest(u, homes)
+                n += np.bincount(near.ravel(), minlength=len(n))
+                np.maximum.at(far, near[:, 0], np.arccos(np.clip(np.einsum("ij,ij->i", u, cells.centres[near[:, 0]]), -1, 1)))
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(far[at])], names=["cell", "n", "angle"])
 
-    reach = np.full(len(cells.centres), -4.0)
-    for r in df.select(vector).where(F.col(vector).isNotNull()).mapInArrow(run, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
-        reach[r["cell"]] = r["angle"]
-    return reach
+    n, reach = np.zeros(len(cells.centres), dtype=np.int64), np.full(len(cells.centres), -4.0)
+    for r in df.select(vector).where(F.col(vector).isNotNull()).mapInArrow(run, "cell int, n bigint, angle double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("angle").alias("angle")).collect():
+        n[r["cell"]], reach[r["cell"]] = r["n"], r["angle"]
+    return n, reach
+
+
+def blocks_of(n: np.ndarray, block_rows: int | None = None) -> np.ndarray:
+    """Blocks of every cell from its rows."""
+    return np.maximum(1, -(-n // (block_rows or BLOCK_ROWS))).astype(np.int32)
 
 
 def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = False, homes: int = 1) -> DataFrame:
@@ -191,12 +199,12 @@ def index_rows(df: DataFrame, key: str, vector: str, cells: Cells, raw: bool = F
     return df.select(F.col(key), F.col(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull()).mapInArrow(run, "cell int, id bigint, v binary" + ", nth int" * (homes > 1))
 
 
-def block_counts(indexed: DataFrame, n_cells: int, block_rows: int = BLOCK_ROWS) -> np.ndarray:
-    """Blocks of every cell; at most ``MAX_CELLS`` numbers come to the driver."""
-    out = np.ones(n_cells, dtype=np.int32)
+def block_counts(indexed: DataFrame, n_cells: int) -> np.ndarray:
+    """Blocks of every cell of indexed rows; at most ``MAX_CELLS`` numbers come to the driver."""
+    n = np.zeros(n_cells, dtype=np.int64)
     for r in indexed.groupBy("cell").count().collect():
-        out[r["cell"]] = max(1, -(-r["count"] // block_rows))
-    return out
+        n[r["cell"]] = r["count"]
+    return blocks_of(n)
 
 
 def with_block(indexed: DataFrame, blocks: np.ndarray) -> DataFrame:
@@ -292,4 +300,7 @@ def meet(residents: DataFrame, visitors: DataFrame, work: Callable[[pa.Table, pa
     else:
         residents, visitors = residents.withColumn("part", F.lit(0)), visitors.withColumn("part", F.lit(0))
     keys = ["cell", "block", "part"]
+    # a vector stands in many places here: more partitions than the session takes for its tables keep tasks small
+    n_parts = MEET_PARTS * int(residents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    residents, visitors = residents.repartition(n_parts, *keys), visitors.repartition(n_parts, *keys)
     return residents.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(work, schema)
