@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import strip
+
 
 def is_json(c: Column) -> Column:
     """Whether the whole text is one JSON value; null is none. (The parser alone would accept what follows a value.)"""
@@ -93,3 +95,31 @@ def verdict(c: Column) -> Column:
 def known_citations(related: Column, known: Column) -> Column:
     """Related work without papers that are not known; unchanged if nothing is known."""
     return F.when(F.size(known) > 0, F.filter(related, lambda x: F.array_contains(known, x["paper_id"]))).otherwise(related)
+
+
+#: Fixed value: titles of sections that hold the statements looked for.
+GOLD_TITLE = r"\b(future\s+work|future\s+direction|limitation|open\s+problem|open\s+question)s?\b"
+
+
+def gold_paper(body: Column, key: Column, least_gold: int = 200, least_full: int = 4000) -> Column:
+    """Struct ``id, full_text, gold_section_text, gold_section_titles`` of a paper's ``array<struct<section, text>>``; null if it has no gold sections or is too short.
+
+    Texts are stripped, blank ones do not count; titles are distinct in their order. A
+    paper without a name is ``unknown``.
+    """
+    items = F.transform(F.coalesce(body, F.array().cast("array<struct<section:string,text:string>>")), lambda x: F.struct(strip(F.coalesce(x["section"], F.lit(""))).alias("section"), strip(F.coalesce(x["text"], F.lit(""))).alias("text")))
+    kept = F.filter(items, lambda x: x["text"] != "")
+    gold = F.filter(kept, lambda x: x["section"].rlike("(?iU)" + GOLD_TITLE))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "\n\n")
+    out = F.struct(F.coalesce(F.nullif(key, F.lit("")), F.lit("unknown")).alias("id"), joined(kept).alias("full_text"), joined(gold).alias("gold_section_text"), F.array_distinct(F.transform(gold, lambda x: x["section"])).alias("gold_section_titles"))
+    return F.when((F.size(gold) > 0) & (F.length(joined(gold)) >= least_gold) & (F.length(joined(kept)) >= least_full), out)
+
+
+def critic_score(c: Column) -> Column:
+    """A critic's score; 3 where it gives none."""
+    return F.coalesce(c.try_cast("double"), F.lit(3.0))
+
+
+def utc_date(ts: Column) -> Column:
+    """Date of a time as ``YYYY-MM-DD`` (sessions here run in UTC)."""
+    return F.date_format(ts, "yyyy-MM-dd")

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,3 +256,11 @@ def bootstrap_ari(df: DataFrame, key: str, k: int, runs: int = 10, vector: str =
         both = part.select("draw", key).join(got, "draw").join(base, key)
         scores.append(adjusted_rand(both, "base", "cluster").first()[0])
     return pd.DataFrame({"mean_ari": [float(np.mean(scores))], "std_ari": [float(np.std(scores))]})
+
+
+def project(df: DataFrame, key: str, dims: int = 2, vector: str = "embedding") -> DataFrame:
+    """``key, point``: vectors on their ``dims`` principal axes, for maps of a clustering; one pass for the axes, a map for the points."""
+    d = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    if d.isEmpty():
+        return df.select(key, F.array().cast("array<double>").alias("point")).limit(0)
+    return PCA(k=dims, inputCol="features", outputCol="p").fit(d).transform(d).select(key, F.transform(vector_to_array("p"), lambda x: F.round(x, 6)).alias("point"))

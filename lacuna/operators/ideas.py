@@ -67,9 +67,14 @@ def _payload(gaps: DataFrame, k: int, cluster: str, key: str, name: str) -> Data
 _NO_METHODS = "array<struct<id: string, method_type: string, method_sentence: string, similarity: double>>"
 
 
-def bridge_requests(gaps: DataFrame, pairs: DataFrame, n: int = 10, k: int = 4, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
+def _first(d: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows; all of them for 0 and None."""
+    return d.limit(n) if n else d
+
+
+def bridge_requests(gaps: DataFrame, pairs: DataFrame, n: int | None = 10, k: int = 4, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
     """Requests for the ``n`` best pairs of clusters, with evidence of both; labels as far as ``pairs`` has them."""
-    best = pairs.orderBy(F.desc("bridge_score"), "cluster_a", "cluster_b").limit(n)
+    best = _first(pairs.orderBy(F.desc("bridge_score"), "cluster_a", "cluster_b"), n)
     label = lambda s: F.col(f"label_{s}") if f"label_{s}" in pairs.columns else F.lit(None).cast("string")
     best = best.select("cluster_a", "cluster_b", label("a").alias("label_a"), label("b").alias("label_b"))
     wanted = gaps.join(best.select(F.explode(F.array("cluster_a", "cluster_b")).alias(cluster)).distinct(), cluster, "left_semi")
@@ -87,19 +92,20 @@ def _single(d: DataFrame, mode: str, cluster: str, methods: Column | None = None
     return d.select(F.concat_ws("-", F.lit(mode), name or cluster).alias("request_id"), F.lit(mode).alias("mode"), pair.alias("pair"), F.col("ev").alias("evidence_a"), F.filter("ev", lambda _: F.lit(False)).alias("evidence_b"), (none if methods is None else methods).cast(_NO_METHODS).alias("methods"))
 
 
-def _largest(gaps: DataFrame, n: int, cluster: str, labels: DataFrame | None) -> DataFrame:
-    top = gaps.where(F.col(cluster) != -1).groupBy(cluster).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), cluster).limit(n)
+def _largest(gaps: DataFrame, n: int | None, cluster: str, labels: DataFrame | None) -> DataFrame:
+    top = gaps.where(F.col(cluster) != -1).groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    top = _first(top.orderBy(F.desc("size"), cluster), n)
     return top.withColumn("label", F.lit(None).cast("string")) if labels is None else top.join(labels.select(F.col("cluster_id").alias(cluster), F.col("theme_label").alias("label")), cluster, "left")
 
 
-def within_requests(gaps: DataFrame, n: int = 10, k: int = 6, labels: DataFrame | None = None, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
+def within_requests(gaps: DataFrame, n: int | None = 10, k: int = 6, labels: DataFrame | None = None, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
     """Requests for the ``n`` largest clusters, each with evidence of its own."""
     top = _largest(gaps, n, cluster, labels)
     ev = _payload(gaps.join(top.select(cluster), cluster, "left_semi"), k, cluster, key, "ev")
     return _single(top.join(ev, cluster), "within", cluster)
 
 
-def method_requests(gaps: DataFrame, methods: DataFrame, n: int = 10, k: int = 4, top: int = 5, labels: DataFrame | None = None, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
+def method_requests(gaps: DataFrame, methods: DataFrame, n: int | None = 10, k: int = 4, top: int = 5, labels: DataFrame | None = None, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
     """Requests for the ``n`` largest clusters, with the methods that are neither too near nor too far."""
     best = _largest(gaps, n, cluster, labels)
     some = gaps.join(best.select(cluster), cluster, "left_semi")
@@ -109,10 +115,10 @@ def method_requests(gaps: DataFrame, methods: DataFrame, n: int = 10, k: int = 4
     return _single(d, "method-gap", cluster, F.col("found"))
 
 
-def frontier_requests(gaps: DataFrame, frontier: DataFrame, n: int = 10, k: int = 4, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
+def frontier_requests(gaps: DataFrame, frontier: DataFrame, n: int | None = 10, k: int = 4, key: str = "gap_idx", cluster: str = "cluster_id") -> DataFrame:
     """Requests for the ``n`` foremost frontier gaps: the seed first, then its ``k`` nearest gaps."""
     node = "node" if "node" in frontier.columns else key
-    seeds = frontier.orderBy(F.desc("frontier_score"), node).limit(n).select(F.col(node).alias(key))
+    seeds = _first(frontier.orderBy(F.desc("frontier_score"), node), n).select(F.col(node).alias(key))
     seed = gaps.join(seeds, key, "left_semi")
     near = similarity.nearest(seed, gaps, k, key, key, not_self=True).select(F.col("a").alias("seed"), F.col("b").cast(gaps.schema[key].dataType).alias(key), F.col("rank"))
     every = near.unionByName(seed.select(F.col(key).cast("bigint").alias("seed"), key, F.lit(0).alias("rank")))
@@ -147,6 +153,13 @@ def generate(requests: DataFrame, make: Callable[[], Model] = TemplateModel, rou
     return flat.mapInPandas(run, _RECORD)
 
 
+def _number(x: Any, default: float) -> float:
+    try:
+        return float(x)
+    except (TypeError, ValueError):
+        return default
+
+
 def _one(model: Model, r: dict[str, Any], rounds: int) -> dict[str, Any]:
     load = lambda c: json.loads(r[c]) if r.get(c) else []
     pair, fed = json.loads(r["pair"]), [*load("evidence_a"), *load("evidence_b")]
@@ -160,8 +173,9 @@ def _one(model: Model, r: dict[str, Any], rounds: int) -> dict[str, Any]:
         c = model.complete("critique", {"idea": idea, "overlap": overlap, "evidence": fed})
         said = str(c.get("verdict") or "").strip().lower()
         said = said if said in ("accept", "revise", "reject") else "revise"
-        history.append({"iteration": k, "verdict": said, "score": c.get("score"), "issues": c.get("issues") or []})
-        if said == "accept" or float(c.get("score") or 0) >= 4.0 or k == rounds:
+        score = _number(c.get("score"), 3.0)
+        history.append({"iteration": k, "verdict": said, "score": score, "issues": c.get("issues") or []})
+        if said == "accept" or score >= 4.0 or k == rounds:
             break
         new = model.complete("revise", ask | {"idea": idea, "issues": c.get("issues") or []})
         idea = idea | {f: v for f, v in new.items() if v is not None}
@@ -233,7 +247,7 @@ def theme_labels(keywords: DataFrame, sentences: DataFrame, make: Callable[[], M
     return keywords.join(shown, cluster, "left").select(cluster, "keywords", "shown").mapInPandas(run, f"`{cluster}` {kind}, theme_label string, keywords string")
 
 
-def extract_methods(papers: DataFrame, make: Callable[[], Model] = TemplateModel, key: str = "id", text: str = "text", most: int = 6000) -> DataFrame:
+def extract_methods(papers: DataFrame, make: Callable[[], Model] = TemplateModel, key: str = "id", text: str = "text", most: int = 2500) -> DataFrame:
     """``id, method_type, method_sentence, paragraph_text, confidence`` that a model finds in the first ``most`` characters of a paper, where methods are claimed; a failing paper gives none."""
     cols = ["id", "method_type", "method_sentence", "paragraph_text", "confidence"]
 

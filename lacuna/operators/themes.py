@@ -34,7 +34,7 @@ def centroid_bridges(gaps: DataFrame, labels: DataFrame, top: int = 30, cluster:
     return d.select("cluster_a", "cluster_b", "label_a", "label_b", "cosine_sim", "paper_overlap", "type_complementarity", "bridge_score").orderBy(F.desc("bridge_score"), "cluster_a", "cluster_b").limit(top)
 
 
-def graph_clusters(df: DataFrame, key: str, vector: str = "embedding", least: float = 0.45) -> DataFrame:
+def graph_clusters(df: DataFrame, key: str, vector: str = "embedding", least: float = 0.3) -> DataFrame:
     """``key, cluster`` by communities of the nearest-neighbour graph, numbered by size; rows without an edge are noise (-1)."""
     edges = graph.knn_edges(df, key, least=least, vector=vector).withColumn("weight", F.col("cosine"))
     members = graph.communities(edges)

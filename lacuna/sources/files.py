@@ -6,6 +6,7 @@ import importlib.util
 import json
 import os
 import tarfile
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
@@ -189,7 +190,9 @@ def read_pdf_spans(spark: SparkSession, folder: str, pages: int | None = None, p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content):
-                rows = [(_stem(path), k, *(s[c] for c in cols[2:])) for k, s in enumerate(parse(content, pages))]
+                # reading order: page, height to five points (halves to even), left edge
+                spans = sorted(parse(content, pages), key=lambda s: (s["page"], round(s["y0"] / 5) * 5, s["x0"]))
+                rows = [(_stem(path), k, *(s[c] for c in cols[2:])) for k, s in enumerate(spans)]
                 yield pd.DataFrame(rows, columns=cols)
 
     return _pdf_files(spark, folder).mapInPandas(run, "id string, ord int, page int, x0 double, x1 double, y0 double, size double, bold boolean, text string")
@@ -201,7 +204,45 @@ def read_pdf_blocks(spans: DataFrame) -> DataFrame:
 
     lines = F.array_sort(F.collect_list(F.struct("line", "role", "text")))
     d = merge_lines(spans).groupBy("id").agg(lines.alias("x"))
-    return d.select("id", F.array_join(F.transform("x", lambda b: b["text"]), "\n").alias("text"), F.transform("x", lambda b: F.struct(b["role"].alias("role"), b["text"].alias("text"))).alias("blocks"))
+    d = d.select("id", F.array_join(F.transform("x", lambda b: b["text"]), "\n").alias("text"), F.transform("x", lambda b: F.struct(b["role"].alias("role"), b["text"].alias("text"))).alias("blocks"))
+    return d.withColumn("n_chars", F.length("text")).withColumn("n_headings", F.size(F.filter("blocks", lambda b: b["role"] == "heading")))
+
+
+#: Fixed value: bytes of a PDF file below which it is none.
+LEAST_PDF = 10_000
+
+
+def download(ids: DataFrame, folder: str, fetch: Callable[[str], tuple[int, bytes]], key: str = "id", parts: int = 8) -> DataFrame:
+    """``id, ok, status`` of a download per id into ``folder`` (one that all executors see), at most ``parts`` at a time.
+
+    ``fetch`` gives the status and content of one id. A file of ``LEAST_PDF`` bytes or
+    more that is there already is not fetched again; a file appears under its name only
+    when it is whole, so a task that is tried again does no harm. Null ids give no row.
+    """
+
+    def one(i: str) -> tuple[str, bool, str]:
+        path = os.path.join(folder, f"{i.replace('/', '_')}.pdf")
+        try:
+            if os.path.exists(path) and os.path.getsize(path) > LEAST_PDF:
+                return i, True, "cached"
+            status, content = fetch(i)
+            if status != 200:
+                return i, False, f"http {status}"
+            if len(content) < LEAST_PDF:
+                return i, False, "too small"
+            with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                f.write(content)
+            os.replace(f.name, path)
+            return i, True, "downloaded"
+        except Exception as e:
+            return i, False, str(e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for pdf in batches:
+            yield pd.DataFrame([one(str(i)) for i in pdf[key]], columns=["id", "ok", "status"])
+
+    return ids.where(F.col(key).isNotNull()).select(key).distinct().repartition(parts).mapInPandas(run, "id string, ok boolean, status string")
 
 
 def files_present(spark: SparkSession, folder: str, pattern: str = "*", least_bytes: int = 1) -> DataFrame:

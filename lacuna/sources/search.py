@@ -77,13 +77,11 @@ class SearchClient:
 
 
 def select_by_search(spark: SparkSession, client: SearchClient, query: str, n: int = 50) -> DataFrame:
-    """``id, title, year, venue, citation_count, abstract`` of the first ``n`` hits that have an archive id; each id once.
+    """``id, title, year, venue, citation_count, abstract`` of the first ``n`` hits that have an archive id, each id once.
 
-    More are asked for, as not every hit has one; the service gives ``SEARCH_LIMIT`` at most.
+    More are asked for, as not every hit has one; the service gives ``SEARCH_LIMIT`` at
+    most. Repeated ids count towards ``n``.
     """
-    rows: dict[str, tuple] = {}
-    for h in client.search(query, min(3 * n, SEARCH_LIMIT)):
-        key = (h.get("externalIds") or {}).get("ArXiv")
-        if key and key not in rows and len(rows) < n:
-            rows[key] = (key, h.get("title") or "", h.get("year"), h.get("venue") or "", h.get("citationCount") or 0, h.get("abstract") or "")
-    return spark.createDataFrame(list(rows.values()), "id string, title string, year int, venue string, citation_count bigint, abstract string")
+    named = [(h["externalIds"]["ArXiv"], h) for h in client.search(query, min(3 * n, SEARCH_LIMIT)) if (h.get("externalIds") or {}).get("ArXiv")][:n]
+    rows = {key: (key, h.get("title") or "", h.get("year"), h.get("venue") or "", h.get("citationCount") or 0, h.get("abstract") or "") for key, h in reversed(named)}
+    return spark.createDataFrame([rows[k] for k in dict.fromkeys(k for k, _ in named)], "id string, title string, year int, venue string, citation_count bigint, abstract string")

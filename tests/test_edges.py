@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna import cli, reports, schemas, tools
 from lacuna.functions import records
-from lacuna.operators import ideas, sections, themes
+from lacuna.operators import clustering, ideas, sections, themes
 from lacuna.sources import files, search, services
 from lacuna.streaming import incremental
 
@@ -362,3 +362,35 @@ def test_theme_mine_keeps_the_community_method(spark, data, monkeypatch):
         with pytest.raises(Told):
             cli.theme_mine(spark, a)
     assert called == ["louvain", "labels"]
+
+
+def test_gold_papers(spark):
+    kind = "k string, body array<struct<section:string,text:string>>"
+    long = "word " * 900
+    rows = [("a", [("Introduction", long), ("Future  Work ", "f " * 150), ("Limitations", " l "), ("Limitations", None), (None, "x")]), (None, [("Open questions", long)]), ("c", [("Results", long)]), ("d", [("Limitations", "short")]), ("e", None)]
+    got = [r.p for r in spark.createDataFrame(rows, kind).select(records.gold_paper(F.col("body"), F.col("k")).alias("p")).collect()]
+    assert got[0].id == "a" and got[0].gold_section_titles == ["Future  Work", "Limitations"] and got[0].gold_section_text.endswith("\n\nl") and got[0].full_text.endswith("\n\nl\n\nx")
+    assert got[1].id == "unknown" and got[2:] == [None] * 3
+    r = spark.createDataFrame([("x", "2030-01-02 23:59:00")], "s string, t string").select(records.critic_score(F.col("s")), records.utc_date(F.col("t").cast("timestamp"))).first()
+    assert tuple(r) == (3.0, "2030-01-02")
+
+
+def test_download(spark, tmp_path):
+    content = b"x" * 20_000
+
+    def fetch(i):
+        if i == "bad":
+            raise OSError("no route")
+        return (404, b"") if i == "gone" else (200, content[:5]) if i == "small" else (200, content)
+
+    ids = spark.createDataFrame([("1",), ("cs/2",), ("gone",), ("small",), ("bad",), (None,), ("1",)], "id string")
+    got = {r.id: (r.ok, r.status) for r in files.download(ids, str(tmp_path), fetch).collect()}
+    assert got == {"1": (True, "downloaded"), "cs/2": (True, "downloaded"), "gone": (False, "http 404"), "small": (False, "too small"), "bad": (False, "no route")}
+    assert {r.id: r.status for r in files.download(ids, str(tmp_path), fetch).collect()}["1"] == "cached"
+    assert sorted(os.listdir(tmp_path)) == ["1.pdf", "cs_2.pdf"]
+
+
+def test_projection(spark):
+    rows = [(i, [float(i), 2.0 * i, 0.0]) for i in range(9)] + [(99, None)]
+    got = {r.k: r.point for r in clustering.project(spark.createDataFrame(rows, "k int, embedding array<double>"), "k").collect()}
+    assert len(got) == 9 and all(abs(abs(p[0]) - 5**0.5 * k) < 1e-4 and abs(p[1]) < 1e-6 for k, p in got.items())
