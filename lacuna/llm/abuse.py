@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +34,8 @@ TRAINING_SENTENCES = 9_000
 LANDMARKS = 400
 #: Harmless sentences that others are held against to find odd ones.
 ANCHORS = 1_200
-#: Gap patterns (offsets of the later characters) and the weight per spread character.
+#: Characters that a subsequence of three or four may span, and the weight per spread character.
 WINDOW, DECAY = 5, 0.7
-PATTERNS = [o for n in (2, 3) for o in combinations(range(1, WINDOW), n)]
 #: Parts of the labelled documents that are held out in turn, and abusive ones from which on they set the decision value (else 0).
 FOLDS, LEAST_ABUSIVE = 20, 10
 #: Symbols: 0 space, 1-26 letters, 27 anything else, 28 padding between sentences.
@@ -148,20 +146,32 @@ def encode_many(texts: list[str], at_once: int = 300) -> tuple[np.ndarray, np.nd
     return np.concatenate(parts), np.concatenate(starts), np.concatenate(owners)
 
 
-def subsequences(s: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
-    """Feature of the subsequence that starts at each symbol; 0 where it leaves the sentence."""
-    n = len(s)
-    p = np.concatenate([s, np.full(WINDOW, _PAD, np.uint8)])
-    f = p[:n].astype(np.int32)
-    bad = f == _PAD
-    for o in pattern:
-        c = p[o : o + n]
-        f = f * _BASE + c
-        bad |= c == _PAD
-    if len(pattern) == 3:
-        f = (((f.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32) & (_FOUR - 1)) + _THREE
-    f[bad] = 0
-    return f
+def pieces(s: np.ndarray, size: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, symbols from the start to a window behind the end) of pieces small enough for the processor's cache."""
+    for i in range(0, len(s), size):
+        yield i, min(i + size, len(s)), s[i : i + size + WINDOW]
+
+
+def subsequences(s: np.ndarray, n: int | None = None) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Every gap pattern with the feature that starts at each of the first ``n`` symbols (all unless given); 0 where it leaves the sentence.
+
+    Patterns with a common beginning share its code. Sentences are followed by a window
+    of padding, so a subsequence that begins inside a sentence leaves it exactly if its
+    last symbol is padding.
+    """
+    n = len(s) if n is None else n
+    p = np.concatenate([s, np.full(WINDOW, _PAD, np.uint8)]).astype(np.int64)
+    pad = p == _PAD
+    inside = {o: (~(pad[:n] | pad[o : o + n])).astype(np.int64) for o in range(2, WINDOW)}
+    for a in range(1, WINDOW):
+        two = p[:n] * _BASE + p[a : a + n]
+        for b in range(a + 1, WINDOW):
+            three = two * _BASE + p[b : b + n]
+            yield (a, b), three * inside[b]
+            for c in range(b + 1, WINDOW):
+                four = three * _BASE + p[c : c + n]
+                four = ((four * 2654435761 & 0xFFFFFFFF) >> 17) & (_FOUR - 1)
+                yield (a, b, c), (four + _THREE) * inside[c]
 
 
 def _weight(pattern: tuple[int, ...]) -> float:
@@ -171,8 +181,9 @@ def _weight(pattern: tuple[int, ...]) -> float:
 def counts(s: np.ndarray) -> np.ndarray:
     """Occurrences of every subsequence."""
     seen = np.zeros(DIMENSIONS, dtype=np.int64)
-    for o in PATTERNS:
-        seen += np.bincount(subsequences(s, o), minlength=DIMENSIONS)
+    for i, j, part in pieces(s, 1 << 17):
+        for _, f in subsequences(part, j - i):
+            seen += np.bincount(f, minlength=DIMENSIONS)
     return seen
 
 
@@ -196,8 +207,9 @@ def _length(square: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def mass(s: np.ndarray, starts: np.ndarray, rare: np.ndarray) -> np.ndarray:
     square = rare * rare
     per = np.zeros(len(s), dtype=np.float32)
-    for o in PATTERNS:
-        per += np.float32(_weight(o) ** 2) * square[subsequences(s, o)]
+    for i, j, part in pieces(s):
+        for o, f in subsequences(part, j - i):
+            per[i:j] += np.float32(_weight(o) ** 2) * square.take(f, mode="clip")
     return _length(per, starts)
 
 
@@ -206,8 +218,8 @@ def dense(s: np.ndarray, starts: np.ndarray, rare: np.ndarray) -> np.ndarray:
     m = len(starts)
     out = np.zeros((m, DIMENSIONS), dtype=np.float32)
     row = np.repeat(np.arange(m), spans(starts, len(s)))
-    for o in PATTERNS:
-        np.add.at(out, (row, subsequences(s, o)), np.float32(_weight(o)))
+    for o, f in subsequences(s):
+        np.add.at(out, (row, f), np.float32(_weight(o)))
     out *= rare
     out /= mass(s, starts, rare)[:, None].astype(np.float32)
     return out
@@ -226,13 +238,14 @@ def against(s: np.ndarray, starts: np.ndarray, rare: np.ndarray, table: np.ndarr
     if table.ndim == 1:
         square = rare * rare
         per, length = np.zeros(n, dtype=np.float32), np.zeros(n, dtype=np.float32)
-        for o in PATTERNS:
-            f, w = subsequences(s, o), _weight(o)
-            per += np.float32(w) * table[f]
-            length += np.float32(w * w) * square[f]
+        for i, j, part in pieces(s):
+            for o, f in subsequences(part, j - i):
+                w = _weight(o)
+                per[i:j] += np.float32(w) * table.take(f, mode="clip")
+                length[i:j] += np.float32(w * w) * square.take(f, mode="clip")
         return np.add.reduceat(per.astype(np.float64), starts) / _length(length, starts)
     out = np.zeros((len(starts), table.shape[1]))
-    feats = [(np.float32(_weight(o)), subsequences(s, o)) for o in PATTERNS]
+    feats = [(np.float32(_weight(o)), f) for o, f in subsequences(s)]
     bounds = np.append(starts, n)
     i = 0
     while i < len(starts):
