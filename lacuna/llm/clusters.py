@@ -268,8 +268,8 @@ def similarity_clusters(df: DataFrame, key: str = "gap_idx", vector: str = "embe
         centres = cut(_centres(of(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, visits)), dim, least))
     final = cut(_members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_LAST)))
     if len(cells.centres) > VISITS_LAST:
-        left = points.join(final.select("id"), "id", "left_anti")
-        final = cut(final.unionByName(_members(_assign(left, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_FAR, VISITS_LAST))))
+        far = _members(_assign(points, centres.select("id", "v"), cells, blocks, least_cosine, VISITS_FAR, VISITS_LAST))
+        final = cut(final.unionByName(far.join(final.select("id"), "id", "left_anti")))
     large = final.groupBy("grp").count().where(F.col("count") >= least_size).select("grp")
     return final.join(large, "grp", "left_semi").select("id", "grp", "cosine")
 

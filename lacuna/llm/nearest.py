@@ -29,6 +29,8 @@ PROBES = 12
 HOMES = 2
 #: A query whose k-th cosine is below this after its first visits is searched wherever a nearer row may be.
 SURE = 0.70
+#: Partitions of the block joins per partition of the session.
+SPREAD = 3
 #: Rows of a product tile.
 TILE = 1024
 #: Dimensions whose int8 products float32 sums without rounding: 1024 times 127 times 127 is below 2 to the 24th.
@@ -148,11 +150,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "gap_
         return pa.table({"qid": q, "id": i, "cosine": c})
 
     # a crowd of queries in one cell is cut as the rows are, the rows are sent to each part
-    best = cut(merge_lists(V.meet(home, V.visit(asked, cells, blocks, probes), work, _OUT), k))
+    best = cut(merge_lists(V.meet(home, V.visit(asked, cells, blocks, probes), work, _OUT, SPREAD), k))
     if len(cells.centres) > probes:
         kth = best.where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("cosine").alias("least"))
         open_ = asked.join(kth, "id", "left").where(F.col("least").isNull() | (F.col("least") < sure))
         if not open_.isEmpty():
             further = V.visit_beyond(open_, cells, blocks, probes, "least", reach)
-            best = merge_lists(best.drop("rank").unionByName(V.meet(home.where("nth = 0"), further, work, _OUT)), k)
+            best = merge_lists(best.drop("rank").unionByName(V.meet(home.where("nth = 0"), further, work, _OUT, SPREAD)), k)
     return best

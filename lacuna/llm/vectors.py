@@ -23,8 +23,6 @@ CELL_ROWS = 1_000
 MAX_CELLS = 4_096
 #: Rows of a block, about.
 BLOCK_ROWS = 8_192
-#: Partitions of a block join per partition of the session.
-MEET_PARTS = 3
 #: Visitors a block takes at once, about.
 VISITOR_ROWS = 50_000
 
@@ -283,24 +281,25 @@ def _send(vectors: DataFrame, dim: int, blocks: np.ndarray, going: Callable[[pa.
     return vectors.mapInArrow(run, f"{kinds}, cell int, block int")
 
 
-def meet(residents: DataFrame, visitors: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def meet(residents: DataFrame, visitors: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, spread: int = 1) -> DataFrame:
     """Run ``work(residents, visitors)`` for every block that has both.
 
     Visitors of every crowded block are cut into parts of about ``VISITOR_ROWS`` by the
     hash of their id, and the block's residents are sent to each part. What is broadcast
-    is a row per crowded block, at most the visitors divided by ``VISITOR_ROWS``.
+    is a row per crowded block, at most the visitors divided by ``VISITOR_ROWS``. With
+    ``spread`` the join takes so many times the session's partitions, where many copies
+    of a vector meet.
     """
-    crowded = visitors.groupBy("cell", "block").count().where(F.col("count") > VISITOR_ROWS)
-    parts = crowded.select("cell", "block", F.ceil(F.col("count") / VISITOR_ROWS).cast("int").alias("parts")).collect()
+    keys = ["cell", "block"]
+    crowded = visitors.groupBy(*keys).count().where(F.col("count") > VISITOR_ROWS)
+    parts = crowded.select(*keys, F.ceil(F.col("count") / VISITOR_ROWS).cast("int").alias("parts")).collect()
     if parts:
         known = F.broadcast(residents.sparkSession.createDataFrame([tuple(r) for r in parts], "cell int, block int, parts int"))
         n = F.coalesce("parts", F.lit(1))
-        residents = residents.join(known, ["cell", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
-        visitors = visitors.join(known, ["cell", "block"], "left").withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int")).drop("parts")
-    else:
-        residents, visitors = residents.withColumn("part", F.lit(0)), visitors.withColumn("part", F.lit(0))
-    keys = ["cell", "block", "part"]
-    # a vector stands in many places here: more partitions than the session takes for its tables keep tasks small
-    n_parts = MEET_PARTS * int(residents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    residents, visitors = residents.repartition(n_parts, *keys), visitors.repartition(n_parts, *keys)
+        residents = residents.join(known, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+        visitors = visitors.join(known, keys, "left").withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int")).drop("parts")
+        keys.append("part")
+    if spread > 1:
+        n_parts = spread * int(residents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        residents, visitors = residents.repartition(n_parts, *keys), visitors.repartition(n_parts, *keys)
     return residents.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(work, schema)
