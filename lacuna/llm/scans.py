@@ -248,13 +248,15 @@ def _known(w: str, lexicon) -> bool:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """``word, n`` over rows without signs of a scan."""
+    """``word, n`` over rows without signs of a scan; the empty word counts the rows with signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t and not is_scan(t):
+                if t and is_scan(t):
+                    c[""] += 1
+                elif t:
                     c.update(_TOKEN.findall(t.lower()))
             if len(c) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()))], names=["word", "n"])
@@ -265,8 +267,11 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN)
 
 
-def _fit_lines(rows: DataFrame) -> Boosted | None:
-    """Line classifier from at most ``LEARN_LINES`` lines of scanned rows, taken in the order of a hash of the row."""
+def _fit_lines(rows: DataFrame, n_scans: int) -> Boosted | None:
+    """Line classifier from at most ``LEARN_LINES`` lines of the ``n_scans`` scanned rows, taken in the order of a hash of the row.
+
+    Only rows of small hash are looked at, so that about twice the lines needed are met.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,8 +285,11 @@ def _fit_lines(rows: DataFrame) -> Boosted | None:
                         y.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["h", "at", "x", "y"])
 
-    learn = rows.select(F.xxhash64("src", "rec").alias("h"), "text").mapInArrow(run, "h bigint, at int, x array<double>, y int")
-    got = learn.orderBy("h", "at").limit(LEARN_LINES).select("x", "y").toPandas()
+    # a scanned row gives some six lines
+    share = int(1_000_000 * min(1.0, 2 * LEARN_LINES / (6 * max(1, n_scans)))) + 1
+    few = rows.select(F.xxhash64("src", "rec").alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < share)
+    learn = few.mapInArrow(run, "h bigint, at int, x array<double>, y int")
+    got = learn.orderBy(F.pmod("h", F.lit(1_000_000)), "h", "at").limit(LEARN_LINES).select("x", "y").toPandas()
     if len(got) == 0 or (got.y == 1).sum() < 20:
         return None
     return boost(np.stack(got.x.to_numpy()), got.y.to_numpy())
@@ -507,9 +515,11 @@ def find_repairs(rows: DataFrame, seed: int = 5) -> Repairs:
     """
     rng = np.random.default_rng(seed)
     spark = rows.sparkSession
-    lexicon = cut(_counts(rows))
+    counted = cut(_counts(rows))
+    scans = counted.where("word = ''").first()
+    lexicon = counted.where("word <> ''")
     top = {r.word: int(r.n) for r in lexicon.orderBy(F.desc("n"), "word").limit(COMMON).collect()}
-    lines = _fit_lines(rows)
+    lines = _fit_lines(rows, int(scans.n) if scans else 0)
     events = cut(_events(rows, lines, frozenset(top)))
     # broken words
     pairs = events.where("kind = 'break'").select("a", "b", "sign").distinct()
