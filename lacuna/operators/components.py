@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Returns ``(node, component)``. Nodes without an edge are not listed. Alternating
     large-star and small-star steps contract the graph, so the number of rounds grows
-    with the logarithm of the longest path, and a node with a third of all edges is
-    only ever a grouping key of a partial ``min``. Self-loops and repeated edges are
+    with the logarithm of the longest path. A node with a third of all edges is a key of
+    a partial ``min``, and of a join with its minimum, whose partition adaptive execution
+    splits. Self-loops and repeated edges are
     ignored, null ends dropped; no edges give no rows. Raises if ``max_rounds`` rounds
     do not suffice.
     """

@@ -23,6 +23,8 @@ from lacuna.operators.rows import numbered, share_of_max
 WEIGHTS = {"semantic": 1.0, "paper": 0.5, "section": 0.3}
 #: Edges of a component that one task takes, at most.
 MOST_EDGES = 5_000_000
+#: Tasks that share the sources of a component in edge betweenness.
+SOURCE_PARTS = 8
 
 
 def knn_edges(df: DataFrame, key: str, k: int = 8, least: float = 0.45, vector: str = "embedding", indexed: bool = False) -> DataFrame:
@@ -145,8 +147,12 @@ def renumber(members: DataFrame, nodes: DataFrame, paper: str = "id") -> DataFra
     return members.join(names.select("community", F.col("cluster_id").cast("int").alias("cluster_id")), "community").select("node", "cluster_id")
 
 
-def brandes(src: np.ndarray, dst: np.ndarray, sources: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, sum over sources of the share of shortest paths through the edge), unweighted; ``sources`` takes the first of the hashed nodes only."""
+def brandes(src: np.ndarray, dst: np.ndarray, sources: int | None = None, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, sum over sources of the share of shortest paths through the edge), unweighted.
+
+    ``sources`` takes the first of the hashed nodes only and scales up; ``part`` of
+    ``parts`` takes every so manieth of them, so that the parts add up to the whole.
+    """
     nodes, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
     n, e = len(nodes), len(src)
     a, b = flat[:e], flat[e:]
@@ -157,7 +163,7 @@ def brandes(src: np.ndarray, dst: np.ndarray, sources: int | None = None) -> tup
     order = np.argsort((nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11), kind="stable")
     chosen = order if sources is None or sources >= n else order[:sources]
     score = np.zeros(e)
-    for s in chosen.tolist():
+    for s in chosen[part::parts].tolist():
         dist, sigma = [-1] * n, [0.0] * n
         dist[s], sigma[s] = 0, 1.0
         queue = [s]
@@ -182,16 +188,19 @@ def edge_betweenness(edges: DataFrame, n_nodes: int | None = None, sources: int
     """``src, dst, betweenness``: unweighted, normalised with the number of all nodes.
 
     ``sources`` takes that many sources per component, chosen by a hash, and scales up.
+    The sources of a component are shared by ``SOURCE_PARTS`` tasks, each with its edges.
     """
     n = n_nodes if n_nodes is not None else edges.select(F.explode(F.array("src", "dst"))).distinct().count()
     scale = n * (n - 1) if n > 1 else 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
-        s, d, x = brandes(pdf.src.to_numpy(), pdf.dst.to_numpy(), sources)
-        return pd.DataFrame({"src": s, "dst": d, "betweenness": np.round(x / scale, 9)})
+        s, d, x = brandes(pdf.src.to_numpy(), pdf.dst.to_numpy(), sources, int(pdf.part.iloc[0]), SOURCE_PARTS)
+        return pd.DataFrame({"src": s, "dst": d, "x": x})
 
-    return _by_component(edges, most_edges).groupBy("component").applyInPandas(run, "src bigint, dst bigint, betweenness double")
+    parts = _by_component(edges, most_edges).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_PARTS - 1))))
+    got = parts.groupBy("component", "part").applyInPandas(run, "src bigint, dst bigint, x double")
+    return got.groupBy("src", "dst").agg(F.round(F.sum("x") / scale, 9).alias("betweenness"))
 
 
 def _ends(edges: DataFrame, labels: DataFrame) -> DataFrame:
