@@ -384,6 +384,11 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
             kernel.update(zip(new.tolist(), (against(*_pick(s, starts, new), rare, dt) @ root).astype(np.float32)))
         return np.stack([kernel[i] for i in which]).astype(np.float64)
 
+    def value_of(which: np.ndarray) -> np.ndarray:
+        """Machine value of sentences, some at a time to bound memory."""
+        got = [against(*_pick(s, starts, which[i : i + 5_000]), rare, table) + intercept for i in range(0, len(which), 5_000)]
+        return np.concatenate(got) if got else np.zeros(0)
+
     hard = np.zeros(0, dtype=np.int64)
     dropped: set[int] = set()
     table, intercept = np.zeros(DIMENSIONS, np.float32), -1.0
@@ -397,9 +402,9 @@ def train(texts: list[str], labels: list[int], rare: np.ndarray | None = None, s
         table, intercept = dt @ (root @ w[:-1]).astype(np.float32), float(w[-1])
         if r == rounds - 1:
             break
-        f = against(*_pick(s, starts, suspect), rare, table) + intercept if len(suspect) else np.zeros(0)
+        f = value_of(suspect)
         positive = abusive_seeds | set(suspect[(f > 0) & (odd | (f > 0.6))])
-        g = against(*_pick(s, starts, harmless), rare, table) + intercept if len(harmless) else np.zeros(0)
+        g = value_of(harmless)
         hard = harmless[np.argsort(-g, kind="stable")[: TRAINING_SENTENCES // 3]]
         # a label is dropped if the three nearest labelled sentences of other documents all speak against it
         if r:
