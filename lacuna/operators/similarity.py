@@ -1,24 +1,32 @@
 """Exact similarity joins of vector columns, by blocks of a matrix product.
 
-Both sides are cut into blocks of bounded size by the hash of their id. A block of
-queries meets every block of rows, each pair of blocks in a task of its own, so memory
-is bounded however many rows there are; the work is that of an exact join and grows with
-the product of both sides.
+Rows are cut into blocks of bounded size by the hash of their id, and every block is
+written once to the shared folder. A task holds some queries and reads one block of rows
+after another, so no row is copied once per block of the other side: memory is bounded
+and the disk holds each vector once, however many rows there are. The work is that of an
+exact join and grows with the product of both sides.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import usable
+from lacuna.session import cut, opened, remove, shared_folder
 
 #: Rows of a block.
 BLOCK = 8_192
+#: Tasks that share the queries of a block.
+QUERY_PARTS = 4
+#: Tasks of a join at most.
+MOST_TASKS = 20_000
 _PAIRS = "a bigint, b bigint, cosine double"
 
 
@@ -28,10 +36,6 @@ def unit_matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _blocks(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-
-
 def usable_rows(df: DataFrame, key: str, vector: str, dim: int, *more: str, zeros: bool = False) -> DataFrame:
     """``id, v`` of the rows with a vector of ``dim`` finite numbers that is not all zero (``zeros``: or is)."""
     d = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), *more).where(F.col("id").isNotNull())
@@ -45,19 +49,77 @@ def dimension(df: DataFrame, vector: str) -> int:
     return int(r.d) if r else 0
 
 
-def block_join(queries: DataFrame, rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], dim: int, block: int = BLOCK) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """Blocks of rows in files of the shared folder, and the rows of each block by its number."""
+
+    folder: str
+    sizes: dict[int, int]
+
+    def read(self, number: int) -> pa.Table:
+        """``id, v`` and further columns of a block."""
+        fs, path = opened(self.folder)
+        with fs.open_input_file(f"{path}/{number}.arrow") as f:
+            return pa.ipc.open_file(f).read_all()
+
+
+def store(d: DataFrame, number: str, *more: str) -> Stored:
+    """Write ``id, v`` and ``more`` of ``d``, a file for each value of ``number``; a task that is repeated writes the same file."""
+    folder = shared_folder(d.sparkSession)
+
+    def write(t: pa.Table) -> pa.Table:
+        fs, path = opened(folder)
+        k = t[number][0].as_py()
+        # another name until it is whole
+        part = f"{path}/{uuid.uuid4().hex}"
+        with fs.open_output_stream(part) as f, pa.ipc.new_file(f, (rows := t.select(["id", "v", *more]).combine_chunks()).schema) as w:
+            w.write_table(rows)
+        fs.move(part, f"{path}/{k}.arrow")
+        return pa.table({"number": pa.array([k], pa.int64()), "n": pa.array([t.num_rows], pa.int64())})
+
+    got = d.select(F.col(number).cast("bigint").alias(number), "id", "v", *more).groupBy(number).applyInArrow(write, "number bigint, n bigint").toArrow()
+    return Stored(folder, dict(sorted(zip(got["number"].to_pylist(), got["n"].to_pylist()))))
+
+
+def stored_blocks(d: DataFrame, block: int) -> Stored:
+    """Blocks of about ``block`` rows, by the hash of the id."""
+    n = max(1, -(-d.count() // block))
+    return store(d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), "block")
+
+
+def over_items(spark: SparkSession, items: list[tuple[int, ...]], work: Callable[..., Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
+    """What ``work(*item)`` yields for every item, the items spread over tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from work(*items[i])
+
+    return spark.range(0, len(items), 1, min(max(1, len(items)), MOST_TASKS)).mapInArrow(run, kind)
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+
+
+def _quarter(t: pa.Table, part: int) -> pa.Table:
+    n = -(-t.num_rows // QUERY_PARTS)
+    return t.slice(part * n, n)
+
+
+def block_join(queries: DataFrame, rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], dim: int, block: int | None = None) -> DataFrame:
     """``a, b, cosine`` of what ``work(query ids, query vectors, row ids, row vectors)`` returns for every pair of blocks."""
-    nq, nr = (max(1, -(-d.count() // block)) for d in (queries, rows))
-    q = _blocks(queries, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).select("id", "v", F.col("block").alias("qb"), F.col("other").alias("rb"))
-    r = _blocks(rows, nr).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "v", F.col("other").alias("qb"), F.col("block").alias("rb"))
+    q, r = stored_blocks(queries, block or BLOCK), stored_blocks(rows, block or BLOCK)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        x, y, c = work(a["id"].to_numpy(), unit_matrix(a["v"], dim), b["id"].to_numpy(), unit_matrix(b["v"], dim))
-        return pa.table({"a": x, "b": y, "cosine": c})
+    def run(number: int, part: int) -> Iterator[pa.RecordBatch]:
+        x = _quarter(q.read(number), part)
+        if x.num_rows:
+            ids, v = x["id"].to_numpy(), unit_matrix(x["v"], dim)
+            for k in r.sizes:
+                y = r.read(k)
+                yield _pairs_batch(*work(ids, v, y["id"].to_numpy(), unit_matrix(y["v"], dim)))
 
-    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(run, _PAIRS)
+    return over_items(rows.sparkSession, [(k, p) for k in q.sizes for p in range(QUERY_PARTS)], run, _PAIRS)
 
 
 #: Error of a product of unit vectors in float32, and of rounding to 6 decimals.
@@ -109,23 +171,82 @@ def _best_of(qi: np.ndarray, ri: np.ndarray, k: int, least: float | None, not_se
     return pick
 
 
+#: Queries and rows of a tile whose products stay in the cache.
+TILE = (256, 2_048)
+
+
+def _above(s: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """Flat places of the products that reach the bar of their row; eight at a time are passed over."""
+    m = (s >= bar[:, None]).ravel()
+    if len(m) % 8:
+        return np.flatnonzero(m)
+    at = (np.flatnonzero(m.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return at[m[at]]
+
+
+def _best(qi: np.ndarray, q: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, least: float | None, not_self: bool) -> tuple[np.ndarray, ...]:
+    """(query, row id, cosine) of the ``k`` best of each query over all blocks of rows, queries by their place in ``q``; only those found so far are kept."""
+    q32, n = q.astype(np.float32), len(q)
+    a, b, c = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bar = np.full(n, -np.inf if least is None else least)
+    every = np.arange(n)
+    for ri, r in blocks:
+        if np.isinf(bar).any():
+            pick = _best_of(qi, ri, k, least, not_self)
+            x, y, z = _tiles(every, q, np.arange(len(ri)), r, pick, None if least is None else lambda v: v >= least)
+        else:
+            r32, low = r.astype(np.float32), (bar - SLACK).astype(np.float32)
+            xs, ys = [], []
+            for i in range(0, n, TILE[0]):
+                for j in range(0, len(r), TILE[1]):
+                    s = q32[i : i + TILE[0]] @ r32[j : j + TILE[1]].T
+                    at = _above(s, low[i : i + TILE[0]])
+                    xs.append(i + at // s.shape[1])
+                    ys.append(j + at % s.shape[1])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            z = np.empty(len(x))
+            for p in range(0, len(x), 200_000):
+                z[p : p + 200_000] = np.einsum("ij,ij->i", q[x[p : p + 200_000]], r[y[p : p + 200_000]])
+            z = np.round(z, 6)
+            m = z >= bar[x]
+            if not_self:
+                m &= qi[x] != ri[y]
+            x, y, z = x[m], y[m], z[m]
+        a, b, c = first_per_query(np.concatenate([a, x]), np.concatenate([b, ri[y]]), np.concatenate([c, z]), k)
+        last = np.nonzero(np.bincount(a, minlength=n) == k)[0]
+        bar[last] = c[np.searchsorted(a, last, "right") - 1]
+    return a, b, c
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, query_key: str, row_key: str, vector: str = "embedding", least: float | None = None, not_self: bool = False) -> DataFrame:
     """``a, b, cosine, rank``: the ``k`` rows of greatest cosine (6 decimals) for every query, ties to the smaller id.
 
     ``least`` drops what is less similar, ``not_self`` pairs of equal ids. Null,
     all-zero, wrongly long and not finite vectors take no part.
     """
-    dim = dimension(rows, vector)
+    dim, kind = dimension(rows, vector), _PAIRS + ", rank int"
     if not dim:
-        return rows.sparkSession.createDataFrame([], _PAIRS + ", rank int")
+        return rows.sparkSession.createDataFrame([], kind)
+    r = stored_blocks(usable_rows(rows, row_key, vector, dim), BLOCK)
+    q = r if queries is rows and query_key == row_key else stored_blocks(usable_rows(queries, query_key, vector, dim), BLOCK)
 
-    def work(qi: np.ndarray, q: np.ndarray, ri: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
-        pick = _best_of(qi, ri, k, least, not_self)
-        return first_per_query(*_tiles(qi, q, ri, r, pick, None if least is None else lambda c: c >= least), k)
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for number in r.sizes:
+            y = r.read(number)
+            yield y["id"].to_numpy(), unit_matrix(y["v"], dim)
 
-    d = block_join(usable_rows(queries, query_key, vector, dim), usable_rows(rows, row_key, vector, dim), work, dim)
-    w = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def run(number: int, part: int) -> Iterator[pa.RecordBatch]:
+        x = _quarter(q.read(number), part)
+        if x.num_rows:
+            qi = x["id"].to_numpy()
+            a, b, c = _best(qi, unit_matrix(x["v"], dim), blocks(), k, least, not_self)
+            rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(b), pa.array(c), pa.array(rank.astype(np.int32))], names=["a", "b", "cosine", "rank"])
+
+    found = cut(over_items(rows.sparkSession, [(n, p) for n in q.sizes for p in range(QUERY_PARTS)], run, kind))
+    for x in {r.folder, q.folder}:
+        remove(x)
+    return found
 
 
 #: Cells of the index at most, rows aimed at per cell, and partitions of its join per partition of the session.
@@ -204,11 +325,16 @@ def within(queries: DataFrame, rows: DataFrame, low: float, high: float, query_k
     return block_join(usable_rows(queries, query_key, vector, dim), usable_rows(rows, row_key, vector, dim), work, dim)
 
 
+#: Blocks of a group that one task lets a block meet, at least.
+KEYED_RUN = 16
+
+
 def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding", least: float | None = None, block: int = 2_048) -> DataFrame:
     """``a, b, cosine`` for a < b of rows of one group, from ``least`` on (None: all).
 
-    A group of any size is cut into blocks; pairs of blocks are the unit of work, so a
-    group with a third of all rows is spread over the cluster. Rows without a group or a
+    A group of more than ``block`` rows is cut into blocks, each written once; pairs of
+    blocks are the unit of work, so a group with a third of all rows is spread over the
+    cluster. Rows without a group or a
     usable vector take no part.
     """
     dim = dimension(df, vector)
@@ -216,29 +342,49 @@ def keyed_pairs(df: DataFrame, key: str, group: str, vector: str = "embedding",
         return df.sparkSession.createDataFrame([], _PAIRS)
     d = usable_rows(df.where(F.col(group).isNotNull() & (F.col(group) != "")), key, vector, dim, F.col(group).alias("g"))
     sizes = d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    d = d.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a row stands in every pair of blocks that has its own
-    left = d.withColumn("o", F.explode(F.expr("sequence(own, blocks - 1)"))).select("g", F.col("own").alias("p"), F.col("o").alias("q"), "id", "v")
-    right = d.withColumn("o", F.explode(F.expr("sequence(0, own)"))).select(F.col("g").alias("g"), F.col("o").alias("p"), F.col("own").alias("q"), F.col("id").alias("id"), F.col("v").alias("v"))
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        if not a.num_rows or not b.num_rows:
-            return none
-        same = a["p"][0].as_py() == a["q"][0].as_py()
-        ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+    large = {r.g: r.blocks for r in sizes.where("blocks > 1").collect()}
 
+    def pairs(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
         def pick(s: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
-            ok = ia[i : i + len(s), None] < ib[None, :] if same else ia[i : i + len(s), None] != ib[None, :]
-            if least is not None:
-                ok &= s >= least - SLACK
-            return np.nonzero(ok)
-
-        x, y, c = _tiles(ia, unit_matrix(a["v"], dim), ib, unit_matrix(b["v"], dim), pick, None if least is None else lambda v: v >= least)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": c})
-
-    keys = ["g", "p", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _PAIRS)
+            if least is None:
+                ok = np.ones(s.shape, bool)
+            else:
+                ok = s >= least - SLACK
+            x, y = np.nonzero(ok)
+            m = ia[i + x] < ib[y] if same else ia[i + x] != ib[y]
+            return x[m], y[m]
+
+        x, y, c = _tiles(ia, a, ib, b, pick, None if least is None else lambda v: v >= least)
+        return np.minimum(x, y), np.maximum(x, y), c
+
+    def small(t: pa.Table) -> pa.Table:
+        ids, v = t["id"].to_numpy(), unit_matrix(t["v"], dim)
+        return pa.Table.from_batches([_pairs_batch(*pairs(ids, v, ids, v, True))])
+
+    if not large:
+        return d.select("g", "id", "v").groupBy("g").applyInArrow(small, _PAIRS)
+    first = dict(zip(large, np.cumsum([0, *large.values()])[:-1].tolist()))
+    table = df.sparkSession.createDataFrame([(g, n, first[g]) for g, n in large.items()], d.select("g").schema.add("blocks", "integer").add("first", "long"))
+    # at most two blocks per ``block`` rows reach the driver, and their groups are broadcast
+    held = store(d.join(F.broadcast(table), "g").withColumn("number", F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))), "number")
+    few = d.join(F.broadcast(table), "g", "left_anti").select("g", "id", "v").groupBy("g").applyInArrow(small, _PAIRS)
+    # a block meets those after it in its group, some at a time, in four tasks at most
+    items = []
+    for g, n in large.items():
+        last, run_of = first[g] + n, max(KEYED_RUN, -(-n // 4))
+        items += [(p, q, min(q + run_of, last)) for p in range(first[g], last) if p in held.sizes for q in range(p, last, run_of)]
+
+    def run(p: int, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        x = held.read(p)
+        ia, a = x["id"].to_numpy(), unit_matrix(x["v"], dim)
+        for q in range(start, end):
+            if q in held.sizes:
+                y = held.read(q)
+                ib, b = y["id"].to_numpy(), unit_matrix(y["v"], dim)
+                for i in range(0, len(ia), 1024):
+                    yield _pairs_batch(*pairs(ia[i : i + 1024], a[i : i + 1024], ib, b, p == q))
+
+    return few.unionByName(over_items(df.sparkSession, items, run, _PAIRS))
 
 
 def centroids(df: DataFrame, group: str, vector: str = "embedding") -> DataFrame:

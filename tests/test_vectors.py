@@ -240,3 +240,18 @@ def test_indexed_neighbours_against_all(spark, monkeypatch):
     edges = lambda indexed: {tuple(r) for r in graph.knn_edges(df, "k", 5, indexed=indexed).collect()}
     assert len(edges(True) & edges(False)) >= 0.97 * len(edges(False))
     assert similarity.nearest_indexed(df.limit(0), df.limit(0), 5, "k", "k").count() == 0
+
+
+def test_no_vector_is_copied_per_block(vectors, monkeypatch):
+    u, df = vectors
+    monkeypatch.setattr(similarity, "BLOCK", 15)
+    joins = {"nearest": similarity.nearest(df, df, 4, "id", "id", not_self=True), "within": similarity.within(df, df, 0.5, 2, "id", "id"), "keyed": similarity.keyed_pairs(df, "id", "g", block=8)}
+    assert [k for k, d in joins.items() if "explode" in d._jdf.queryExecution().toString()] == []
+    assert sum(similarity.stored_blocks(similarity.usable_rows(df, "id", "embedding", 6), 15).sizes.values()) == 120
+    # bars found on the first blocks leave the later ones whole
+    s = np.round(u.astype(np.float32).astype(float) @ u.astype(np.float32).astype(float).T, 5)
+    np.fill_diagonal(s, -9)
+    got = {}
+    for r in joins["nearest"].orderBy("a", "rank").collect():
+        got.setdefault(r.a, []).append(r.cosine)
+    assert all(got[i] == pytest.approx(sorted(s[i], reverse=True)[:4], abs=2e-5) for i in range(120))
