@@ -255,3 +255,31 @@ def test_no_vector_is_copied_per_block(vectors, monkeypatch):
     for r in joins["nearest"].orderBy("a", "rank").collect():
         got.setdefault(r.a, []).append(r.cosine)
     assert all(got[i] == pytest.approx(sorted(s[i], reverse=True)[:4], abs=2e-5) for i in range(120))
+
+
+def test_merged_relations_without_gathering_pairs(spark):
+    x = np.random.default_rng(3).normal(size=(150, 5))
+    rows = [(i, [float(v) for v in r], [None, "", "p1", "p2", "p3"][i % 5], [None, "", "s1", "s2"][i // 3 % 4]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, embedding array<float>, id string, s string")
+    pairs = lambda by, least=None: similarity.keyed_pairs(df, "k", by, least=least).select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine")
+    want = graph.merge_relations(graph.knn_edges(df, "k", 3, 0.8), pairs("id"), pairs("s", 0.3)).select("src", "dst", "weight", "edge_type", "cosine")
+    got = graph.merged_relations(df, "k", "id", "s", 3, 0.8).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len({r.edge_type for r in got.collect()}) == 7
+
+
+@pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(6)] + [(0, 3)], [(a, b) for a in range(4) for b in range(a + 1, 4)] + [(a, b) for a in range(5, 9) for b in range(a + 1, 9)] + [(3, 5), (20, 21)]])
+def test_betweenness_of_a_large_component(spark, monkeypatch, pairs):
+    monkeypatch.setattr(graph, "ARRAY_EDGES", 3)
+    monkeypatch.setattr(graph, "EDGE_BLOCK", 4)
+    d = graph.edge_betweenness(edges(spark, pairs))
+    assert "explode" not in d._jdf.queryExecution().toString()
+    assert {(r.src, r.dst): r.betweenness for r in d.collect()} == pytest.approx(brute_betweenness(pairs), abs=1e-8)
+
+
+def test_betweenness_by_arrays_is_that_by_lists():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 60, 150), rng.integers(0, 60, 150)
+    a, b = a[a != b], b[a != b]
+    every = np.arange(60)
+    assert graph._by_arrays(a, b, 60, every) == pytest.approx(graph._by_lists(a, b, 60, every))
