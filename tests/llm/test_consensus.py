@@ -58,3 +58,16 @@ def test_many_judges_share_a_matrix_and_extra_features(spark):
     assert len(p.names) == 4 and p.confusion.shape[0] == 5 and C.consensus(p).count() > 0
     extra = spark.createDataFrame([(i, [float(i % 2)]) for i in range(60)], "item bigint, features array<double>")
     assert C.consensus(C.fit(labels, extra, rounds=3)).count() > 0
+
+
+def test_judges_beyond_the_driver_keep_matrices_of_their_own(spark, monkeypatch):
+    _, rows = panel(2, 80)
+    labels = C.long_labels(spark.createDataFrame(rows, KIND))
+    want = C.fit(labels, rounds=6)
+    monkeypatch.setattr(C, "MAX_JUDGES", 3)
+    got = C.fit(labels, rounds=6)
+    assert got.confusion is None and got.rounds == want.rounds
+    kept = lambda p: [(r["item"], r.axis, r.score, round(r.confidence, 5), r.n_judges) for r in C.consensus(p).orderBy("item", "axis").collect()]
+    assert kept(got) == kept(want)
+    a, b = (C.reliability(p).sort_values(["judge", "axis"]).reset_index(drop=True) for p in (got, want))
+    assert list(a.judge) == list(b.judge) and abs(a.accuracy - b.accuracy).max() < 1e-5
