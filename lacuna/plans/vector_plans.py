@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.numeric import coerce, cosine, peak
 from lacuna.operators import clustering, evidence, graph, similarity, themes
 from lacuna.plans.row_plans import CLUSTER, gaps
-from lacuna.session import cut, table
+from lacuna.session import cut, kept, table
 
 #: Papers called ``unknown`` are none.
 KNOWN_PAPER = "id IS NOT NULL AND id <> '' AND id <> 'unknown'"
@@ -97,7 +97,7 @@ def frontier_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    return cut(_edges_by_cosine(spark, d).withColumn("weight", F.col("cosine")))
+    return kept(_edges_by_cosine(spark, d).withColumn("weight", F.col("cosine")))[0]
 
 
 def gap_communities(spark: SparkSession, d: str) -> DataFrame:

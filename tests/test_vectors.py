@@ -283,3 +283,39 @@ def test_betweenness_by_arrays_is_that_by_lists():
     a, b = a[a != b], b[a != b]
     every = np.arange(60)
     assert graph._by_arrays(a, b, 60, every) == pytest.approx(graph._by_lists(a, b, 60, every))
+
+
+def shared(spark):
+    from lacuna.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().replace("file:", "")
+
+
+def planned(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def graph_of_blocks(spark):
+    e = edges(spark, [(o + a, o + b) for o in (0, 10, 20) for a in range(6) for b in range(a + 1, 6)] + [(5, 10), (15, 20), (0, 12)])
+    labels = spark.createDataFrame([(o + a, o) for o in (0, 10, 20) for a in range(6)], "node bigint, cluster_id int")
+    return e, labels, graph.edge_betweenness(e)
+
+
+def test_components_delete_earlier_rounds(spark):
+    """One folder is left, however many rounds; a component of any size is taken."""
+    import inspect
+    import os
+
+    from lacuna.operators.components import connected_components
+
+    before = set(os.listdir(shared(spark)))
+    d = connected_components(edges(spark, [(i, i + 1) for i in range(200)]), "src", "dst")
+    assert len(set(os.listdir(shared(spark))) - before) == 1
+    assert {r.component for r in d.collect()} == {0}
+    assert [inspect.signature(f).parameters["most_edges"].default for f in (graph.communities, graph.edge_betweenness)] == [None, None]
+
+
+def test_links_in_arrays_add_up_repeated_edges():
+    x = graph._Links(np.array([0, 0, 1, 0]), np.array([1, 2, 2, 1]), np.array([0.5, 0.25, 1.0, 2.0]), 4)
+    assert [x[v] for v in range(len(x))] == [{1: 2.5, 2: 0.25}, {0: 2.5, 2: 1.0}, {0: 0.25, 1: 1.0}, {}]
