@@ -302,6 +302,21 @@ def graph_of_blocks(spark):
     return e, labels, graph.edge_betweenness(e)
 
 
+def test_nearest_rows_and_frontier_write_no_whole_rows(spark, data):
+    """Neither checkpoints of whole rows nor a shuffle of the vectors; small files make up a block."""
+    import os
+
+    from lacuna.plans import vector_plans
+
+    before = set(os.listdir(shared(spark)))
+    d = vector_plans.frontier_by_label(spark, data)
+    assert not [x for x in set(os.listdir(shared(spark))) - before if x.startswith("rdd-")]
+    assert planned(d).count("Join") == 1 and len(d.collect()) == 50
+    g = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "id bigint, v array<float>").repartition(8)
+    s = similarity.stored_blocks(g, 12)
+    assert max(s.sizes.values()) <= 12 and len(s.sizes) <= 8 and sorted(i for k in s.sizes for i in s.read(k)["id"].to_pylist()) == list(range(1, 41))
+
+
 def test_components_delete_earlier_rounds(spark):
     """One folder is left, however many rounds; a component of any size is taken."""
     import inspect
