@@ -334,3 +334,10 @@ def test_components_delete_earlier_rounds(spark):
 def test_links_in_arrays_add_up_repeated_edges():
     x = graph._Links(np.array([0, 0, 1, 0]), np.array([1, 2, 2, 1]), np.array([0.5, 0.25, 1.0, 2.0]), 4)
     assert [x[v] for v in range(len(x))] == [{1: 2.5, 2: 0.25}, {0: 2.5, 2: 1.0}, {0: 0.25, 1: 1.0}, {}]
+
+
+def test_single_bridges_are_joined_once(spark):
+    e, labels, b = graph_of_blocks(spark)
+    d = graph.individual_bridges(e, labels, b)
+    assert planned(d).count("Join") == 1
+    assert [(r.src, r.dst) for r in d.collect()][0] == (15, 20) and d.count() == 3
