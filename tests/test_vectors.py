@@ -341,3 +341,11 @@ def test_single_bridges_are_joined_once(spark):
     d = graph.individual_bridges(e, labels, b)
     assert planned(d).count("Join") == 1
     assert [(r.src, r.dst) for r in d.collect()][0] == (15, 20) and d.count() == 3
+
+
+def test_graph_bridges_let_the_edges_go(spark):
+    """What follows the sums of a pair of communities reads neither the edges nor their betweenness."""
+    e, labels, b = graph_of_blocks(spark)
+    nodes = labels.selectExpr("node", "concat('p', node % 4) AS id", "'x' AS gap_type")
+    d = graph.bridge_pairs(e, labels, nodes, b)
+    assert "betweenness" not in planned(d) and {(r.cluster_a, r.cluster_b) for r in d.collect()} == {(0, 10), (10, 20)}
