@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.numeric import usable
-from lacuna.session import kept, opened, remove, shared_folder
+from lacuna.session import kept, opened, release, remove, shared_folder
 
 #: Rows of a block.
 BLOCK = 8_192
@@ -83,6 +83,8 @@ def store(d: DataFrame, number: str, *more: str) -> Stored:
         return pa.table({"number": pa.array([k], pa.int64()), "n": pa.array([t.num_rows], pa.int64())})
 
     got = d.select(F.col(number).cast("bigint").alias(number), "id", "v", *more).groupBy(number).applyInArrow(write, "number bigint, n bigint").toArrow()
+    # the shuffle that gathered the blocks is needed no more
+    release(d.sparkSession, 1.2)
     return Stored(folder, dict(sorted(zip(got["number"].to_pylist(), got["n"].to_pylist()))))
 
 

@@ -349,3 +349,23 @@ def test_graph_bridges_let_the_edges_go(spark):
     nodes = labels.selectExpr("node", "concat('p', node % 4) AS id", "'x' AS gap_type")
     d = graph.bridge_pairs(e, labels, nodes, b)
     assert "betweenness" not in planned(d) and {(r.cluster_a, r.cluster_b) for r in d.collect()} == {(0, 10), (10, 20)}
+
+
+def test_section_blocks_leave_no_shuffle(spark, vectors):
+    """The shuffle that gathers the blocks of a group is removed once they are written."""
+    import time
+
+    _, df = vectors
+    at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        x = at.getAllFiles()
+        return {x.apply(i).getName() for i in range(x.size()) if x.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    d = similarity.keyed_pairs(df, "id", "g", block=8)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and d.count() > 0
