@@ -369,3 +369,59 @@ def test_section_blocks_leave_no_shuffle(spark, vectors):
             break
         time.sleep(0.1)
     assert not files() - before and d.count() > 0
+
+
+def every_pair_betweenness(pairs, n_nodes):
+    """By distances and numbers of paths of all pairs of nodes."""
+    nodes = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(nodes)}
+    adj = np.zeros((len(nodes), len(nodes)))
+    for a, b in pairs:
+        adj[at[a], at[b]] = adj[at[b], at[a]] = 1
+    dist, paths, walk, step = np.where(np.eye(len(nodes)), 0, -1), np.eye(len(nodes)), np.eye(len(nodes)), 0
+    while walk.any():
+        step += 1
+        walk = np.where(dist < 0, walk @ adj, 0)
+        dist, paths = np.where(walk > 0, step, dist), paths + walk
+    got = {}
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        x = 0.0
+        for p, q in ((i, j), (j, i)):
+            on = (dist[:, [p]] >= 0) & (dist[[q]] >= 0) & (dist[:, [p]] + 1 + dist[[q]] == dist)
+            x += (paths[:, [p]] * paths[[q]] / np.maximum(paths, 1))[on].sum()
+        got[a, b] = x / (n_nodes * (n_nodes - 1))
+    return got
+
+
+@pytest.fixture(scope="module")
+def ring(spark, data, tmp_path_factory):
+    """Folder of gaps that lie along a circle, so in one component; their edges and the betweenness by all pairs."""
+    from lacuna.plans import vector_plans
+
+    folder = str(tmp_path_factory.mktemp("ring"))
+    place = F.array(F.cos(F.col("gap_idx") / 50), F.sin(F.col("gap_idx") / 50), F.sin(F.col("gap_idx") * 7) / 50)
+    spark.read.parquet(f"{data}/gaps.parquet").where("gap_idx < 200").withColumn("embedding", place.cast("array<float>")).write.parquet(f"{folder}/gaps.parquet")
+    pairs = [(r.src, r.dst) for r in vector_plans.knn_edges(spark, folder).collect()]
+    return folder, pairs, every_pair_betweenness(pairs, 200)
+
+
+def test_edge_betweenness_takes_every_source(spark, ring):
+    from lacuna.plans import vector_plans
+
+    small = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4)]
+    assert every_pair_betweenness(small, 5) == pytest.approx(brute_betweenness(small))
+    folder, pairs, want = ring
+    got = {(r.src, r.dst): r.betweenness for r in vector_plans.edge_betweenness(spark, folder).collect()}
+    assert len(want) == len(pairs) > 200 and got == pytest.approx(want, abs=1e-9)
+
+
+def test_sources_worked_on_at_once(monkeypatch):
+    """One, some or all sources at once give the same, over several components, repeated edges and a chain."""
+    rng = np.random.default_rng(6)
+    a, b = np.concatenate([rng.integers(0, 40, 90), np.arange(50, 90)]), np.concatenate([rng.integers(0, 40, 90), np.arange(51, 91)])
+    a, b = a[a != b], b[a != b]
+    want = graph._by_lists(a, b, 91, np.arange(91))
+    for cells in (1, 91 * 7, 10**6):
+        monkeypatch.setattr(graph, "SOURCE_CELLS", cells)
+        assert graph._by_arrays(a, b, 91, np.arange(91)) == pytest.approx(want)
