@@ -416,6 +416,29 @@ def test_edge_betweenness_takes_every_source(spark, ring):
     assert len(want) == len(pairs) > 200 and got == pytest.approx(want, abs=1e-9)
 
 
+def test_graph_bridges_take_every_source(spark, ring):
+    """Scores follow from the betweenness by all pairs, summed up outside Spark."""
+    from lacuna.plans import row_plans, vector_plans
+
+    folder, _, want = ring
+    g = {r.gap_idx: r for r in row_plans.gaps(spark, folder).collect()}
+    papers, kinds, raw = {}, {}, {}
+    for r in g.values():
+        papers.setdefault(r.cluster_id, set()).update({r.id} - {None})
+        kinds.setdefault(r.cluster_id, []).append(r.gap_type)
+    for (a, b), x in want.items():
+        pair = tuple(sorted((g[a].cluster_id, g[b].cluster_id)))
+        if pair[0] != pair[1]:
+            raw[pair] = raw.get(pair, 0.0) + x
+    for p, q in raw:
+        both, either = papers[p] & papers[q], papers[p] | papers[q]
+        apart = sum(abs(kinds[p].count(k) / len(kinds[p]) - kinds[q].count(k) / len(kinds[q])) for k in {*kinds[p], *kinds[q]}) / 2
+        raw[p, q] *= (1 - len(both) / max(1, len(either))) * (0.5 + 0.5 * apart)
+    got = [(r.cluster_a, r.cluster_b, r.bridge_score) for r in vector_plans.graph_bridges(spark, folder).collect()]
+    assert len(got) == min(30, len(raw)) and [x for *_, x in got] == pytest.approx(sorted((x / max(raw.values()) for x in raw.values()), reverse=True)[:30], abs=1e-5)
+    assert [x for *_, x in got] == pytest.approx([raw[p, q] / max(raw.values()) for p, q, _ in got], abs=1e-5)
+
+
 def test_sources_worked_on_at_once(monkeypatch):
     """One, some or all sources at once give the same, over several components, repeated edges and a chain."""
     rng = np.random.default_rng(6)
