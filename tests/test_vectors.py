@@ -439,6 +439,25 @@ def test_graph_bridges_take_every_source(spark, ring):
     assert [x for *_, x in got] == pytest.approx([raw[p, q] / max(raw.values()) for p, q, _ in got], abs=1e-5)
 
 
+def test_single_bridges_take_every_source(spark, ring):
+    from lacuna.plans import row_plans, vector_plans
+
+    folder, _, want = ring
+    label = {r.gap_idx: r.cluster_id for r in row_plans.gaps(spark, folder).collect()}
+    between = {p: x for p, x in want.items() if label[p[0]] != label[p[1]]}
+    got = vector_plans.single_bridges(spark, folder).collect()
+    assert [r.betweenness for r in got] == pytest.approx(sorted(between.values(), reverse=True)[:50], abs=1e-9)
+    assert {(r.src, r.dst): r.betweenness for r in got} == pytest.approx({(r.src, r.dst): between[r.src, r.dst] for r in got}, abs=1e-9)
+    assert [r.bridge_score for r in got] == pytest.approx([between[r.src, r.dst] / max(between.values()) for r in got], abs=1e-5)
+
+
+def test_no_betweenness_of_some_sources():
+    import inspect
+
+    assert list(inspect.signature(graph.edge_betweenness).parameters) == ["edges", "n_nodes", "most_edges"]
+    assert list(inspect.signature(graph.brandes).parameters) == ["src", "dst"]
+
+
 def test_sources_worked_on_at_once(monkeypatch):
     """One, some or all sources at once give the same, over several components, repeated edges and a chain."""
     rng = np.random.default_rng(6)
